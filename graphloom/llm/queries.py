@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import language_id, token_counts
 
 #: Vocabulary files of public tokenizers; a parameter of the operators, fixed here for the registered queries.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json")
 
