@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, token_counts
+from . import decontaminate, language_id, token_counts
 
 #: Vocabulary files of public tokenizers; a parameter of the operators, fixed here for the registered queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -20,9 +20,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": decontaminate.ORACLE_SQL}
