@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step holds at once; an Arrow batch is cut into slices of about this size.
@@ -60,7 +61,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     """Cuts a batch so that `column` has about `most` bytes in each part; a single longer text stays whole."""
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     part = np.cumsum(sizes) // most
     starts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]))
     for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -69,7 +70,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column, one text after another, and the n + 1 offsets of the texts; nulls are empty."""
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     if column.type != pa.large_string():
         column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
