@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, quality, simhash, token_counts
+from . import decontaminate, language_id, mixing, quality, simhash, suffix_dedup, token_counts
 
 #: Vocabulary files of public tokenizers; a parameter of the operators, fixed here for the registered queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -24,6 +24,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
