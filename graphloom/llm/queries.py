@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, quality, simhash, suffix_dedup, token_counts
+from . import decontaminate, language_id, mixing, quality, simhash, suffix_dedup, token_counts, warc
 
 #: Vocabulary files of public tokenizers; a parameter of the operators, fixed here for the registered queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -45,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
