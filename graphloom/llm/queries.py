@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, mixing, quality, simhash, suffix_dedup, token_counts, warc
+from . import decontaminate, html_extract, language_id, mixing, progressive_jpeg, quality, simhash, suffix_dedup, token_counts, warc
 
 #: Vocabulary files of public tokenizers; a parameter of the operators, fixed here for the registered queries.
 TOKENIZERS = "/opt/tokenizers"
@@ -28,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
