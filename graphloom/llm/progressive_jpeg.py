@@ -239,7 +239,7 @@ def pack(items: Items, intervals: int, ends: np.ndarray) -> tuple[np.ndarray, np
     marks = np.flatnonzero(~ends)
     where = place[tail[marks]] + stuffed[tail[marks]]
     scan = np.cumsum(np.concatenate(([0], ends[:-1])))
-    number = np.arange(intervals) - np.searchsorted(scan, np.arange(intervals)[scan * 0 == 0] * 0 + scan)
+    number = np.arange(intervals) - np.searchsorted(scan, scan)
     out[where], out[where + 1] = 255, 0xD0 + (number[marks] & 7)
     bound = np.concatenate((place[start], [len(out)]))
     return out, bound

@@ -147,8 +147,8 @@ def record(x: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """All columns, with _doc (doc_id, the largest number where null) and _text (a hash of the text)."""
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn("_text", F.xxhash64("text"))
+    """All columns, with _gl_doc (doc_id, the largest number where null) and _gl_text (a hash of the text)."""
+    return docs.withColumn("_gl_doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn("_gl_text", F.xxhash64("text"))
 
 
 def all_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -162,7 +162,7 @@ def all_spans(docs: DataFrame, length: int) -> DataFrame:
                 raw, offsets = utf8_bytes(part.column("text"))
                 x = spans(raw, offsets, length)
                 text = x.pop("text")
-                x |= {"doc": np.asarray(part.column("_doc"))[text], "text_id": np.asarray(part.column("_text"))[text]}
+                x |= {"doc": np.asarray(part.column("_gl_doc"))[text], "text_id": np.asarray(part.column("_gl_text"))[text]}
                 held.append(x)
                 size += len(raw)
                 if size >= CHUNK_BYTES:
@@ -171,7 +171,7 @@ def all_spans(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield record(local_rows({k: np.concatenate([y[k] for y in held]) for k in held[0]}))
 
-    return identified(docs.select("doc_id", "text")).select("_doc", "_text", "text").mapInArrow(computed, SPAN_TYPE)
+    return identified(docs.select("doc_id", "text")).select("_gl_doc", "_gl_text", "text").mapInArrow(computed, SPAN_TYPE)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -234,7 +234,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 out: list[tuple] = []
-                for doc, text_id, text, found in zip(*(part.column(c).to_pylist() for c in ("_doc", "_text", "text", "spans")), strict=True):
+                for doc, text_id, text, found in zip(*(part.column(c).to_pylist() for c in ("_gl_doc", "_gl_text", "text", "spans")), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     for s in found:
                         start, stop = s["start"], s["start"] + s["n"]
@@ -247,8 +247,8 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "doc", "text_id", "start", "n", "raw"])
 
-    rows = identified(docs.select("doc_id", "text").where("text is not null")).select("_doc", "_text", "text")
-    joined = rows.join(by, (F.col("_doc") == F.col("doc")) & (F.col("_text") == F.col("text_id"))).select("_doc", "_text", "text", "spans")
+    rows = identified(docs.select("doc_id", "text").where("text is not null")).select("_gl_doc", "_gl_text", "text")
+    joined = rows.join(by, (F.col("_gl_doc") == F.col("doc")) & (F.col("_gl_text") == F.col("text_id"))).select("_gl_doc", "_gl_text", "text", "spans")
     return joined.mapInArrow(cutup, "key bigint, doc bigint, text_id bigint, start bigint, n int, raw binary")
 
 
@@ -331,7 +331,7 @@ def hot_marks(rows: DataFrame, length: int) -> DataFrame:
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """_doc, _text and marks (start, n): the windows, n from start on, that also start earlier."""
+    """_gl_doc, _text and marks (start, n): the windows, n from start on, that also start earlier."""
     rows = cut(compared(all_spans(docs, length)), "spans")
     parts = cut(fetched(docs, rows.where("kind = 2"), length), "parts")
     hot = parts.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > KEY_ROWS).select("key")
@@ -339,7 +339,7 @@ def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = cut(rows.where("kind = 1").select("doc", "text_id", "start", "n").unionByName(indexed_marks(cool, length)).unionByName(hot_marks(parts.join(hot, "key", "left_semi"), length)), "marks")
     drop(rows)
     drop(parts)
-    return found.groupBy(F.col("doc").alias("_doc"), F.col("text_id").alias("_text")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    return found.groupBy(F.col("doc").alias("_gl_doc"), F.col("text_id").alias("_gl_text")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
 def removed(size: int, found: list[dict] | None, length: int = LENGTH) -> np.ndarray:
@@ -353,9 +353,9 @@ def removed(size: int, found: list[dict] | None, length: int = LENGTH) -> np.nda
 
 
 def marked(docs: DataFrame, length: int) -> DataFrame:
-    found = marks(docs, length).withColumnsRenamed({"_doc": "_m_doc", "_text": "_m_text", "marks": "_marks"})
+    found = marks(docs, length).withColumnsRenamed({"_gl_doc": "_gl_m_doc", "_gl_text": "_gl_m_text", "marks": "_gl_marks"})
     own = identified(docs)
-    return own.join(found, (own["_doc"] == found["_m_doc"]) & (own["_text"] == found["_m_text"]), "left").drop("_m_doc", "_m_text", "_doc", "_text")
+    return own.join(found, (own["_gl_doc"] == found["_gl_m_doc"]) & (own["_gl_text"] == found["_gl_m_text"]), "left").drop("_gl_m_doc", "_gl_m_text", "_gl_doc", "_gl_text")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -365,7 +365,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 out = []
-                for text, found in zip(part.column("text").to_pylist(), part.column("_marks").to_pylist(), strict=True):
+                for text, found in zip(part.column("text").to_pylist(), part.column("_gl_marks").to_pylist(), strict=True):
                     raw = (text or "").encode("utf-8", "surrogatepass")
                     if not found:
                         out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
@@ -401,7 +401,7 @@ def kept_text(text: Column, found: Column, length: int = LENGTH) -> Column:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of `docs`, all columns, with the marked bytes removed from `text` and, where it is a column, n_chars counted anew."""
-    out = marked(docs, length).withColumn("text", kept_text(F.col("text"), F.col("_marks"), length)).drop("_marks")
+    out = marked(docs, length).withColumn("text", kept_text(F.col("text"), F.col("_gl_marks"), length)).drop("_gl_marks")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
