@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 2 << 20
 
 
+#: The shuffle files of a plan that runs once are not needed after it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: `spark.checkpoint.dir`, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,7 +42,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
