@@ -112,7 +112,7 @@ def markers(text: Column, words: tuple[str, ...] = ("TODO", "FIXME", "XXX", "HAC
 
 def split_list(text: Column) -> Column:
     """A comma-separated list, trimmed and without empties; null if nothing is left."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) > 0, parts)
 
 

@@ -32,7 +32,7 @@ def subtree(trees: DataFrame, path: str, node_path: str = "", depth: int = 4, mo
     base = len(node_path.split(".")) if node_path else 0
     own = trees.where(F.col("path") == path).where((F.col("node_path") == node_path) | F.col("node_path").startswith(f"{node_path}." if node_path else ""))
     below = F.slice(F.split("node_path", r"\."), base + 1, 20)
-    wide = F.exists(F.transform(below, lambda p: p.cast("int")), lambda i: i >= most_children)
+    wide = F.exists(F.transform(below, lambda p: p.try_cast("int")), lambda i: i >= most_children)
     own = own.withColumn("level", level - base).where((F.col("level") <= depth) & (~wide | (F.col("level") == 0)))
     clean = F.substring(F.regexp_replace("text", r"[\x00-\x1f\x7f]", " "), 1, text)
     return own.select("node_path", "parent_path", "ord", "type", "start", "stop", "children", clean.alias("text"), ((F.col("level") == depth) & (F.col("children") > 0)).alias("truncated"), (F.col("children") > most_children).alias("children_capped"))

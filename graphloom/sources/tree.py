@@ -180,7 +180,7 @@ def scan_tree(spark: SparkSession, root: str, limits: Limits = Limits()) -> Scan
                     info = os.stat(own := os.path.join(root, path))
                     with open(own, "rb") as f:
                         content = f.read() if info.st_size <= most else b""
-                    rows.append((path, content, info.st_size, pd.Timestamp(info.st_mtime, unit="s"), None))
+                    rows.append((path, content, info.st_size, pd.Timestamp(info.st_mtime_ns // 1000, unit="us"), None))
                 except OSError as e:
                     rows.append((path, b"", 0, pd.NaT, f"unreadable: {e.strerror}"))
             yield pd.DataFrame(rows, columns=["path", "content", "size", "mtime", "failed"])
