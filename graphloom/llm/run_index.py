@@ -14,16 +14,23 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of `text` (letters below 2**9 or unique separators above) in the order of their first `depth` letters, ties by place."""
+    """Suffixes of `text` (letters below 2**8, unique separators from 2**9 on) in the order of their first `depth` letters, ties by place."""
     n = len(text)
-    letters = np.minimum(text, 511).astype(np.uint64)
+    place = np.flatnonzero(text >= 512)
+    end = np.full(n, n)
+    end[place] = place
+    end = np.minimum.accumulate(end[::-1])[::-1]
+    ahead = end - np.arange(n)  # letters before the suffix's own separator
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key <<= np.uint64(9)
-        key[: n - k] |= letters[k:]
-    order = np.argsort(key, kind="stable")
+        key[: n - k] |= np.where(ahead[: n - k] >= k, np.minimum(text[k:], 511), 0).astype(np.uint64)
+    # Suffixes whose separator is among the first letters differ by it.
+    own = np.where(ahead < 7, end, 0)
+    order = np.lexsort((own, key))
+    differ = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], (key[order][1:] != key[order][:-1]).astype(np.int64))))
+    rank[order] = np.cumsum(np.concatenate(([0], differ.astype(np.int64))))
     done = 7
     while done < depth and rank[order[-1]] < n - 1:
         pair = rank << 32
