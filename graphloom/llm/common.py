@@ -1,69 +1,19 @@
-"""What the corpus operators share: the shared folder, lineage cuts and batches of bounded size."""
+"""What the corpus operators share: batches of bounded size, bytes of texts, words and their hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one numpy step holds at once; an Arrow batch is cut into slices of about this size.
-SLICE_BYTES = 2 << 20
-
-
-#: The shuffle files of a plan that runs once are not needed after it.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: `spark.checkpoint.dir`, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..storage import cut, drop, fresh_path, remove, shared_dir
 
+__all__ = ["cut", "drop", "fresh_path", "mix64", "remove", "shared_dir", "slices", "utf8_bytes", "word_bounds", "word_hashes"]
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` once to the shared folder and reads it back: a lineage cut that outlives lost executors.
-
-    Unlike checkpoint(), the plan runs once only. `drop` removes the table when it is no longer needed.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Removes the table that `cut` wrote for `df`; a frame that has none is left alone."""
-    path = getattr(df, "_graphloom_path", None)
-    if path:
-        remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+#: Bytes of text that one numpy step holds at once; an Arrow batch is cut into slices of about this size.
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

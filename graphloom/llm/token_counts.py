@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Unicode white space, as the tokenizer's normalizer folds it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+")
 WHITES = regex.compile(f"[{WHITE}]+")
 CHUNK_CHARS = 1 << 16
