@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..extract import extract_files
@@ -13,20 +11,18 @@ from ..storage import cut
 from . import incremental
 
 
-@dataclass
 class Index:
-    """Everything that a run makes, as tables."""
+    """Everything that a run makes, as tables; communities are found when first asked for."""
+
+    def __init__(self, repo: str, files: DataFrame, skipped: DataFrame, extractions: DataFrame, references: DataFrame, nodes: DataFrame, edges: DataFrame, stats: DataFrame, parsed: int, members: DataFrame | None = None):
+        self.repo, self.files, self.skipped, self.extractions, self.references, self.nodes, self.edges, self.stats, self.parsed = repo, files, skipped, extractions, references, nodes, edges, stats, parsed
+        self._members = members
 
-    repo: str
-    files: DataFrame
-    skipped: DataFrame
-    extractions: DataFrame
-    references: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
-    members: DataFrame
-    stats: DataFrame
-    parsed: int
+    @property
+    def members(self) -> DataFrame:
+        if self._members is None:
+            self._members = cut(analyze.communities(self.nodes, self.edges), "members")
+        return self._members
 
     @property
     def degrees(self) -> DataFrame:
@@ -49,21 +45,16 @@ class Engine:
         """`cached` is the `extractions` of an earlier run: files of the same content are not parsed again."""
         scanned = cut(scan.files, "scan")
         fresh = incremental.changed(scanned, cached) if cached is not None else scanned
-        extracted = extract_files(fresh).join(fresh.select("path", "sha256"), "path")
-        extracted = cut(extracted, "extracted")
+        extracted = cut(extract_files(fresh).join(fresh.select("path", "sha256"), "path"), "extracted")
         parsed = extracted.count()
-        extractions = cut(incremental.refreshed(scanned, cached, extracted), "extractions") if cached is not None else extracted
-        found = extractions
+        found = cut(incremental.refreshed(scanned, cached, extracted), "extractions") if cached is not None else extracted
         files = scanned.drop("content").join(found.select("path", "parse_ok", "error", "node_count", "error_count", "missing_count"), "path", "left")
         targets = cut(imports.resolve_imports(found), "imports")
         references = cut(resolve.resolve_references(found, targets), "references")
         tree_nodes, tree_edges = build.structure(files, repo)
         symbol_nodes, symbol_edges = build.symbol_graph(build.symbols(found))
         ties = imports.import_edges(imports.import_rows(found), targets).unionByName(resolve.reference_edges(references, found))
-        edges = tree_edges.unionByName(symbol_edges).unionByName(ties)
-        edges = edges.unionByName(build.test_edges(ties, files))
+        edges = tree_edges.unionByName(symbol_edges).unionByName(ties).unionByName(build.test_edges(ties, files))
         edges = cut(build.dedup_edges(build.sequenced(edges), "seq", "confidence"), "edges")
         nodes = tree_nodes.unionByName(symbol_nodes).unionByName(build.external_nodes(edges.select(F.col("dst").alias("id"))))
-        nodes = cut(nodes, "nodes")
-        members = cut(analyze.communities(nodes, edges), "members")
-        return Index(repo, cut(files, "files"), scan.skipped, extractions, references, nodes, edges, members, resolve.call_stats(references), parsed)
+        return Index(repo, cut(files, "files"), scan.skipped, found, references, cut(nodes, "nodes"), edges, resolve.call_stats(references), parsed)

@@ -131,3 +131,31 @@ def test_file_stream(spark, tmp_path):
         assert q.exception() is None
     assert seen[0] == ["a", "b"] and ["b", "c"] in seen
     assert sorted(tuple(r) for r in spark.read.parquet(f"{cache}/1").collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
+
+
+def test_catalog_and_command_line(spark, index, tree, tmp_path, monkeypatch, capsys):
+    import json
+
+    import pytest
+
+    from graphloom.__main__ import main
+    from graphloom.plans.catalog import Catalog, analysis_payload
+
+    catalog = Catalog(spark, f"file://{tmp_path}/catalog")
+    with pytest.raises(KeyError):
+        catalog.default()
+    catalog.save(index, "demo-1", {"a": 1})
+    assert catalog.default() == "demo-1" and catalog.info("demo-1")["info"] == {"a": 1}
+    assert catalog.table("demo-1", "nodes").count() == index.nodes.count()
+    for bad in ("../x", "", "a/b"):
+        with pytest.raises(ValueError):
+            catalog.table(bad, "nodes")
+    root = f"--catalog=file://{tmp_path}/catalog"
+    assert main(["status", root]) == 0 and "demo-1" in capsys.readouterr().out
+    assert main(["search", "render", root]) == 0 and "render.function" in capsys.readouterr().out
+    out = tmp_path / "graph.json"
+    assert main(["export", str(out), root]) == 0 and json.loads(out.read_text())["repo"] == "demo-1"
+    tops = {r.community: [s.name for s in r.top_symbols] for r in analysis_payload(index).collect()}
+    assert set(tops[2]) == {"aye", "bee"} and len(tops[0]) == 5
+    catalog.delete("demo-1")
+    assert catalog.repositories().isEmpty()
