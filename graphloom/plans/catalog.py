@@ -30,7 +30,7 @@ class Catalog:
         fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/meta")
         if not fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
             return self.spark.createDataFrame([], META)
-        return self.spark.read.schema(META).parquet(f"{self.root}/meta/*")
+        return self.spark.read.schema(META).option("recursiveFileLookup", True).parquet(f"{self.root}/meta")
 
     def save(self, index: Index, repo_id: str, info: dict | None = None, at: dt.datetime | None = None) -> None:
         for table in TABLES:
