@@ -5,7 +5,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import signal
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,14 +31,44 @@ def register(language: str, extractor) -> None:
     EXTRACTORS[language] = extractor
 
 
-def extract_source(path: str, language: str, source: bytes) -> Extraction:
-    """Never raises: what an extractor throws is kept among the errors."""
+#: Seconds that one file may take, and bytes that it may have.
+MOST_SECONDS, MOST_BYTES = 10.0, 1 << 20
+
+
+@contextlib.contextmanager
+def time_limit(seconds: float):
+    """Raises TimeoutError in the body after so many seconds; only where signals reach, in a process's main thread."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def extract_source(path: str, language: str, source: bytes, seconds: float = MOST_SECONDS) -> Extraction:
+    """Never raises: what an extractor throws is kept among the errors, and a file that is too large or takes too long has not parsed."""
     out = Extraction(path, language if language in EXTRACTORS else "generic")
     if language not in PARSABLE and language not in EXTRACTORS:
         out.parse_ok, out.error = False, "no_grammar"
         return out
+    if len(source) > MOST_BYTES:
+        out.parse_ok, out.error = False, "too_large"
+        return out
     try:
-        return EXTRACTORS.get(language, extract_generic)(path, source, language)
+        with time_limit(seconds):
+            return EXTRACTORS.get(language, extract_generic)(path, source, language)
+    except TimeoutError:
+        out.parse_ok, out.error = False, "parse_timeout"
+        return out
     except Exception as e:
         out.errors.append(f"{type(e).__name__}: {e}")
         return out

@@ -55,3 +55,16 @@ def test_generic():
 @pytest.mark.parametrize("source", ["", "(((", "class {", "func (", "\ufeffx", "'", '"""', "import", "}" * 50, "a.b.", "new", "\x00\xff"])
 def test_never_raises(language, source):
     assert extract_source("f", language, source.encode("utf-8")).errors == []
+
+
+def test_limits(monkeypatch):
+    import time
+
+    import graphloom.extract as extract
+
+    monkeypatch.setitem(extract.EXTRACTORS, "slow", lambda p, s, x: time.sleep(5))
+    assert extract.extract_source("f", "slow", b"", 0.05).error == "parse_timeout"
+    monkeypatch.setitem(extract.EXTRACTORS, "broken", lambda p, s, x: 1 / 0)
+    assert extract.extract_source("f", "broken", b"").errors == ["ZeroDivisionError: division by zero"]
+    assert extract.extract_source("f", "python", b"#" * (1 << 21)).error == "too_large"
+    assert extract.extract_source("f", "markdown", b"").error == "no_grammar"
