@@ -146,16 +146,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
-def features(n: Node, parent: str) -> list[str]:
-    out = [f"tag {n.tag}", f"in {parent} {n.tag}", f"size {min(n.total.bit_length(), 11)}"]
-    if n.total:
-        out.append(f"links {4 * n.linked // n.total}")
-    if n.attributes.strip():
-        words = set()
-        for name, a, b, c in ATTRIBUTE.findall(n.attributes):
-            if name.lower() in ("class", "id", "role"):
-                words.update(w.lower() for w in WORDS.findall(a or b or c))
-        out += [f"word {w}" for w in words]
+def named(n: Node) -> set[str]:
+    """The words of an element's class, id and role."""
+    if not n.attributes.strip():
+        return set()
+    return {w.lower() for name, a, b, c in ATTRIBUTE.findall(n.attributes) if name.lower() in ("class", "id", "role") for w in WORDS.findall(a or b or c)}
+
+
+def features(nodes: list[Node]) -> list[list[str]]:
+    """What is seen of each element; the words that name its parent count too."""
+    own = [named(n) for n in nodes]
+    out = []
+    for n, words in zip(nodes, own, strict=True):
+        f = [f"tag {n.tag}", f"in {nodes[n.parent].tag if n.parent >= 0 else ''} {n.tag}", f"size {min(n.total.bit_length(), 11)}"]
+        if n.total:
+            f.append(f"links {4 * n.linked // n.total}")
+        f += [f"word {w}" for w in words]
+        if n.parent >= 0:
+            f += [f"under {w}" for w in own[n.parent]]
+        out.append(f)
     return out
 
 
@@ -174,7 +183,7 @@ class Model:
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Log odds that each element is content, by one pass up and one down."""
         get, exp, log = self.unary.get, math.exp, math.log
-        up = [sum(get(f, 0.0) for f in features(n, nodes[n.parent].tag if n.parent >= 0 else "")) for n in nodes]
+        up = [sum(get(f, 0.0) for f in seen) for seen in features(nodes)]
         sent = [0.0] * len(nodes)
         pairs = [self.pair[kind(n.tag)] for n in nodes]
         for i in range(len(nodes) - 1, 0, -1):
@@ -200,7 +209,7 @@ class Model:
 MARKED = re.compile(r"\s*\blabel=\"([01])\"")
 
 
-def learn(pages: Iterator[str], smoothing: float = 0.5, weight: float = 0.7) -> Model:
+def learn(pages: Iterator[str], smoothing: float = 0.5, weight: float = 1.0) -> Model:
     """Counts features and parent-child states over marked pages; `weight` tempers features that say the same."""
     seen: dict[str, list[float]] = defaultdict(lambda: [smoothing, smoothing])
     states: dict[str, Counter] = {k: Counter() for k in ("inline", "section", "block")}
@@ -212,9 +221,9 @@ def learn(pages: Iterator[str], smoothing: float = 0.5, weight: float = 0.7) ->
             mark = MARKED.search(n.attributes)
             label.append(int(mark[1]) if mark else label[n.parent] if n.parent >= 0 else 0)
             n.attributes = MARKED.sub("", n.attributes)
-        for n, y in zip(nodes, label, strict=True):
+        for n, y, found in zip(nodes, label, features(nodes), strict=True):
             total[y] += 1
-            for f in features(n, nodes[n.parent].tag if n.parent >= 0 else ""):
+            for f in found:
                 seen[f][y] += 1
             if n.parent >= 0:
                 states[kind(n.tag)][label[n.parent], y] += 1

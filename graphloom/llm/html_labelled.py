@@ -48,6 +48,11 @@ def paragraphs(rng: random.Random, n: int) -> str:
     return "".join(out)
 
 
+def heading(rng: random.Random) -> str:
+    tag = rng.choice(("h2", "h3", "h4"))
+    return f"<{tag}>{words(rng, rng.randint(1, 3))}</{tag}>"
+
+
 def comment(rng: random.Random) -> str:
     tag = rng.choice(("div", "li", "article"))
     return f'<{tag} class="comment"><p class="author">{words(rng, 1)}</p><p>{sentences(rng, rng.randint(1, 4))}</p></{tag}>'
@@ -59,11 +64,11 @@ PARTS = (
     lambda r: f'<div class="{r.choice(("menu", "navbar", "nav", "main-menu", "breadcrumb", "breadcrumbs"))}"><ul>{links(r, r.randint(2, 8))}</ul></div>',
     lambda r: f'<header><a href="/">{words(r, 2)}</a><p>{words(r, r.randint(2, 6))}</p></header>',
     lambda r: f"<header><h1>{words(r, r.randint(1, 4))}</h1>{'<p>' + sentences(r, 1) + '</p>' if r.random() < 0.5 else ''}</header>",
-    lambda r: f'<div id="{r.choice(("header", "masthead", "banner", "top"))}"><h2>{words(r, 2)}</h2><p>{words(r, 4)}</p></div>',
+    lambda r: f'<div id="{r.choice(("header", "masthead", "banner", "top"))}">{heading(r)}<p>{words(r, 4)}</p></div>',
     lambda r: f"<footer>&copy; {words(r, 2)} &middot; {sentences(r, r.randint(1, 3))}</footer>",
     lambda r: f'<div class="{r.choice(("footer", "site-footer", "copyright", "legal"))}"><p>{sentences(r, r.randint(1, 3))}</p></div>',
-    lambda r: f'<aside><h3>{words(r, 2)}</h3><p>{sentences(r, r.randint(1, 4))}</p><ul>{links(r, 3)}</ul></aside>',
-    lambda r: f'<div class="{r.choice(("sidebar", "related", "widget", "recommended", "popular", "side", "rail"))}"><h3>{words(r, 2)}</h3><ul>{links(r, 4)}</ul><p>{sentences(r, r.randint(1, 2))}</p></div>',
+    lambda r: f'<aside>{heading(r)}<p>{sentences(r, r.randint(1, 4))}</p><ul>{links(r, 3)}</ul></aside>',
+    lambda r: f'<div class="{r.choice(("sidebar", "related", "widget", "recommended", "popular", "side", "rail"))}">{heading(r)}<ul>{links(r, 4)}</ul><p>{sentences(r, r.randint(1, 2))}</p></div>',
     lambda r: f'<div class="{r.choice(("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot", "banner-ad"))}">{sentences(r, r.randint(1, 3))}</div>',
     lambda r: f'<div class="{r.choice(("ad", "promo", "sponsored", "advert"))}"><p>{sentences(r, r.randint(1, 4))}</p><a href="/buy">{words(r, 2)}</a></div>',
     lambda r: f'<ins class="ads">{words(r, 8)}</ins>',
@@ -72,7 +77,7 @@ PARTS = (
     lambda r: f'<form action="/s"><label>{words(r, 2)}</label><input name="q"><select><option>{words(r, 1)}<option>{words(r, 1)}</select><textarea>{words(r, 3)}</textarea><button>{words(r, 1)}</button></form>',
     lambda r: f'<div class="{r.choice(("newsletter", "subscribe", "signup", "login"))}"><form><p>{sentences(r, 1)}</p><input></form></div>',
     lambda r: f'<div class="{r.choice(("share", "social", "tags", "meta", "byline", "pager", "pagination"))}">{"".join(f"<a href=/s>{words(r, 1)}</a> " for _ in range(4))}</div>',
-    lambda r: f'<section class="{r.choice(("comments", "comment-list", "discussion", "responses", "replies", "disqus"))}"><h3>{words(r, 2)}</h3>{"".join(comment(r) for _ in range(r.randint(1, 5)))}</section>',
+    lambda r: f'<section class="{r.choice(("comments", "comment-list", "discussion", "responses", "replies", "disqus"))}">{heading(r)}{"".join(comment(r) for _ in range(r.randint(1, 5)))}</section>',
     lambda r: f'<div id="comments"><ol>{"".join(comment(r) for _ in range(r.randint(1, 4)))}</ol></div>',
     lambda r: f"<noscript><p>{sentences(r, 1)}</p></noscript>",
 )

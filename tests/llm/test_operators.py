@@ -474,7 +474,7 @@ def test_html_marginals_are_exact():
 
     model = html_extract.default_model()
     nodes, _ = html_extract.parse("<body><div><p>some text here</p><a>x</a></div><nav><a>y</a></nav></body>")
-    unary = [sum(model.unary.get(f, 0) for f in html_extract.features(n, nodes[n.parent].tag if n.parent >= 0 else "")) for n in nodes]
+    unary = [sum(model.unary.get(f, 0) for f in seen) for seen in html_extract.features(nodes)]
     total = np.zeros((len(nodes), 2))
     for states in itertools.product((0, 1), repeat=len(nodes)):
         w = math.exp(sum(u for u, s in zip(unary, states, strict=True) if s))
