@@ -101,7 +101,7 @@ def top_symbols(members: DataFrame, degree: DataFrame, k: int = 5) -> DataFrame:
 
 
 def content_hash(members: DataFrame) -> DataFrame:
-    """community and a hash of its members."""
+    """community and a hash of its members; the members' ids are joined in one string, as the hash is defined on it."""
     return members.groupBy("community").agg(F.substring(F.sha1(F.array_join(F.array_sort(F.collect_list("id")), "|")), 1, 16).alias("content_hash"))
 
 

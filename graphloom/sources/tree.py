@@ -154,10 +154,13 @@ def measured(files: DataFrame) -> DataFrame:
 
 
 def limited(files: DataFrame, limits: Limits) -> DataFrame:
-    """Files in path order until one of the limits is passed; the file that passes it is the last. `size` and `path` are read only."""
+    """Files in path order until one of the limits is passed; the file that passes it is the last.
+
+    The running sums see the first `limits.files + 1` paths only, so one task sorts no more than that.
+    """
+    first = files.select("path", "size").orderBy("path").limit(limits.files + 1)
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.select("path", F.count("*").over(before).alias("n"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("bytes"))
-    kept = sizes.where((F.col("n") <= limits.files) & (F.col("bytes") <= limits.total_bytes)).select("path")
+    kept = first.withColumn("bytes", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("bytes") <= limits.total_bytes).select("path")
     return files.join(kept, "path", "left_semi")
 
 
