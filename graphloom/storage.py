@@ -20,8 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application's tables stand."""
+    return f"{shared_dir(spark)}/graphloom-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that this application has cut; results that still read them are lost."""
+    remove(spark, session_dir(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
