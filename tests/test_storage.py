@@ -25,3 +25,12 @@ def test_upsert_update_latest(spark):
     assert sorted(tuple(r) for r in storage.point_update(old, new, "k", ["v"]).collect()) == [("a", 1), ("b", 3)]
     events = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "k string, t int, v string")
     assert sorted(tuple(r) for r in storage.latest(events, "k", ["t"]).collect()) == [("a", 2, "y"), ("b", 1, "z")]
+
+
+def test_ship(spark):
+    import zipfile
+
+    from graphloom.session import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert "graphloom/storage.py" in names and all(n.startswith("graphloom/") for n in names)
