@@ -54,8 +54,8 @@ def anchors(raw: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
             h = h[:-n] * power + h[n:]
             power, n = power * power, 2 * n
         h = mix64(h)
-    bits = np.uint64(max(1, int(len(raw)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    # The upper half of the hash orders places, and where it is equal the leftmost wins, alike in slices of any size.
+    low = np.uint64(0xFFFFFFFF)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     width, size, at, best, level = length - ANCHOR + 1, 1, 0, None, key
     total = len(key) - width + 1
