@@ -186,8 +186,10 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
         return pd.DataFrame({"at": [pdf["at"].min()], "sums": [total.tobytes()]})
 
     parts = train.select("doc_id", "stats", "label").mapInPandas(partial, "at int, sums binary")
-    # A tree: up to 8 sums of a fixed size reach the driver, whatever the number of partitions.
-    tree = parts.groupBy((F.col("at") % 64).alias("k")).applyInPandas(added, "at int, sums binary").groupBy((F.col("at") % 8).alias("k")).applyInPandas(added, "at int, sums binary")
+    # A tree: one sum of a fixed size reaches the driver, whatever the number of partitions.
+    tree = parts
+    for width_ in (64, 8, 1):
+        tree = tree.groupBy((F.col("at") % width_).alias("k")).applyInPandas(added, "at int, sums binary")
     total = np.zeros((FOLDS, width + 1, width + 1))
     for row in sorted(tree.collect(), key=lambda r: r["at"]):
         total += np.frombuffer(row["sums"]).reshape(total.shape)
