@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import slices, utf8_bytes
 
 PAD, UNIT, RESTART = 576, 384, 8
-SLICE = 3 << 20
+SLICE = 3 << 19
 #: Units of 16 pixels that fit one column of an image of the format's largest height.
 MOST_ROWS = 4000
 
