@@ -25,9 +25,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(7):
         key <<= np.uint64(9)
         key[: n - k] |= np.where(ahead[: n - k] >= k, np.minimum(text[k:], 511), 0).astype(np.uint64)
-    # Suffixes whose separator is among the first letters differ by it.
+    # Suffixes whose separator is among the first letters differ by it; where the letters agree, a stable sort has them in its order.
     own = np.where(ahead < 7, end, 0)
-    order = np.lexsort((own, key))
+    order = np.argsort(key, kind="stable")
     differ = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.concatenate(([0], differ.astype(np.int64))))
@@ -35,7 +35,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     while done < depth and rank[order[-1]] < n - 1:
         pair = rank << 32
         pair[: n - done] |= rank[done:] + 1
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         sorted_ = pair[order]
         rank[order] = np.cumsum(np.concatenate(([0], (sorted_[1:] != sorted_[:-1]).astype(np.int64))))
         done *= 2
