@@ -105,10 +105,11 @@ def dead_code(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> D
     return own.orderBy("id").limit(limit) if limit else own
 
 
-def marker_scan(texts: DataFrame, key: str, words=("TODO", "FIXME", "XXX", "HACK", "NOTE"), largest: int = 200_000, k: int = 10) -> DataFrame:
-    """The `k` texts with most markers: key, n and up to two samples."""
+def marker_scan(texts: DataFrame, key: str, words=("TODO", "FIXME", "XXX", "HACK", "NOTE"), largest: int | None = None, k: int = 10) -> DataFrame:
+    """The `k` texts with most markers: key, n and up to two samples. With `largest`, texts of more bytes are left out."""
     found = markers(F.col("text"), words)
-    own = texts.where(F.octet_length("text") <= largest).select(key, found.alias("found")).where(F.size("found") > 0)
+    own = texts if largest is None else texts.where(F.octet_length("text") <= largest)
+    own = own.select(key, found.alias("found")).where(F.size("found") > 0)
     return own.select(key, F.size("found").alias("n"), F.slice("found", 1, 2).alias("samples")).orderBy(F.desc("n"), key).limit(k)
 
 

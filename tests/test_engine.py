@@ -159,3 +159,14 @@ def test_catalog_and_command_line(spark, index, tree, tmp_path, monkeypatch, cap
     assert set(tops[2]) == {"aye", "bee"} and len(tops[0]) == 5
     catalog.delete("demo-1")
     assert catalog.repositories().isEmpty()
+
+
+def test_marker_scan_reads_whole_texts(spark, tmp_path):
+    from graphloom.queries import QUERIES
+
+    rows = [(1, "the end"), (2, "the long line goes on and on, for more than the eighty letters of a sample, and then ends here.\n" * 2500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert len(rows[1][1]) > 200_000
+    assert [(r.doc_id, r.n) for r in QUERIES["marker_scan"](spark, str(tmp_path)).collect()] == [(2, 2500), (1, 1)]
+    texts = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r.doc_id for r in query.marker_scan(texts, "doc_id", ("the",), largest=200_000).collect()] == [1]
