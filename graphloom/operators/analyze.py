@@ -136,10 +136,12 @@ def strongly_connected(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Nodes without a way in or out are trimmed. Then the smallest label that reaches each node spreads forward to a
     fixpoint; from each label's own node, the nodes of that label that reach it are its component. What is
-    settled leaves, and the rest goes on.
+    settled leaves, with the ties between labels, and the rest goes on until nothing is left. Labels are in the order
+    of a hash, so that a chain of components falls apart into short pieces. `most_rounds` bounds only the trimming
+    before each spread, which saves work and settles nothing by itself.
     """
     left, settled = cut(pairs.select("src", "dst").where("src != dst").distinct(), "scc"), None
-    for _ in range(most_rounds):
+    while True:
         for _ in range(most_rounds):  # trim
             ends = left.select("src").distinct().join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
             inner = cut(left.join(ends, "src", "left_semi").join(ends.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"), "scc")
@@ -150,7 +152,8 @@ def strongly_connected(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
                 break
         if left.isEmpty():
             break
-        color = cut(left.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")), "color")
+        nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
+        color = cut(nodes.withColumn("color", F.struct(F.xxhash64("node").alias("hash"), F.col("node").alias("own"))), "color")
         while True:
             offered = left.join(color, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.min("color").alias("offer"))
             new = cut(color.join(offered, F.col("node") == F.col("to"), "left").select("node", F.least("color", "offer").alias("color"), (F.coalesce("offer", "color") < F.col("color")).alias("changed")), "color")
@@ -163,7 +166,7 @@ def strongly_connected(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
         # Backward from each color's own node, within the color.
         same = left.join(color.select(F.col("node").alias("src"), F.col("color").alias("cs")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("color"))
         same = cut(same, "same")
-        reach = cut(color.where("node = color"), "reach")
+        reach = cut(color.where("node = color.own"), "reach")
         frontier = reach
         while True:
             back = same.join(frontier.select(F.col("node").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
@@ -174,11 +177,11 @@ def strongly_connected(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
         found = reach.select("node", F.col("color").alias("component"))
         settled = found if settled is None else settled.unionByName(found)
         gone = reach.select("node")
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
+        left = cut(same.select("src", "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
     if settled is None:
         return pairs.sparkSession.createDataFrame([], "node string, component string")
-    big = settled.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return settled.join(big, "component", "left_semi").select("node", "component")
+    big = settled.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1").select("component", "least")
+    return settled.join(big, "component").select("node", F.col("least").alias("component"))
 
 
 def import_cycles(nodes: DataFrame, edges: DataFrame, k: int = 50) -> DataFrame:

@@ -170,3 +170,11 @@ def test_marker_scan_reads_whole_texts(spark, tmp_path):
     assert [(r.doc_id, r.n) for r in QUERIES["marker_scan"](spark, str(tmp_path)).collect()] == [(2, 2500), (1, 1)]
     texts = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert [r.doc_id for r in query.marker_scan(texts, "doc_id", ("the",), largest=200_000).collect()] == [1]
+
+
+def test_scc_goes_on_until_nothing_is_left(spark):
+    """A chain of two-file cycles, in which the smallest name reaches all others."""
+    n = 4
+    pairs = [x for i in range(n) for x in ((f"a{i}", f"b{i}"), (f"b{i}", f"a{i}"), (f"b{i}", f"a{i + 1}"))][:-1]
+    got = {r.node: r.component for r in analyze.strongly_connected(spark.createDataFrame(pairs, "src string, dst string"), 1).collect()}
+    assert got == {f"{s}{i}": f"a{i}" for i in range(n) for s in "ab"}
