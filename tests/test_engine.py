@@ -178,3 +178,11 @@ def test_scc_goes_on_until_nothing_is_left(spark):
     pairs = [x for i in range(n) for x in ((f"a{i}", f"b{i}"), (f"b{i}", f"a{i}"), (f"b{i}", f"a{i + 1}"))][:-1]
     got = {r.node: r.component for r in analyze.strongly_connected(spark.createDataFrame(pairs, "src string, dst string"), 1).collect()}
     assert got == {f"{s}{i}": f"a{i}" for i in range(n) for s in "ab"}
+
+
+def test_unused_and_orphans_of_all_edges(spark):
+    """Any call or instantiation is a use, and any import a tie, whatever its confidence, number or region."""
+    nodes = spark.createDataFrame([(f"file:{p}", "file", p, p) for p in ("r0/a", "r1/b", "r1/c", "r2/d")] + [(f"f{i}", "function", f"f{i}", "r0/a") for i in range(4)], "id string, kind string, qualified string, file string")
+    edges = spark.createDataFrame([("f0", "f1", "calls", "INFERRED", 9), ("f0", "f2", "instantiates", "EXTRACTED", 500), ("file:r1/b", "file:r1/c", "imports", "EXTRACTED", 1)], "src string, dst string, relation string, confidence string, seq bigint")
+    assert [r.id for r in query.dead_code(nodes, edges).collect()] == ["f0", "f3"]
+    assert {r.path for r in analyze.orphan_files(nodes, edges).collect()} == {"r0/a", "r2/d"}
