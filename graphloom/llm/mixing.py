@@ -105,6 +105,15 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return parts.groupBy("sid", "bucket", "place", "doc_id", "size", "source_size", "target").agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself, in slot order: slot, source, k (the block of its stream), doc_id, and the words first to before `stop` of that document."""
+    sized = cut(sizes(docs), "sizes")
+    sources = cut(targets(sized), "targets")
+    parts = segments(streams(sized, sources), block).join(schedule(sources, block), ["sid", "k"])
+    words = parts.select("slot", "source", "k", "doc_id", (F.col("low") - F.col("begin")).alias("first"), (F.col("high") - F.col("begin")).alias("stop"), "low")
+    return words.orderBy("slot", "low").drop("low")
+
+
 ORACLE_SQL = r"""
 WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sized GROUP BY source),

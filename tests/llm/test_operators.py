@@ -243,6 +243,28 @@ def test_mixing_schedule(docs, spark):
         assert all(abs(sum(r.sid == s for r in slots[:n]) - share * n) < 5 for n in range(0, len(slots), 37))
 
 
+def test_mixed_sequence(docs, spark):
+    out = mixing.mixed(docs, 64).collect()
+    assert [r.slot for r in out] == sorted(r.slot for r in out)
+    own = {}
+    for r in out:
+        own[r.doc_id] = own.get(r.doc_id, 0) + r.stop - r.first
+    want = {}
+    for r in mixing.mix(docs, 64).where("taken > 0").collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    assert own == want and all(0 <= r.first < r.stop for r in out)
+    blocks = {}
+    for r in out:
+        blocks.setdefault((r.slot, r.source, r.k), 0)
+        blocks[r.slot, r.source, r.k] += r.stop - r.first
+    assert len(blocks) == len({r.slot for r in out}) and max(blocks.values()) <= 64
+    # Sources alternate as the schedule has it, and the blocks of each come in their order.
+    assert len({r.source for r in out[:40]}) > 1
+    for source in {r.source for r in out}:
+        mine = [r.k for r in out if r.source == source]
+        assert mine == sorted(mine)
+
+
 def test_mixing_of_nothing(spark):
     out = mixing.mix(spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id bigint, text string, source string"))
     assert [(r.size, r.target, r.taken) for r in out.collect()] == [(0, 0.0, 0)] * 2
