@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, utf8_bytes
+from .common import cut, slices, utf8_bytes
 
 PAD, UNIT, RESTART = 576, 384, 8
 SLICE = 3 << 19
@@ -625,7 +625,21 @@ def load(media: DataFrame, tensors: bool = True) -> DataFrame:
     return media.mapInArrow(loaded, f"{own}, {fields}")
 
 
+def described(tensors: DataFrame) -> DataFrame:
+    """`tensors` (with width, height and rgb) with the feature of each stored tensor in place of rgb."""
+    names = [c for c in tensors.columns if c != "rgb"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [feature(np.frombuffer(x.as_py(), np.uint8).reshape(h, w, 3)) for x, h, w in zip(batch.column("rgb"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.string())], [*names, "feature"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tensors.schema.fields if f.name != "rgb")
+    return tensors.mapInArrow(read, f"{own}, feature string")
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """What was stored for every row of `docs`, as read back."""
-    read = load(store(docs), tensors=False)
-    return read.select("doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    """What was stored for every row of `docs`, as read back: the media are a table of the shared folder, and so are their tensors."""
+    media = cut(store(docs), "media")
+    read = load(media).select("doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "width", "height", "rgb")
+    return described(cut(read, "tensors")).drop("width", "height")

@@ -477,6 +477,23 @@ def test_jpeg_tensors(spark):
     assert bytes(row.media[:2]) == b"\xff\xd8" and b"\xff\xc2" in bytes(row.media) and bytes(row.media[-2:]) == b"\xff\xd9"
 
 
+def test_jpeg_digests_are_of_stored_media_and_tensors(spark):
+    from pyspark.sql.types import BinaryType
+
+    from graphloom import storage
+
+    at = storage.session_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    df = spark.createDataFrame([(1, "x" * 1000), (2, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in progressive_jpeg.digests(df).collect()}
+    new = {n.split("-")[0]: spark.read.parquet(f"{at}/{n}") for n in (set(os.listdir(at)) if os.path.isdir(at) else set()) - before}
+    assert set(new) == {"media", "tensors"} and all(isinstance(new[t].schema[c].dataType, BinaryType) for t, c in (("media", "media"), ("tensors", "rgb")))
+    for r in new["media"].collect():
+        assert got[r.doc_id].media_sha256 == hashlib.sha256(r.media).hexdigest()
+    for r in new["tensors"].collect():
+        assert got[r.doc_id].feature == progressive_jpeg.feature(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3))
+
+
 # 9: HTML
 
 
