@@ -6,10 +6,11 @@ still begin a token, the last token at each place inside that suffix, and the co
 states of a deterministic transducer; each transition carries the number of tokens it emits (negative where a
 merge takes tokens back). States are compiled when first reached and shared by all words of a Python worker.
 
-A chunk of text is a map from the state it is entered in to the state it is left in and the tokens emitted.
-White space leads every state to the start, so the map of a chunk is kept as the piece before its first white
-space, the count of what lies between, and the piece after the last. Such maps compose associatively; long texts
-are cut into chunks whose maps are composed by a tree-shaped prefix scan.
+White space leads every state to the start, so a chunk of text is kept as the piece before its first white space,
+the count of what lies between, and the piece after the last. The pieces at the edges are kept as text: joining two
+chunks joins their pieces and counts the joined one from the start, and no state of the transducer crosses a chunk.
+Joining is associative, and long texts are cut into chunks that are joined in a tree; a long text without white
+space is one piece, which is counted in one run at the end.
 
 Nulls and empty texts have no tokens. Rows are independent: repeated rows give equal counts, other columns are
 neither read nor returned, and an empty table gives an empty result.
