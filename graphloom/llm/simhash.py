@@ -211,8 +211,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that are the smallest doc_id of their component, each doc_id once; rows without doc_id stay."""
-    others = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    mark = "_graphloom_row"
-    kept = docs.join(others, "doc_id", "left_anti").withColumn(mark, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    """The rows of `docs`, all columns, that head their group of near duplicates: the smallest doc_id, and of several texts of it the one of smallest hash.
+
+    Rows are told apart by doc_id and a 64-bit hash of the text, and groups are made of fingerprints, so texts that
+    share a doc_id but not a group have a head each. A row that repeats both stays once; rows without doc_id stay.
+    """
+    mark, row = "_graphloom_text", "_graphloom_row"
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias(mark))
+    fps = cut(fingerprints(own.select(F.struct("doc_id", mark).alias("doc_id"), "text")).where("doc_id.doc_id is not null"), "fingerprints")
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    found = components(links(reps.select("fp", F.col("fp").alias("node"))))
+    labelled = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    heads = labelled.groupBy("group").agg(F.min("first").alias("head"))
+    others = fps.join(labelled.join(heads, "group").select("fp", "head"), "fp").where("doc_id != head").select("doc_id.doc_id", f"doc_id.{mark}").distinct()
+    kept = docs.withColumn(mark, F.xxhash64("text")).join(others, ["doc_id", mark], "left_anti")
+    kept = kept.withColumn(row, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", mark, row]).select(*docs.columns)

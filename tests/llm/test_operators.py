@@ -171,6 +171,14 @@ def test_one_of_each(docs):
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i in comp if comp[i] == i)
 
 
+def test_one_of_each_of_repeated_ids(spark):
+    """One id with three texts: one near a smaller id, one that heads a group of its own, one alone."""
+    a, b, c = PASSAGE, " ".join(f"other{i}" for i in range(40)), " ".join(f"third{i}" for i in range(40))
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (7, b)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted([(1, a), (5, b), (5, c)])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (202, 201), (300, 300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
