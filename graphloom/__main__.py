@@ -1,4 +1,4 @@
-"""python -m graphloom index DIR [--repo ID] [--catalog DIR] | status | search TEXT | export FILE.(json|md|html)"""
+"""python -m graphloom index TARGET [--ref REF] [--subdir DIR] [--repo ID] [--catalog DIR] | status | search TEXT | export FILE.(json|md|html)"""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("command", choices=("index", "status", "search", "export"))
     parser.add_argument("what", nargs="?", default="")
     parser.add_argument("--repo")
+    parser.add_argument("--ref")
+    parser.add_argument("--subdir")
     parser.add_argument("--catalog", default=os.path.abspath(".graphloom"))
     own = parser.parse_args(args)
     from pyspark.sql import SparkSession
@@ -21,15 +23,16 @@ def main(args: list[str] | None = None) -> int:
     from .plans import export
     from .plans.catalog import TABLES, Catalog
     from .plans.engine import Engine, Index
-    from .sources.targets import index_root, repo_id, resolve_target
+    from .sources.targets import fetch, index_root, locate, repo_id
 
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     catalog = Catalog(spark, own.catalog)
     if own.command == "index":
-        target = resolve_target(own.what)
-        index = Engine(spark).index(index_root(target, f"{own.catalog}/clones"), target.name or "repo")
-        catalog.save(index, own.repo or repo_id(target))
-        print(json.dumps(catalog.info(own.repo or repo_id(target)), indent=1))
+        place, clones = locate(own.what, own.ref, own.subdir), f"{own.catalog}/clones"
+        fetch(place, clones)
+        index = Engine(spark).index(index_root(place, clones), place.name)
+        catalog.save(index, own.repo or repo_id(place))
+        print(json.dumps(catalog.info(own.repo or repo_id(place)), indent=1))
     elif own.command == "status":
         for row in catalog.repositories().collect():
             print(row["repo_id"], row["indexed_at"], row["files"], row["nodes"], row["edges"])

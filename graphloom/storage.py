@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The shuffle files of a plan that runs once are not needed after it.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder all executors and the driver share: `spark.checkpoint.dir`; where it is unset, one of our own in a single process, and on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -59,6 +63,16 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def dealt(*key: str) -> Column:
+    """A join key that is dealt out anew although one side is already summed by `key`.
+
+    Spark splits a skewed key of a join only where both sides come straight from a shuffle; a side that was summed by
+    the same key is joined in the task that summed it, unsplit. The key as a struct asks for a shuffle of its own,
+    which carries one row a key.
+    """
+    return F.struct(*key)
+
+
 def overwrite(df: DataFrame, path: str, *by: str) -> None:
     """Replaces a table, or with `by` only the partitions that `df` has."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

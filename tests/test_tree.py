@@ -1,4 +1,6 @@
-from graphloom.sources.targets import repo_id, resolve_target, slug
+import os
+
+from graphloom.sources.targets import checkout, fetch, index_root, locate, repo_id, slug
 from graphloom.sources.tree import IgnoreFile, Limits, limited, scan_table
 
 import pytest
@@ -38,11 +40,37 @@ def test_scan_of_a_table(spark):
 
 
 def test_targets(tmp_path):
-    t = resolve_target("owner/name")
-    assert (t.url, t.owner, t.name) == ("https://github.com/owner/name.git", "owner", "name")
-    assert resolve_target("git@host.org:a/b.git").host == "host.org"
-    assert resolve_target(str(tmp_path)).kind == "local" and repo_id(resolve_target(str(tmp_path))).startswith("local-")
+    place = locate("owner/name")
+    assert (place.address, place.owner, place.name) == ("https://github.com/owner/name.git", "owner", "name")
+    assert locate("git@host.org:a/b.git").host == "host.org" and locate("ssh://u@h.org:22/x/y/z.git").names == ("x", "y", "z")
+    assert locate(str(tmp_path)).folder == str(tmp_path.resolve()) and repo_id(locate(str(tmp_path))).startswith("local-")
+    assert repo_id(place).startswith("github.com__owner__name@head-") and repo_id(place) != repo_id(locate("owner/name", "v1"))
     assert slug("  A b/ c! ") == "a-b-c"
-    for bad in ("", "ext::sh -c x", "file:///etc", "-x/y", "/no/such/dir", "a b/c"):
+    for bad in ("", "ext::sh -c x", "file:///etc", "-x/y", "/no/such/dir", "a b/c", "https:///x", "@h:p", "a/b/c"):
+        with pytest.raises(ValueError):
+            locate(bad)
+
+
+def test_refs_and_subdirectories(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").symlink_to("/")
+    assert index_root(locate(str(tmp_path), subdir="./in/"), "") == str((tmp_path / "in").resolve())
+    for ref, subdir in (("-x", None), ("a b", None), (None, "../x"), (None, "/x"), (None, "c:\\x"), (None, "a/../b")):
         with pytest.raises(ValueError):
-            resolve_target(bad)
+            locate(str(tmp_path), ref, subdir)
+    with pytest.raises(ValueError):
+        index_root(locate(str(tmp_path), subdir="out/etc"), "")
+
+
+def test_fetch_makes_a_shallow_copy_once(tmp_path):
+    calls = []
+
+    def run(command, **more):
+        calls.append((command, more))
+        os.makedirs(os.path.join(command[-1], ".git"))
+
+    place = locate("owner/name", "v1")
+    at = fetch(place, str(tmp_path), run)
+    assert at == fetch(place, str(tmp_path), run) == checkout(place, str(tmp_path)) and len(calls) == 1
+    command, more = calls[0]
+    assert command[-3:] == ["--", place.address, at] and ["--branch", "v1"] == command[-5:-3] and more["env"]["GIT_TERMINAL_PROMPT"] == "0"
