@@ -9,6 +9,9 @@ A block is the text between starts and ends of block-level elements; `br` is whi
 are decoded, white space becomes one space, blocks are joined by a newline. Comments, script, style and other raw
 elements have no text. Missing end tags, stray ones and truncated pages are read as browsers do in the main.
 
+Pages are read in one pass, whatever is left open in them, and time and memory are in proportion to a page: a page is
+held whole, with about 500 bytes for each of its elements.
+
 A null or empty page has empty text. Rows are independent: repeated rows get equal results, and other columns are not
 read. An empty table gives an empty result.
 """
@@ -29,8 +32,10 @@ from pyspark.sql import DataFrame
 from .common import slices
 from .html_labelled import labelled_pages
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: The rest of a tag up to its end; nothing is tried twice, so a tag that never ends is found out in one pass.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)")
+ATTRIBUTE = re.compile(r"([^\s=\"'/<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; what they hold is no text of the page.
 RAW = frozenset("script style textarea title noembed noframes iframe xmp template".split())
@@ -42,6 +47,7 @@ ENDS = {t: ({"p"}, {"button", "td", "th", "table", "object", "html"}) for t in _
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "p"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th", "p"}, {"table"}), "body": ({"head"}, {"html"}),
 }
 WORDS = re.compile(r"[A-Za-z]+")
+RAW_END = {t: re.compile(rf"</{t}(?![^\s/>])", re.I) for t in RAW}
 
 
 @dataclass(slots=True)
@@ -57,16 +63,58 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+class Scanner:
+    """Finds the tags of a page in one pass; a reader may move `at` on.
+
+    A comment without end takes the rest of the page. A tag whose quotes never close ends at the next `>`, and so do
+    those that begin before the place of that quote. A `<` that no `>` follows is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at, self.last, self.broken = page, 0, page.rfind(">"), 0
+
+    def tag(self) -> tuple[int, str, bool, str] | None:
+        """Where the next tag starts, its name in small letters, whether it is an end tag, and its attributes; comments and declarations have no name."""
+        page, at = self.page, self.at
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                self.at = end + 3 if end >= 0 else len(page)
+                return at, "", False, ""
+            if at >= self.last:
+                return None
+            if page[at + 1] in "!?":
+                self.at = page.index(">", at) + 1
+                return at, "", False, ""
+            ends = page[at + 1] == "/"
+            name = NAME.match(page, at + 1 + ends)
+            if name is None:
+                at += 1
+                continue
+            rest = REST.match(page, name.end()) if at >= self.broken else None
+            if rest is not None and rest[2]:
+                self.at, attributes = rest.end(), rest[1]
+            else:
+                if rest is not None:
+                    self.broken = rest.end()
+                if name.end() > self.last:
+                    return None
+                self.at = page.index(">", name.end()) + 1
+                attributes = page[name.end() : self.at - 1]
+            return at, name[0].lower(), ends, attributes
+        return None
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The elements in page order, the first a root, and the text blocks with the element of each."""
+    """The elements in page order, the first a root, and the text blocks with the element of each; time in proportion to the page."""
     nodes = [Node("#root", "", -1)]
     blocks: list[tuple[int, str]] = []
     open_: list[int] = [0]
+    solid = [0]  # for each open element, the place of the nearest one, itself included, that is not inline
+    count: Counter = Counter()  # open elements by name
     run: list[str] = []
-    at, size, links = 0, len(page), 0
-
-    def block_of() -> int:
-        return next(i for i in reversed(open_) if nodes[i].tag not in INLINE)
+    size, links = len(page), 0
+    scanner = Scanner(page)
 
     def text(raw: str) -> None:
         run.append(raw)
@@ -81,60 +129,57 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             run.clear()
             whole = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if whole:
-                blocks.append((block_of(), whole))
+                blocks.append((open_[solid[-1]], whole))
+
+    def close(place: int) -> None:
+        nonlocal links
+        for i in open_[place:]:
+            count[nodes[i].tag] -= 1
+            links -= nodes[i].tag == "a"
+        del open_[place:], solid[place:]
 
     while True:
-        m = TOKEN.search(page, at)
-        if not m:
-            if at < size:
-                text(page[at:])
+        before = scanner.at
+        found = scanner.tag()
+        if found is None:
+            if before < size:
+                text(page[before:])
             break
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        start, tag, ends, attributes = found
+        if start > before:
+            text(page[before:start])
+        if not tag:
             continue
-        tag = tag.lower()
-        if m[1]:
-            place = next((k for k in range(len(open_) - 1, 0, -1) if nodes[open_[k]].tag == tag), 0)
-            if place:
-                if tag not in INLINE or any(nodes[i].tag not in INLINE for i in open_[place:]):
+        if ends:
+            if count[tag]:
+                place = next(k for k in range(len(open_) - 1, 0, -1) if nodes[open_[k]].tag == tag)
+                if tag not in INLINE or solid[-1] >= place:
                     flush()
-                links -= sum(nodes[i].tag == "a" for i in open_[place:])
-                del open_[place:]
+                close(place)
             continue
         if tag == "br":
             run.append(" ")
         if tag not in INLINE:
             flush()
             if tag in ENDS:
-                ends, stop = ENDS[tag]
-                k = len(open_) - 1
-                last = None
-                while k > 0 and nodes[open_[k]].tag not in stop:
-                    if nodes[open_[k]].tag in ends:
-                        last = k
-                    elif nodes[open_[k]].tag not in INLINE:
-                        break
-                    k -= 1
+                names, stop = ENDS[tag]
+                k, last = solid[-1], None
+                while k > 0 and nodes[open_[k]].tag not in stop and nodes[open_[k]].tag in names:
+                    last, k = k, solid[k - 1]
                 if last is not None:
-                    links -= sum(nodes[i].tag == "a" for i in open_[last:])
-                    del open_[last:]
-        elif tag == "a" and links:
-            k = next(k for k in range(len(open_) - 1, 0, -1) if nodes[open_[k]].tag == "a")
-            links -= 1
-            if k == len(open_) - 1:
-                del open_[k:]
-            else:
-                links += 1
-        nodes.append(Node(tag, m[3], open_[-1]))
+                    close(last)
+        elif tag == "a" and links and nodes[open_[-1]].tag == "a":
+            close(len(open_) - 1)
+        nodes.append(Node(tag, attributes, open_[-1]))
         nodes[open_[-1]].children.append(len(nodes) - 1)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/") or tag in _BLOCKS:
+            end = RAW_END[tag].search(page, scanner.at)
+            stop = page.find(">", end.end()) if end else -1
+            scanner.at = stop + 1 if stop >= 0 else size
+        elif tag not in VOID and not attributes.endswith("/") or tag in _BLOCKS:
             open_.append(len(nodes) - 1)
+            solid.append(solid[-1] if tag in INLINE else len(open_) - 1)
+            count[tag] += 1
             links += tag == "a"
     flush()
     for i in range(len(nodes) - 1, -1, -1):
@@ -153,19 +198,16 @@ def named(n: Node) -> set[str]:
     return {w.lower() for name, a, b, c in ATTRIBUTE.findall(n.attributes) if name.lower() in ("class", "id", "role") for w in WORDS.findall(a or b or c)}
 
 
+def shape(n: Node, nodes: list[Node]) -> list[str]:
+    """What is seen of an element without the words that name it."""
+    f = [f"tag {n.tag}", f"in {nodes[n.parent].tag if n.parent >= 0 else ''} {n.tag}", f"size {min(n.total.bit_length(), 11)}"]
+    return f + [f"links {4 * n.linked // n.total}"] if n.total else f
+
+
 def features(nodes: list[Node]) -> list[list[str]]:
-    """What is seen of each element; the words that name its parent count too."""
+    """All that is seen of each element; the words that name its parent count too."""
     own = [named(n) for n in nodes]
-    out = []
-    for n, words in zip(nodes, own, strict=True):
-        f = [f"tag {n.tag}", f"in {nodes[n.parent].tag if n.parent >= 0 else ''} {n.tag}", f"size {min(n.total.bit_length(), 11)}"]
-        if n.total:
-            f.append(f"links {4 * n.linked // n.total}")
-        f += [f"word {w}" for w in words]
-        if n.parent >= 0:
-            f += [f"under {w}" for w in own[n.parent]]
-        out.append(f)
-    return out
+    return [[*shape(n, nodes), *(f"word {w}" for w in words), *(f"under {w}" for w in (own[n.parent] if n.parent >= 0 else ()))] for n, words in zip(nodes, own, strict=True)]
 
 
 def kind(tag: str) -> str:
@@ -180,10 +222,17 @@ class Model:
     unary: dict[str, float]
     pair: dict[str, tuple[float, float, float, float]]
 
+    def potentials(self, nodes: list[Node]) -> list[float]:
+        """The log odds of each element's own features; what names a parent is added up once for all its children."""
+        get = self.unary.get
+        own = [named(n) for n in nodes]
+        under = [sum(get(f"under {w}", 0.0) for w in sorted(words)) if n.children else 0.0 for n, words in zip(nodes, own, strict=True)]
+        return [sum(get(f, 0.0) for f in shape(n, nodes)) + sum(get(f"word {w}", 0.0) for w in sorted(words)) + (under[n.parent] if n.parent >= 0 else 0.0) for n, words in zip(nodes, own, strict=True)]
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Log odds that each element is content, by one pass up and one down."""
-        get, exp, log = self.unary.get, math.exp, math.log
-        up = [sum(get(f, 0.0) for f in seen) for seen in features(nodes)]
+        exp, log = math.exp, math.log
+        up = self.potentials(nodes)
         sent = [0.0] * len(nodes)
         pairs = [self.pair[kind(n.tag)] for n in nodes]
         for i in range(len(nodes) - 1, 0, -1):
