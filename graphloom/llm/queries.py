@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html_extract, language_id, mixing, progressive_jpeg, quality, simhash, suffix_dedup, token_counts, warc
 
 #: Vocabulary files of public tokenizers; a parameter of the operators, fixed here for the registered queries.
-TOKENIZERS = "/opt/tokenizers"
+PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), PIECES)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_counts.count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), WORDS)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,8 @@ from graphloom.llm.run_index import RunIndex
 from . import brute
 
 DATA = "/root/testdata"
-TOKENIZERS = queries.TOKENIZERS
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-needs_tokenizers = pytest.mark.skipif(not os.path.isdir(TOKENIZERS), reason="no vocabularies")
+needs_tokenizers = pytest.mark.skipif(not os.path.isfile(queries.WORDS), reason="no vocabularies")
 
 _rng = random.Random(5)
 _word = lambda: "".join(_rng.choice("abcdefghij") for _ in range(_rng.randint(1, 8)))
@@ -285,7 +284,7 @@ def test_mixing_of_nothing(spark):
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = queries.WORDS
     library = Tokenizer.from_file(path)
     want = sorted((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t, _, _ in ROWS)
     assert sorted(tuple(r) for r in token_counts.count_tokens(docs, path).collect()) == want
@@ -296,25 +295,71 @@ def test_token_counts(docs, empty):
 def test_token_counts_of_random_text(monkeypatch):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    library, count = Tokenizer.from_file(path), token_counts.Counter(path)
+    library = Tokenizer.from_file(queries.WORDS)
     rng = random.Random(2)
-    letters = "abcdeghiorstu's ß é İ Σ 中 ३ ½ ´  \x1c ​!?.…-—\U0001f642" + "ABC"
+    letters = "abcdeghiorstu's ß é İ Σ 中 ३ ½ ´  \x1c ​!?.…-—\U0001f642" + "ABC" + "\u209d\u209e\ua7cb\ua7dc\u0301\u0345\u1100\u1161"
     special = ["<|endoftext|>", "they're", "'LL", "ΑΣ", "é"]
-    for chunk in (1 << 16, 7):
-        monkeypatch.setattr(token_counts, "CHUNK_CHARS", chunk)
+    for part, chunk in ((1 << 16, 1 << 16), (7, 3)):
+        monkeypatch.setattr(token_counts, "CHUNK", chunk)
+        monkeypatch.setattr(token_counts, "GROUP", 4 * chunk)
+        monkeypatch.setattr(token_counts.parts, "__defaults__", (part,))
+        count = token_counts.Counter(queries.WORDS)
         for _ in range(1500):
             t = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) + rng.choice(special) * rng.randint(0, 2)
             assert count(t) == len(library.encode(t, add_special_tokens=False).ids), t
 
 
+@needs_tokenizers
+def test_token_counts_of_every_kind_of_character():
+    """One of every 41 code points, and all of which Python's tables and the library's are known to differ, in five surroundings."""
+    from tokenizers import Tokenizer
+
+    library, count = Tokenizer.from_file(queries.WORDS), token_counts.Counter(queries.WORDS)
+    codes = [c for c in (*range(0x80, 0x110000, 41), *range(0x10D0, 0x1100), *range(0x2080, 0x20A0), *range(0xA7B0, 0xA800), *range(0x1C80, 0x1CC0)) if not 0xD800 <= c < 0xE000]
+    texts = [x.format(chr(c)) for c in codes for x in ("a{}b", "1{}!", "'{}s", "A{}\u0301", "{0}{0} {0}")]
+    wrong = [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if count(t) != len(e.ids)]
+    assert not wrong
+
+
+@needs_tokenizers
+def test_token_counts_of_long_words():
+    from tokenizers import Tokenizer
+
+    library, count = Tokenizer.from_file(queries.WORDS), token_counts.Counter(queries.WORDS)
+    rng = random.Random(3)
+    for t in ("".join(rng.choice("abcdehiorst") for _ in range(300_000)), "=" * 300_000, "'" * 9001 + "s", "中文" * 60_000, "a1" * 100_000, ("x" * 70_000 + " ") * 3):
+        assert count(t) == len(library.encode(t, add_special_tokens=False).ids), t[:20]
+        assert max(map(len, count.words), default=0) <= token_counts.LONGEST_RUN and len(count.words.transducer.fits) <= token_counts.MOST_FITS
+
+
+@needs_tokenizers
+def test_token_chunk_maps_compose():
+    """A map gives what running its chunk gives, from any state, and joining is associative."""
+    machine = token_counts.Counter(queries.WORDS).words.transducer
+    rng = random.Random(4)
+    chunks = ["".join(rng.choice("abcdehiorst=") for _ in range(rng.randint(1, 60))).encode() for _ in range(9)]
+    maps = [token_counts.ChunkMap(machine, c) for c in chunks]
+    left = maps[0]
+    for m in maps[1:]:
+        left = token_counts.then(left, m)
+    right = maps[-1]
+    for m in maps[-2::-1]:
+        right = token_counts.then(m, right)
+    for entry in rng.sample(range(len(machine.keys)), 40):
+        state, total = entry, 0
+        for b in b"".join(chunks):
+            state, n = machine.step(state, b)
+            total += n
+        assert left(entry) == right(entry) == token_counts.joined(maps)(entry) == (state, total)
+
+
 @needs_tokenizers
 def test_token_counts_survive_full_caches(monkeypatch):
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
-    whole = token_counts.Counter(path)(LONG)
-    monkeypatch.setattr(token_counts, "MOST_STATES", 50)
-    monkeypatch.setattr(token_counts, "MOST_WORDS", 10)
-    assert token_counts.Counter(path)(LONG) == whole
+    whole = token_counts.Counter(queries.WORDS)(LONG), token_counts.Counter(queries.WORDS)("abcdefgh" * 9000)
+    for name in ("MOST_STATES", "MOST_WORDS", "MOST_FITS"):
+        monkeypatch.setattr(token_counts, name, 50)
+    monkeypatch.setattr(token_counts, "GROUP", 5000)
+    assert (token_counts.Counter(queries.WORDS)(LONG), token_counts.Counter(queries.WORDS)("abcdefgh" * 9000)) == whole
 
 
 # 1: language identification
@@ -322,7 +367,7 @@ def test_token_counts_survive_full_caches(monkeypatch):
 
 @needs_tokenizers
 def test_language_forward_sums_all_segmentations():
-    vocab = language_id.vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    vocab = language_id.vocabulary(queries.PIECES)
     number = {p: i for i, p in enumerate(vocab.pieces)}
     rng = np.random.default_rng(0)
     weights = rng.random((vocab.size + 2, 2))
@@ -342,7 +387,7 @@ def test_language_forward_sums_all_segmentations():
 
 @needs_tokenizers
 def test_language_awkward(docs, empty):
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = queries.PIECES
     out = {r.doc_id: r for r in language_id.identify(docs, path).collect()}
     assert {i for i, r in out.items() if r.lang_pred == "und"} == {2, 3, 4}
     assert all(0 <= r.score <= 1 for r in out.values()) and out[2].score == 0
@@ -357,7 +402,7 @@ def test_language_awkward(docs, empty):
 @pytest.mark.parametrize("rounds", [1, 2])
 def test_language_held_out_accuracy(spark, rounds):
     df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
-    out = language_id.identify(df, f"{TOKENIZERS}/piece_bpe_32k.model", rounds).where("held_out").join(df.select("doc_id", "lang"), "doc_id")
+    out = language_id.identify(df, queries.PIECES, rounds).where("held_out").join(df.select("doc_id", "lang"), "doc_id")
     right, n = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
     assert n > 200 and right > 0.98
 
