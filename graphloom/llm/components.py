@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, drop
+from .common import cut, dealt, drop
 
 
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,7 +14,7 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least.withColumnRenamed("u", "w"), dealt("u") == dealt("w"))
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -25,8 +25,8 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) for every id that `links` (a, b) has; component is the smallest id reachable.
 
-    Each round is two joins on a node with the smallest neighbour of the node, which is one row; a node of many links
-    is split by the adaptive skew join. Rounds are written to the shared folder, and grow with the logarithm of the
+    Each round is two joins on a node with the smallest neighbour of the node, which is one row and has a shuffle of its
+    own, so that the adaptive skew join splits a node of many links. Rounds are written to the shared folder, and grow with the logarithm of the
     longest path. Empty links give no rows; loops and repeated links do not matter.
     """
     edges, before = cut(links.select("a", "b").where("a != b").distinct(), "links"), None

@@ -8,6 +8,12 @@ counts by forward and backward passes over all labelled training texts (first wi
 with more rounds, with the language's own), summed by partition. A letter outside the vocabulary is a piece of
 its own with a small probability, so every word has a cut.
 
+A word of more than LONG_WORD letters goes block by block. A block turns the sums at the last places before it, as many
+as the longest piece has letters, into those at its own last places; that is a matrix for each language, taken for many
+blocks at once, and the matrices are applied one after another. A text of more than a few MB is read in parts that are
+cut at white space. So neither takes more memory than itself and, for a long word that is learned from, 128 bytes a
+block and model.
+
 Texts that are null or have no letter are `und` with score 0. Ties between languages go to the smaller name.
 With nothing to learn from, every text is `und`. Rows are independent, repeated rows get equal results, and other
 columns are not read.
@@ -23,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import is_long, slices, utf8_bytes, word_parts
 
 MARK = "▁"
 #: Probability of a letter that is no piece, before it is shared out.
@@ -81,12 +87,16 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+#: Words of more letters are summed by blocks of STEP letters; places times models that are held at once.
+LONG_WORD, STEP, CELLS = 1024, 24, 640_000
+
+
 def padded(length: int) -> int:
     """Words are handled together with those of the same padded length."""
     return length if length <= 24 else -(-length // 8) * 8 if length <= 64 else 1 << (length - 1).bit_length()
 
 
-def grouped(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def grouped(words: list[str], models: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row numbers, code points (zero after the end) and lengths, in groups of about equal length and bounded size."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -96,7 +106,7 @@ def grouped(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         width[i] = padded(int(lengths[i]))
     for n in np.unique(width):
         rows = np.flatnonzero(width == n)
-        step = max(1, 160_000 // int(n))
+        step = max(1, CELLS // (int(n) * models))
         for i in range(0, len(rows), step):
             own = rows[i : i + step]
             at = np.arange(n)[None, :] + starts[own, None]
@@ -145,6 +155,90 @@ def backward(terms: list[np.ndarray], n: int, plain: bool, lengths: np.ndarray)
     return beta
 
 
+def windows(codes: np.ndarray, begin: int, blocks: int, step: int, context: int) -> np.ndarray:
+    """The letters of neighbouring blocks, one row each, with `context` letters before; zero before the word."""
+    at = begin - context + step * np.arange(blocks)[:, None] + np.arange(context + step)
+    return np.where(at >= 0, codes[np.maximum(at, 0)], 0).astype(np.uint64)
+
+
+def block_groups(length: int, models: int, longest: int) -> list[tuple[int, int, int]]:
+    """First letter, number and size of the blocks that are taken together; the last letters are a block of their own."""
+    most = max(1, CELLS // (STEP * longest * models))
+    whole = length // STEP
+    out = [(i * STEP, min(most, whole - i), STEP) for i in range(0, whole, most)]
+    return out + [(whole * STEP, 1, length % STEP)] if length % STEP else out
+
+
+def transfers(terms: list[np.ndarray], context: int, step: int) -> np.ndarray:
+    """Blocks x to x from x models: how the sum `to` places before a block's end comes from those `from` places before its begin."""
+    rows, _, k = terms[0].shape
+    alpha = np.zeros((context + step + 1, rows, context + 1, k))
+    for j in range(context + 1):
+        alpha[context - j, :, j] = 1
+    for t in range(context + 1, context + step + 1):
+        for length in range(1, min(len(terms), t) + 1):
+            alpha[t] += alpha[t - length] * terms[length - 1][:, t - length, None]
+    return alpha[::-1][: context + 1].swapaxes(0, 1)
+
+
+def boundary_sums(vocab: Vocabulary, weights: np.ndarray, codes: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The log probability of a long word by model, and with `keep` the scaled sums before each block (places back x models)."""
+    context, k = vocab.longest - 1, weights.shape[1]
+    v, log, kept = np.zeros((context + 1, k)), np.zeros(k), []
+    v[0] = 1
+    for begin, blocks, step in block_groups(len(codes), k, vocab.longest):
+        terms = piece_terms(vocab.find(windows(codes, begin, blocks, step, context)), weights, True)
+        for m in transfers(terms, context, step):
+            if keep:
+                kept.append(v)
+            v = np.einsum("ijk,jk->ik", m, v)
+            top = v.max(axis=0)
+            v, log = v / top, log + np.log(top)
+    return log + np.log(v[0]) - LIFT * len(codes), kept
+
+
+def long_expected(vocab: Vocabulary, weights: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces of a long word (models x pieces): sums before and after each block, the latter from the end backward, meet inside it."""
+    context, k = vocab.longest - 1, weights.shape[1]
+    _, before = boundary_sums(vocab, weights, codes, True)
+    out = np.zeros((k, vocab.size + 2))
+    u = np.zeros((context + 1, k))
+    u[0] = 1
+    done = len(before)
+    for begin, blocks, step in reversed(block_groups(len(codes), k, vocab.longest)):
+        ids = vocab.find(windows(codes, begin, blocks, step, context))
+        terms = piece_terms(ids, weights, True)
+        after = np.zeros((blocks, context + 1, k))
+        for i, m in reversed(list(enumerate(transfers(terms, context, step)))):
+            after[i] = u
+            u = np.einsum("ijk,ik->jk", m, u)
+            u = u / u.max(axis=0)
+        size = context + step
+        alpha, beta = np.zeros((size + 1, blocks, k)), np.zeros((size + 1, blocks, k))
+        alpha[: context + 1] = np.stack(before[done - blocks : done])[:, ::-1].swapaxes(0, 1)
+        done -= blocks
+        for t in range(context + 1, size + 1):
+            for length in range(1, min(len(terms), t) + 1):
+                alpha[t] += alpha[t - length] * terms[length - 1][:, t - length]
+        for t in range(size, context, -1):
+            if size - t <= context:
+                beta[t] = after[:, size - t]
+            for length in range(1, min(len(terms), size - t) + 1):
+                beta[t] += beta[t + length] * terms[length - 1][:, t]
+        whole = np.einsum("bik,ibk->bk", after, alpha[::-1][: context + 1])
+        for length, (i, term) in enumerate(zip(ids, terms, strict=True), 1):
+            first = max(context + 1 - length, 0)
+            stop = size + 1 - length
+            gamma = alpha[first:stop].swapaxes(0, 1) * term[:, first:stop] * beta[first + length :].swapaxes(0, 1) / whole[:, None]
+            for m in range(k):
+                out[m] += np.bincount(i[:, first:stop].ravel(), gamma[:, :, m].ravel(), vocab.size + 2)
+    return out
+
+
+def code_points(word: str) -> np.ndarray:
+    return np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Scorer:
     """Log probabilities of words in each language; known words are kept."""
 
@@ -155,8 +249,11 @@ class Scorer:
 
     def fresh(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.weights.shape[1]))
-        marked = [MARK + w for w in words]
-        for rows, codes, lengths in grouped(marked):
+        short = np.array([i for i, w in enumerate(words) if len(w) < LONG_WORD], np.int64)
+        for i in np.setdiff1d(np.arange(len(words)), short):
+            out[i] = boundary_sums(self.vocab, self.weights, code_points(MARK + words[i]))[0]
+        for rows, codes, lengths in grouped([MARK + words[i] for i in short], self.weights.shape[1]):
+            rows = short[rows]
             n = codes.shape[1]
             plain = n <= PLAIN
             alpha = forward(piece_terms(self.vocab.find(codes), self.weights, plain), n, plain)[lengths, np.arange(len(rows))]
@@ -167,6 +264,12 @@ class Scorer:
         if len(self.place) > MOST_WORDS:
             self.place.clear()
         new = [w for w in words if w not in self.place]
+        if any(len(w) >= LONG_WORD for w in new):  # not kept
+            out = np.zeros((len(words), self.weights.shape[1]))
+            long_ = np.array([len(w) >= LONG_WORD for w in words])
+            out[long_] = self.fresh([w for w in words if len(w) >= LONG_WORD])
+            out[~long_] = self([w for w in words if len(w) < LONG_WORD]) if not long_.all() else 0
+            return out
         if new:
             first = len(self.place)
             self.place.update(zip(new, range(first, first + len(new)), strict=True))
@@ -176,6 +279,16 @@ class Scorer:
         return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
+def text_parts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """A slice of texts as it is, or the parts of a long one."""
+    if not is_long(texts, most):
+        yield texts
+        return
+    raw, _ = utf8_bytes(texts)
+    for a, b in word_parts(raw, most):
+        yield pa.array([raw[a:b].tobytes()], pa.binary()).cast(pa.string())
+
+
 def word_list(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Text number and word number of every word, and the distinct words."""
     split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -193,8 +306,13 @@ def word_list(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def expected(vocab: Vocabulary, weights: np.ndarray, words: list[str], times: np.ndarray) -> np.ndarray:
     """Expected piece counts (models x pieces); `times` is words x models. One column of weights serves all models."""
     out = np.zeros((times.shape[1], vocab.size + 2))
-    marked = [MARK + w for w in words]
-    for rows, codes, lengths in grouped(marked):
+    short = np.array([i for i, w in enumerate(words) if len(w) < LONG_WORD], np.int64)
+    for i in np.setdiff1d(np.arange(len(words)), short):
+        found = long_expected(vocab, weights, code_points(MARK + words[i]))
+        for m in range(times.shape[1]):
+            out[m] += found[min(m, len(found) - 1)] * times[i, m]
+    for rows, codes, lengths in grouped([MARK + words[i] for i in short], weights.shape[1]):
+        rows = short[rows]
         ids, n, at = vocab.find(codes), codes.shape[1], np.arange(len(rows))
         plain = n <= PLAIN
         terms = piece_terms(ids, weights, plain)
@@ -221,8 +339,8 @@ def learn(docs: DataFrame, vocab_path: str, rounds: int = 1) -> tuple[list[str],
             vocab = vocabulary(vocab_path)
             sums: dict[str, np.ndarray] = {}
             for batch in batches:
-                for part in slices(batch, "text", 12 << 20):
-                    owner, index, words = word_list(part.column("text"))
+                for part, text in ((p, t) for p in slices(batch, "text", 12 << 20) for t in text_parts(p.column("text"), 12 << 20)):
+                    owner, index, words = word_list(text)
                     if not len(index):
                         continue
                     names = part.column("lang").to_pylist()
@@ -265,12 +383,13 @@ def predict(docs: DataFrame, vocab_path: str, langs: list[str], weights: np.ndar
                 text = part.column("text")
                 names, values = ["und"] * len(text), np.zeros(len(text))
                 if langs:
-                    owner, index, words = word_list(text)
                     logs = np.zeros((len(text), len(langs)))
-                    if len(index):
-                        by = score(words)
-                        for k in range(len(langs)):
-                            logs[:, k] = np.bincount(owner, by[index, k], len(text))
+                    for some in text_parts(text, 6 << 20):
+                        owner, index, words = word_list(some)
+                        if len(index):
+                            by = score(words)
+                            for k in range(len(langs)):
+                                logs[:, k] += np.bincount(owner, by[index, k], len(text))
                     top = logs.argmax(axis=1)
                     post = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                     letters = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\pL"), False))

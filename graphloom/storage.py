@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -30,6 +31,8 @@ def session_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path for a new table, which is removed when the driver's JVM ends."""
+    _at(spark, session_dir(spark), lambda fs, path: fs.deleteOnExit(path))
     return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -52,9 +55,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str, do: Callable) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _at(spark, path, lambda fs, at: fs.delete(at, True))
 
 
 def drop(df: DataFrame) -> None:

@@ -57,18 +57,22 @@ def components(fps: dict[int, int], most: int = 4) -> dict[int, int]:
     return {ids[k]: ids[find(k)] for k in range(len(ids))}
 
 
-def shingles(text: str | None, n: int = 5) -> set[tuple[bytes, ...]]:
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def shingles(text: str | None, n: int) -> set[tuple[bytes, ...]]:
+    words = split(text)
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
 def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], threshold: float = 0.8) -> dict[tuple[int, int], tuple[int, int]]:
     """(doc, item) -> shingles of the item, and how many of them the document holds."""
     out = {}
     for d, t in docs:
-        own = shingles(t)
         for i, x in items:
-            s = shingles(x)
+            n = min(5, len(split(x)))
+            s, own = (shingles(x, n), shingles(t, n)) if n else (set(), set())
             if s and len(s & own) >= threshold * len(s) - 1e-9:
                 out[d, i] = (len(s), len(s & own))
     return out

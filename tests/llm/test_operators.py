@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,8 +150,9 @@ def test_simhash_table(spark):
 
 
 @pytest.mark.parametrize("block", [4096, 40])
-def test_simhash_links_of_a_dense_cluster(spark, block):
-    """Fingerprints around a few centres, with keys dealt out by pairs of blocks and not."""
+@pytest.mark.parametrize("n", [None, 1 << 23, 1 << 28, 1 << 31])
+def test_simhash_links_of_a_dense_cluster(spark, block, n):
+    """Fingerprints around a few centres, with keys dealt out by pairs of blocks and not, by the ring of each size of table."""
     rng = np.random.default_rng(block)
     fps = set()
     for c in rng.integers(0, 1 << 63, 4):
@@ -158,11 +160,44 @@ def test_simhash_links_of_a_dense_cluster(spark, block):
             fps.add(int(c) ^ sum({1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 6))}))
     rows = list(enumerate(sorted(fps)))
     reps = spark.createDataFrame([(f, i) for i, f in rows], "fp bigint, node bigint")
-    found = {r.node: r.component for r in components.components(simhash.links(reps, block)).collect()}
+    found = {r.node: r.component for r in components.components(simhash.links(reps, block, n)).collect()}
     want = brute.components({i: f for i, f in rows})
     assert {i: found.get(i, i) for i, _ in rows} == want
 
 
+@pytest.mark.parametrize("n", [1, 1 << 23, 1 << 28, 1 << 31])
+def test_simhash_rings_lose_no_pair(n):
+    own, rng = simhash.ring(n), np.random.default_rng(n)
+    x = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(5000)], np.uint64)
+    met = np.zeros(len(x), dtype=bool)
+    for start, parts in own.keys:
+        mask = np.uint64(sum(((1 << size) - 1) << at for at, size in parts))
+        same = np.flatnonzero((x & mask) == 0)
+        met[same[simhash.passing(x[same], own.tests(start))]] = True
+    assert met.all() and len(own.keys) < 128
+
+
+def test_simhash_comparisons_do_not_grow_with_the_table():
+    """Pairs that share a key, for each fingerprint of a random table, at the ring of its size."""
+    for n in (10_000, 100_000, 1_000_000):
+        fps = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        pairs = 0
+        for _, parts in simhash.ring(n).keys:
+            mask = np.uint64(sum(((1 << size) - 1) << at for at, size in parts))
+            _, count = np.unique(fps & mask, return_counts=True)
+            pairs += int((count * (count - 1) // 2).sum())
+        assert pairs / n < 30
+    # Beyond, a key has at least as many bits as keep that bound: keys x rows of a key.
+    for bits in range(20, 34):
+        assert len(simhash.ring(1 << bits).keys) * 2 ** (bits - min(sum(size for _, size in parts) for _, parts in simhash.ring(1 << bits).keys)) <= 512
+
+
+def test_simhash_of_long_texts():
+    for t in (LONG, "x" * 5000 + " y", " " * 50 + "a b", "", "A b C"):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert {simhash.long_fingerprint(raw, most) for most in (3, 1000, 1 << 30)} == {brute.fingerprint(t)}
+
+
 def test_one_of_each(docs):
     out = simhash.one_of_each(docs)
     assert out.columns == docs.columns
@@ -178,6 +213,33 @@ def test_one_of_each_of_repeated_ids(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted([(1, a), (5, b), (5, c)])
 
 
+def skewed(spark, plan) -> bool:
+    """Whether a plan splits a skewed join when thresholds are low and nothing is broadcast."""
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        df = plan()
+        df.write.format("noop").mode("overwrite").save()
+        df = df.groupBy().agg(*[F.count(c) for c in df.columns])
+        df.collect()
+        return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_keys_are_split(spark):
+    """Nine tenths of the rows on one key: a star's centre, a page that repeats, a window that repeats."""
+    hot = spark.range(100_000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).cast("bigint").alias("b"), (F.col("id") + 1).alias("a")).where("a != b")
+    assert skewed(spark, lambda: components._starred(common.cut(hot, "t"), True))
+    pages = hot.select(F.col("a").alias("page_id"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("<p>"), "b").alias("html"))
+    assert skewed(spark, lambda: warc.with_references(common.cut(pages, "t")))
+    windows = hot.select(F.col("b").cast("string").cast("binary").alias("w"), F.col("a").alias("doc"), F.lit(1).cast("bigint").alias("text_id"), F.lit(1).cast("bigint").alias("start"))
+    assert skewed(spark, lambda: suffix_dedup.later_windows(common.cut(windows, "t")))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (202, 201), (300, 300)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -215,6 +277,18 @@ def test_decontamination_blocks_and_thresholds(spark, monkeypatch):
         assert {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in got.collect()} == brute.leaks(docs, items, threshold)
 
 
+def test_decontamination_of_long_documents():
+    """Part by part the same leaks are found as in one piece."""
+    words = LONG.split()
+    items = [(1, " ".join(words[100:112])), (2, " ".join(words[5000:5040])), (3, "zz yy"), (4, words[77]), (5, " ".join(words[9:13])), (6, " ".join(words[2000:2010] + ["q"] * 20)), (7, "none of these words here")]
+    sketches = decontaminate.Sketches(items, 0.8)
+    raw = np.frombuffer(LONG.encode(), np.uint8)
+    whole = {(i, g) for _, i, g in sketches.links(pa.array([LONG]))}
+    assert {sketches.ids[i] for i, _ in whole} >= {1, 2, 4, 5} and not {sketches.ids[i] for i, _ in whole} & {3, 6, 7}
+    for most in (7, 1000, 1 << 30):
+        assert {(i, g) for _, i, g in sketches.long_links(raw, most)} == whole
+
+
 # 4: mixing
 
 
