@@ -7,18 +7,22 @@ anchor's hash, the hash of its bytes, and where it is.
 
 1. Each chunk of texts drops spans equal to an earlier one of the chunk (their windows all repeat), and says which
    anchors stand in several surroundings. So an anchor has at most one row from each chunk.
-2. By anchor, spans equal to an earlier one are marked; where an anchor has several surroundings, the first of each
-   is fetched with its bytes, cut in two by which side of the anchor a window mostly lies on, and keyed by the anchor
-   with 34 bytes of that side.
+2. By anchor, sorted rows are streamed: spans equal to an earlier one are marked; where an anchor has several
+   surroundings, the first of each is fetched with its bytes, cut in two by which side of the anchor a window mostly
+   lies on, and keyed by the anchor with 34 bytes of that side.
 3. By that key, blocks of fetched bytes go into a run-length index, whose matching statistics give the windows
-   that occur earlier. A key with more than KEY_ROWS rows is not gathered: its windows are hashed one by one and the
-   first of each is found by a sum over keys.
+   that occur earlier. The spans of a key with more than KEY_ROWS rows are cut into stretches of up to STRETCH windows,
+   keyed by the bytes that all of these share (93 of 100); stretches equal to an earlier one are marked by a sum over
+   their bytes, and the others go into run-length indexes in their turn. Only where more than KEY_ROWS different
+   stretches share a key (they differ in 14 bytes) are windows hashed one by one, and the first of each found by a sum.
+   No key is gathered beyond KEY_ROWS rows.
 4. Marks meet the texts again, and the bytes under them are removed.
 
-Nulls count as empty texts, which have no window. Rows that repeat doc_id and text are one document, each returned;
-rows with one doc_id and different texts are ordered by a hash of the text; rows without doc_id come last. An empty
-table gives an empty result; `deduplicated` keeps other columns, and its texts lose the parts of letters that a removed
-run leaves.
+A text of more than 2 MB is read in parts that overlap by a window; its marks are joined to runs before its bytes are
+touched, and bytes are kept by runs. Nulls count as empty texts, which have no window. Rows that repeat doc_id and text
+are one document, each returned; rows with one doc_id and different texts are ordered by a hash of the text; rows
+without doc_id come last. An empty table gives an empty result; `deduplicated` keeps other columns, and its texts lose
+the parts of letters that a removed run leaves.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, drop, mix64, slices, utf8_bytes
+from .common import SLICE_BYTES, cut, dealt, drop, is_long, mix64, slices, utf8_bytes
 from .run_index import RunIndex
 
 LENGTH, ANCHOR = 100, 32
@@ -39,6 +43,11 @@ LENGTH, ANCHOR = 100, 32
 CHUNK_BYTES = 24 << 20
 #: Bytes of one indexed block, and rows of a key that still go into one.
 BLOCK_BYTES, KEY_ROWS = 1 << 20, 8_000
+#: Windows of one stretch of a hot key.
+STRETCH = 8
+PART_TYPE = "key bigint, doc bigint, text_id bigint, start bigint, n int, lead int, raw binary"
+PART_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+PLACE = ("doc", "text_id", "start")
 LAST = (1 << 63) - 1
 _RNG = np.random.default_rng(7_919)
 LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -160,14 +169,19 @@ def all_spans(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets = utf8_bytes(part.column("text"))
-                x = spans(raw, offsets, length)
-                text = x.pop("text")
-                x |= {"doc": np.asarray(part.column("_gl_doc"))[text], "text_id": np.asarray(part.column("_gl_text"))[text]}
-                held.append(x)
-                size += len(raw)
-                if size >= CHUNK_BYTES:
-                    yield record(local_rows({k: np.concatenate([y[k] for y in held]) for k in x}))
-                    held, size = [], 0
+                doc, text_id = np.asarray(part.column("_gl_doc")), np.asarray(part.column("_gl_text"))
+                # Of a long text, the windows that start in one stretch of SLICE_BYTES after another.
+                steps = range(0, max(len(raw) - length + 1, 1), SLICE_BYTES) if is_long(part.column("text")) else (0,)
+                for begin in steps:
+                    own = raw[begin : begin + SLICE_BYTES + length - 1] if len(steps) > 1 else raw
+                    x = spans(own, np.array([0, len(own)]) if len(steps) > 1 else offsets, length)
+                    text = x.pop("text")
+                    x |= {"doc": doc[text], "text_id": text_id[text], "start": x["start"] + begin}
+                    held.append(x)
+                    size += len(own)
+                    if size >= CHUNK_BYTES:
+                        yield record(local_rows({k: np.concatenate([y[k] for y in held]) for k in x}))
+                        held, size = [], 0
         if held:
             yield record(local_rows({k: np.concatenate([y[k] for y in held]) for k in held[0]}))
 
@@ -194,35 +208,74 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def judged(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds (1 marks, 2 to fetch, 0 neither) of sorted rows of whole anchors, notices first; and which rows repeat the row before them."""
+    n = len(x["route"])
+    again = np.zeros(n, dtype=bool)
+    again[1:] = np.logical_and.reduce([x[k][1:] == x[k][:-1] for k in ("route", "many", "bytes", *PLACE)])
+    real = ~x["many"]
+    new_anchor = np.ones(n, dtype=bool)
+    new_anchor[1:] = x["route"][1:] != x["route"][:-1]
+    # Notices come before all spans of their anchor, and are no class of their own.
+    new_bytes = real.copy()
+    new_bytes[1:] &= new_anchor[1:] | x["many"][:-1] | (x["bytes"][1:] != x["bytes"][:-1])
+    group = np.cumsum(new_anchor) - 1
+    several = (np.bincount(group, new_bytes) + 2 * np.bincount(group, x["many"]))[group] > 1
+    return np.where(~real, 0, np.where(~new_bytes, 1, np.where(several, 2, 0))), again
+
+
 def compared(rows: DataFrame) -> DataFrame:
-    """Step 2: marks (kind 1) and what to fetch (kind 2)."""
+    """Step 2: marks (kind 1) and what to fetch (kind 2). Of an anchor that goes on in the next batch, three rows are held: a notice, the first span, and the first of the last surroundings."""
 
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "route"):
-            x = {c: np.asarray(table.column(c)) for c in table.column_names}
+        names = [c.split()[0] for c in SPAN_TYPE.split(", ")]
+        held = {c: np.zeros(0, bool if c in ("many", "done") else np.int64) for c in (*names, "done")}
+
+        def answer(x: dict[str, np.ndarray], open_: bool) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
+            kind, again = judged(x)
+            n = len(kind)
+            wait = np.zeros(n, dtype=bool)
+            keep = np.zeros(0, np.int64)
+            if open_ and n:
+                at = int(np.searchsorted(x["route"] == x["route"][-1], True)) if n < 2 else int(np.flatnonzero(np.concatenate(([True], x["route"][1:] != x["route"][:-1])))[-1])
+                own = np.arange(at, n)
+                spans_ = own[~x["many"][own]]
+                first = spans_[:1]
+                last = spans_[kind[spans_] != 1][-1:]
+                # The first span waits until another surrounding or the end of the anchor.
+                wait[first[kind[first] == 0]] = True
+                keep = np.unique(np.concatenate((own[x["many"][own]][:1], first, last)))
+            give = (kind > 0) & ~again & ~x["done"] & ~wait
+            out = record({c: (kind if c == "kind" else x[c])[give] for c in names})
+            return out, {c: (np.where(wait, x["done"], True) if c == "done" else x[c])[keep] for c in x}
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: np.asarray(batch.column(c)) for c in names}
             own = x["kind"] == 0
-            done = {k: v[~own] for k, v in x.items()}
-            x = {k: v[own] for k, v in x.items()}
-            x = sorted_spans(x, "many")
-            n = len(x["anchor"])
-            new_anchor = np.ones(n, dtype=bool)
-            new_anchor[1:] = x["anchor"][1:] != x["anchor"][:-1]
-            new_bytes = new_anchor.copy()
-            new_bytes[1:] |= x["bytes"][1:] != x["bytes"][:-1]
-            if n:
-                group = np.cumsum(new_anchor) - 1
-                several = (np.bincount(group, new_bytes) + 2 * np.bincount(group, x["many"]))[group] > 1
-                # A notice stands for spans that are fetched anyway, and takes no part in who comes first.
-                real = ~x["many"]
-                cls = np.cumsum(new_bytes) - 1
-                first = np.full(cls[-1] + 1, n)
-                np.minimum.at(first, cls[real], np.flatnonzero(real))
-                is_first = first[cls] == np.arange(n)
-                x["kind"] = np.where(~real, 0, np.where(~is_first, 1, np.where(several, 2, 0))).astype(np.int32)
-                x = {k: v[x["kind"] > 0] for k, v in x.items()}
-            yield record({k: np.concatenate((done[k], x[k])) for k in done})
-
-    return rows.repartition("route").sortWithinPartitions("route").mapInArrow(answered, SPAN_TYPE)
+            if not own.all():
+                yield record({k: v[~own] for k, v in x.items()})
+            x = {k: v[own] for k, v in x.items()} | {"done": np.zeros(int(own.sum()), dtype=bool)}
+            out, held = answer({k: np.concatenate((held[k], x[k].astype(held[k].dtype))) for k in held}, True)
+            yield out
+        yield answer(held, False)[0]
+
+    order = ["route", "kind", F.desc("many"), "bytes", *PLACE]
+    return rows.repartition("route").sortWithinPartitions(*order).mapInArrow(answered, SPAN_TYPE)
+
+
+def lists(column: pa.Array, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each row of a column of lists of structs, the fields as arrays; nothing for null."""
+    offsets = np.asarray(column.offsets)
+    valid = np.asarray(column.is_valid())
+    fields = [np.asarray(column.values.field(n)) for n in names]
+    for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True):
+        yield tuple(f[a : b if ok else a] for f in fields)
+
+
+def rows_of(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), PART_KINDS, strict=True)], [c.split()[0] for c in PART_TYPE.split(", ")])
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -234,28 +287,33 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 out: list[tuple] = []
-                for doc, text_id, text, found in zip(*(part.column(c).to_pylist() for c in ("_gl_doc", "_gl_text", "text", "spans")), strict=True):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    for s in found:
-                        start, stop = s["start"], s["start"] + s["n"]
-                        at = start + s["lead"]
+                raw_all, offsets = utf8_bytes(part.column("text"))
+                whole = memoryview(raw_all)
+                for i, (doc, text_id, found) in enumerate(zip(part.column("_gl_doc").to_pylist(), part.column("_gl_text").to_pylist(), lists(part.column("spans"), "start", "n", "lead"), strict=True)):
+                    raw = whole[offsets[i] : offsets[i + 1]]
+                    order = np.argsort(found[0], kind="stable")
+                    for start, n, lead in zip(*(f[order].tolist() for f in found), strict=True):
+                        stop = start + n
+                        at = start + lead
                         turn = min(max(start, at - side + 1), stop)
                         for a, b, key in ((start, turn, raw[at - side : at + ANCHOR] if turn > start else b""), (turn, stop, raw[at : at + ANCHOR + side + 1])):
                             if b > a:
-                                out.append((hash_bytes(key, a == start and turn > start), doc, text_id, a, b - a, raw[a : b + length - 1]))
+                                out.append((hash_bytes(key, a == start and turn > start), doc, text_id, a, b - a, at - a, bytes(raw[a : b + length - 1])))
+                        if len(out) >= 50_000:
+                            yield rows_of(out)
+                            out = []
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "doc", "text_id", "start", "n", "raw"])
+                    yield rows_of(out)
 
     rows = identified(docs.select("doc_id", "text").where("text is not null")).select("_gl_doc", "_gl_text", "text")
     joined = rows.join(by, (F.col("_gl_doc") == F.col("doc")) & (F.col("_gl_text") == F.col("text_id"))).select("_gl_doc", "_gl_text", "text", "spans")
-    return joined.mapInArrow(cutup, "key bigint, doc bigint, text_id bigint, start bigint, n int, raw binary")
+    return joined.mapInArrow(cutup, PART_TYPE)
 
 
-def hash_bytes(raw: bytes, left: bool) -> int:
+def hash_bytes(raw: bytes | memoryview, seed: int) -> int:
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(raw, 1 + left) - (1 << 63)
+    return xxh3_64_intdigest(raw, 1 + seed) - (1 << 63)
 
 
 def indexed_marks(rows: DataFrame, length: int) -> DataFrame:
@@ -313,43 +371,102 @@ def block_marks(table: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(table.column("doc"))[own[at]]), pa.array(np.asarray(table.column("text_id"))[own[at]]), pa.array(start[at]), pa.array(n, pa.int32())], ["doc", "text_id", "start", "n"])
 
 
-def hot_marks(rows: DataFrame, length: int) -> DataFrame:
-    """Step 3 for keys with too many rows: the first of every window by its 128-bit hash, without gathering any key."""
+def later(rows: DataFrame, *same: str) -> DataFrame:
+    """Every row with `late`, whether a row of the same columns has an earlier place; sums and a join in which each key is one row with a shuffle of its own."""
+    place = F.struct(*PLACE)
+    least = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.min(place).alias("_least"))
+    return rows.join(least, dealt(*same) == dealt(*[f"_{c}" for c in same])).withColumn("late", place != F.col("_least")).select(*rows.columns, "late")
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """Marks of the windows (w, doc, text_id, start) that also start earlier."""
+    return later(windows, "w").where("late").select(*PLACE, F.lit(1).alias("n"))
+
+
+def stretches(rows: DataFrame, length: int) -> DataFrame:
+    """The spans of hot keys cut by how far their windows start before the anchor, each stretch keyed by the bytes that all of its windows share."""
+
+    def cutup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "raw", 1 << 20):
+                out = []
+                for doc, text_id, start, n, lead, raw in zip(*(part.column(c).to_pylist() for c in (*PLACE, "n", "lead", "raw")), strict=True):
+                    i = 0
+                    while i < n:
+                        # Windows that start lead - i bytes before the anchor, down to the next multiple of STRETCH.
+                        low = (lead - i) // STRETCH * STRETCH
+                        stop = min(n, lead - low + 1)
+                        shared = raw[max(lead - low, 0) : lead - low - STRETCH + 1 + length]
+                        out.append((hash_bytes(shared, 2 + low // STRETCH), doc, text_id, start + i, stop - i, lead - i, raw[i : stop + length - 1]))
+                        i = stop
+                if out:
+                    yield rows_of(out)
+
+    return rows.mapInArrow(cutup, PART_TYPE)
+
+
+def each_window(rows: DataFrame, length: int) -> DataFrame:
+    """The 128-bit hash and place of every window of some spans."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "raw", 1 << 20):
                 out = []
-                for doc, text_id, start, n, raw in zip(*(part.column(c).to_pylist() for c in ("doc", "text_id", "start", "n", "raw")), strict=True):
+                for doc, text_id, start, n, raw in zip(*(part.column(c).to_pylist() for c in (*PLACE, "n", "raw")), strict=True):
                     out += [(hashlib.blake2b(raw[i : i + length], digest_size=16).digest(), doc, text_id, start + i) for i in range(n)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["w", "doc", "text_id", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["w", *PLACE])
+
+    return rows.mapInArrow(windows, "w binary, doc bigint, text_id bigint, start bigint")
 
-    each = rows.mapInArrow(windows, "w binary, doc bigint, text_id bigint, start bigint")
-    least = each.groupBy("w").agg(F.min(F.struct("doc", "text_id", "start")).alias("least"), F.count("*").alias("times")).where("times > 1").select("w", "least")
-    return each.join(least, "w").where(F.struct("doc", "text_id", "start") != F.col("least")).select("doc", "text_id", "start", F.lit(1).alias("n"))
+
+def by_heat(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of keys that go into an index, those of keys with too many rows, and the table of such keys."""
+    hot = cut(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > KEY_ROWS).select("key"), "hot")
+    return rows.join(hot, "key", "left_anti"), rows.join(hot, "key", "left_semi"), hot
+
+
+def hot_marks(rows: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Step 3 for keys with too many rows, and the tables that it needs."""
+    split = cut(later(stretches(rows, length).distinct(), "key", "raw"), "stretches")
+    cool, hot, keys = by_heat(split.where("not late").drop("late"))
+    found = split.where("late").select(*PLACE, "n").unionByName(indexed_marks(cool, length))
+    if not keys.isEmpty():
+        found = found.unionByName(later_windows(each_window(hot, length)))
+    return found, [split, keys]
 
 
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_gl_doc, _text and marks (start, n): the windows, n from start on, that also start earlier."""
     rows = cut(compared(all_spans(docs, length)), "spans")
     parts = cut(fetched(docs, rows.where("kind = 2"), length), "parts")
-    hot = parts.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > KEY_ROWS).select("key")
-    cool = parts.join(hot, "key", "left_anti")
-    found = cut(rows.where("kind = 1").select("doc", "text_id", "start", "n").unionByName(indexed_marks(cool, length)).unionByName(hot_marks(parts.join(hot, "key", "left_semi"), length)), "marks")
-    drop(rows)
-    drop(parts)
+    cool, hot, keys = by_heat(parts)
+    found, used = rows.where("kind = 1").select(*PLACE, "n").unionByName(indexed_marks(cool, length)), [rows, parts, keys]
+    if not keys.isEmpty():
+        more, own = hot_marks(hot, length)
+        found, used = found.unionByName(more), used + own
+    found = cut(found, "marks")
+    for table in used:
+        drop(table)
     return found.groupBy(F.col("doc").alias("_gl_doc"), F.col("text_id").alias("_gl_text")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
 
 
-def removed(size: int, found: list[dict] | None, length: int = LENGTH) -> np.ndarray:
-    """Which bytes of a text the marks cover."""
-    if not found:
-        return np.zeros(size, dtype=bool)
-    step = np.zeros(size + 1, np.int32)
-    np.add.at(step, [m["start"] for m in found], 1)
-    np.add.at(step, [m["start"] + m["n"] + length - 1 for m in found], -1)
-    return np.cumsum(step[:-1]) > 0
+def removed_runs(start: np.ndarray, n: np.ndarray, length: int = LENGTH) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of bytes under marks; runs that touch are one."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order].astype(np.int64), (start + n + length - 1)[order].astype(np.int64)
+    if not len(start):
+        return [], []
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate(([True], start[1:] > reach[:-1]))
+    return start[new].tolist(), reach[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(start) - 1]))].tolist()
+
+
+def kept_pieces(raw: memoryview, begins: list[int], ends: list[int]) -> Iterator[memoryview]:
+    """The bytes outside the runs, in order."""
+    for a, b in zip([0, *ends], [*begins, len(raw)], strict=True):
+        if b > a:
+            yield raw[a:b]
 
 
 def marked(docs: DataFrame, length: int) -> DataFrame:
@@ -365,14 +482,14 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 out = []
-                for text, found in zip(part.column("text").to_pylist(), part.column("_gl_marks").to_pylist(), strict=True):
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    if not found:
-                        out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-                        continue
-                    gone = removed(len(raw), found, length)
-                    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+                raw, offsets = utf8_bytes(part.column("text"))
+                whole = memoryview(raw)
+                for a, b, (start, n) in zip(offsets[:-1].tolist(), offsets[1:].tolist(), lists(part.column("_gl_marks"), "start", "n"), strict=True):
+                    begins, ends = removed_runs(start, n, length)
+                    kept = hashlib.sha256()
+                    for piece in kept_pieces(whole[a:b], begins, ends):
+                        kept.update(piece)
+                    out.append((b - a, sum(ends) - sum(begins), len(begins), kept.hexdigest()))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -383,20 +500,15 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def kept_text(text: Column, found: Column, length: int = LENGTH) -> Column:
     """The text without the marked bytes, and without the parts of letters that are left at their edges."""
 
-    @F.pandas_udf("string")
-    def rest(texts, marks):
-        import pandas as pd
-
-        out = []
-        for t, m in zip(texts, marks, strict=True):
-            if t is None or m is None or not len(m):
-                out.append(t)
-                continue
-            raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-            out.append(raw[~removed(len(raw), list(m), length)].tobytes().decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, marks_: pa.Array) -> pa.Array:
+        raw, offsets = utf8_bytes(texts)
+        whole, out = memoryview(raw), []
+        for a, b, ok, (start, n) in zip(offsets[:-1].tolist(), offsets[1:].tolist(), texts.is_valid().to_pylist(), lists(marks_, "start", "n"), strict=True):
+            out.append(b"".join(kept_pieces(whole[a:b], *removed_runs(start, n, length))).decode("utf-8", "ignore") if ok else None)
+        return pa.array(out, pa.string())
 
-    return rest(text, found)
+    return F.when(found.isNull(), text).otherwise(rest(text, found))
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -11,7 +11,7 @@ repeated leaves no half archive and any store that Spark writes will do; `export
 Of records with equal payloads of at least `least` bytes, the one with the largest page_id is the response, and the
 others refer to it; several rows with that page_id are all responses. A null html is an empty payload; a null url has no
 Target-URI; rows with null page_id are responses of their own. An empty table gives an empty result; other columns are
-not read.
+not read. A record is held whole, in memory, a few times over; an archive ends with the record that fills it.
 """
 
 from __future__ import annotations
@@ -22,20 +22,22 @@ import io
 import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh_path, slices
+from .common import dealt, fresh_path, slices
 
 #: Fixed by the format: the magic number of the frame that holds a dictionary, and of a plain frame.
 DICTIONARY_FRAME, ZSTD_FRAME = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records of the sample, the most bytes of one, and bytes of the dictionary.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 1 << 16, 1 << 15
-ARCHIVE_BYTES = 1 << 20
+#: Where an archive ends: bytes of it, and bytes of the records in it, which a reader holds.
+ARCHIVE_BYTES, RECORD_BYTES = 1 << 20, 1 << 25
 LEVEL = 3
 URN = "urn:graphloom:page:"
 
@@ -78,15 +80,21 @@ class Writer:
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True) if shared else zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         packed = zstandard.ZstdCompressor(level=12).compress(dictionary)
         self.lead = struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed if shared else b""
-        self.parts, self.size = [self.lead], len(self.lead)
+        self.take()
 
     def add(self, raw: bytes) -> None:
         self.parts.append(self.compressor.compress(raw))
         self.size += len(self.parts[-1])
+        self.raw += len(raw)
+
+    @property
+    def full(self) -> bool:
+        return self.size >= ARCHIVE_BYTES or self.raw >= RECORD_BYTES
 
     def take(self) -> bytes:
-        out = b"".join(self.parts)
-        self.parts, self.size = [self.lead], len(self.lead)
+        """The archive so far; the next record begins another."""
+        out = b"".join(getattr(self, "parts", []))
+        self.parts, self.size, self.raw = [self.lead], len(self.lead), 0
         return out
 
 
@@ -116,7 +124,8 @@ def with_references(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html")).withColumn("_digest", F.sha1("html")).withColumn("_size", F.octet_length("html"))
     kept = rows.where(F.col("_size") >= least).groupBy("_digest").agg(F.max("page_id").alias("_response"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "_response")
-    joined = rows.join(kept, "_digest", "left")
+    # A page that repeats often is one key with all of its rows; each key is one row on the other side.
+    joined = rows.join(kept.withColumnRenamed("_digest", "_same"), dealt("_digest") == dealt("_same"), "left")
     return joined.select("page_id", "url", "html", F.when((F.col("page_id") != F.col("_response")) & (F.col("_size") >= least), F.col("_response")).alias("refers_to"))
 
 
@@ -144,7 +153,7 @@ def write(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T0
             for part in slices(batch, "html", 4 << 20):
                 for page_id, url, html, refers_to in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                     out.add(record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, date))
-                    if out.size >= ARCHIVE_BYTES:
+                    if out.full:
                         yield done()
         if out.size > len(out.lead):
             yield done()
@@ -178,14 +187,19 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def export(archives: DataFrame, folder: str) -> int:
-    """Puts the archives out as files of a folder that the driver sees, one after another; their number."""
+    """Puts the archives out as files of a folder that all executors see; their number. Each file is written aside and then named, so a task that is repeated does no harm."""
     os.makedirs(folder, exist_ok=True)
-    n = 0
-    for name, data in archives.select("archive", "data").toLocalIterator():
-        with open(os.path.join(folder, name), "wb") as f:
-            f.write(data)
-        n += 1
-    return n
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("archive").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                aside = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+                with open(aside, "wb") as f:
+                    f.write(data)
+                os.replace(aside, os.path.join(folder, name))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return archives.select("archive", "data").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
