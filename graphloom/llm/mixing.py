@@ -96,13 +96,13 @@ def segments(rows: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every row of `docs` (doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken, first_slot (the first of the schedule that reads the row, null if none does) and slots (how many do) of every row of `docs` (doc_id, text, source)."""
     sized = cut(sizes(docs), "sizes")
     sources = cut(targets(sized), "targets")
-    slots = schedule(sources, block).select("sid", "k", F.lit(1).alias("read"))
-    parts = segments(streams(sized, sources), block).join(slots, ["sid", "k"], "left")
-    taken = F.sum(F.when(F.col("read").isNotNull(), F.col("high") - F.col("low")).otherwise(0))
-    return parts.groupBy("sid", "bucket", "place", "doc_id", "size", "source_size", "target").agg(taken.alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    parts = segments(streams(sized, sources), block).join(schedule(sources, block), ["sid", "k"], "left")
+    taken = F.sum(F.when(F.col("slot").isNotNull(), F.col("high") - F.col("low")).otherwise(0))
+    out = parts.groupBy("sid", "bucket", "place", "doc_id", "size", "source_size", "target").agg(taken.alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("slots"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "slots")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -122,9 +122,18 @@ levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(sour
   / sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 target AS (SELECT source, source_size, least(weight * (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, sid LIMIT 1), (source_size * 2)::DOUBLE) AS target FROM levels),
 due AS (SELECT *, least(floor(target + 0.5), source_size * 2)::BIGINT AS words FROM target),
-placed AS (SELECT doc_id, size, source_size, target, words,
+placed AS (SELECT row_number() OVER () AS row, doc_id, size, source_size, target, words, due.source,
   (sum(size) OVER (PARTITION BY due.source ORDER BY coalesce(md5(doc_id::VARCHAR), ''), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start
-  FROM sized JOIN due ON sized.source IS NOT DISTINCT FROM due.source)
+  FROM sized JOIN due ON sized.source IS NOT DISTINCT FROM due.source),
+blocks AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS sid, ceil(words / 256)::BIGINT AS due FROM due),
+shares AS (SELECT *, (sum(due) OVER (ORDER BY sid) - due)::BIGINT / (SELECT sum(due)::BIGINT FROM blocks) AS low, (sum(due) OVER (ORDER BY sid))::BIGINT / (SELECT sum(due)::BIGINT FROM blocks) AS high FROM blocks WHERE due > 0),
+points AS (SELECT slot, ((slot % 2147483648) * 2654435769) % 4294967296 / 4294967296::DOUBLE AS point FROM (SELECT unnest(range((SELECT coalesce(sum(due), 0)::BIGINT FROM blocks))) AS slot)),
+ranked AS (SELECT slot, source, sid, due, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS k FROM points JOIN shares ON point >= low AND point < high),
+missing AS (SELECT source, sid, unnest(range(got, due)) AS k FROM (SELECT s.source, s.sid, s.due, count(r.slot) AS got FROM shares s LEFT JOIN ranked r ON r.sid = s.sid GROUP BY ALL)),
+schedule AS (SELECT slot, source, k FROM ranked WHERE k < due UNION ALL SELECT (SELECT sum(due)::BIGINT FROM blocks) + row_number() OVER (ORDER BY k, sid) - 1, source, k FROM missing),
+times AS (SELECT row, source, start + t * source_size AS begin, least(start + t * source_size + size, words) AS stop FROM placed, (VALUES (0), (1)) v(t)),
+reads AS (SELECT row, min(slot) AS first_slot, count(*) AS slots FROM times JOIN schedule s ON times.source IS NOT DISTINCT FROM s.source AND k BETWEEN begin // 256 AND (stop - 1) // 256 WHERE begin < stop GROUP BY row)
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, words) - start) + greatest(0, least(start + size + source_size, words) - start - source_size))::BIGINT AS taken FROM placed
+  (greatest(0, least(start + size, words) - start) + greatest(0, least(start + size + source_size, words) - start - source_size))::BIGINT AS taken,
+  first_slot::BIGINT AS first_slot, coalesce(slots, 0)::BIGINT AS slots FROM placed LEFT JOIN reads USING (row)
 """
