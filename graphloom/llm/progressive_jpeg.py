@@ -9,29 +9,39 @@ the reader decodes all restart intervals of a scan in step, one symbol of each a
 coefficient arrays, inverse-transforms them with exact integer arithmetic (so equal payloads give equal pixels whatever
 is decoded beside them), repeats chroma to full resolution and converts to RGB.
 
+A text of more than SLICE bytes is a picture of several units' width; it is coded and decoded in bands of BAND rows of
+units, of which the restart markers are counted through, so the file is the one that coding it whole would give. Its
+payload, file and tensor are held, and the work of one band.
+
+Media and tensors are tables of the shared folder. The query makes them in WAVES groups of the input's files, one after
+another, each read back and removed before the next, so that they take that share of their whole size at a time.
+
 A null text is an empty payload; every payload is padded with bytes 255 to a positive multiple of PAD bytes. Repeated rows
 give equal results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, slices, utf8_bytes
+from .common import cut, drop, is_long, slices, utf8_bytes
 
 PAD, UNIT, RESTART = 576, 384, 8
 SLICE = 3 << 19
-#: Units of 16 pixels that fit one column of an image of the format's largest height.
-MOST_ROWS = 4000
+#: Units of 16 pixels that fit one column of an image of the format's largest height, and of a band; a band's intervals are a multiple of the eight restart markers.
+MOST_ROWS, BAND = 4000, 8 * RESTART
+#: Groups of input files whose media and tensors stand on disk one after another.
+WAVES = 6
 
 
 def zigzag() -> np.ndarray:
@@ -245,13 +255,13 @@ def pack(items: Items, intervals: int, ends: np.ndarray) -> tuple[np.ndarray, np
     return out, bound
 
 
-def intervals_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For files with so many units: the interval of each unit, which intervals end a file's scan, and intervals of each file."""
+def intervals_of(counts: np.ndarray, closed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For files with so many units: the interval of each unit, which intervals end a file's scan (none if it goes on), and intervals of each file."""
     per = -(-counts // RESTART)
     first = np.cumsum(per) - per
     inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     ends = np.zeros(int(per.sum()), dtype=bool)
-    ends[first + per - 1] = True
+    ends[first + per - 1] = closed
     return np.repeat(first, counts) + inside // RESTART, ends, per
 
 
@@ -261,13 +271,8 @@ def luma_order(w: int, h: int) -> np.ndarray:
     return 4 * (r // 2 * w + c // 2) + 2 * (r % 2) + c % 2
 
 
-def encode(payloads: list[bytes] | None = None, raw: np.ndarray | None = None, sizes: np.ndarray | None = None) -> list[bytes]:
-    """JPEG files of payloads, given as bytes, or one after another in `raw`; sizes are positive."""
-    if payloads is not None:
-        raw, sizes = np.frombuffer(b"".join(payloads), np.uint8), np.array([len(p) for p in payloads], np.int64)
-    if not len(sizes):
-        return []
-    shapes = [columns_of(int(u)) for u in -(-sizes // UNIT)]
+def coded(raw: np.ndarray, sizes: np.ndarray, shapes: list[tuple[int, int]], closed: bool = True) -> list[tuple[bytes, list[int]]]:
+    """For each scan, the data of payloads that stand one after another in `raw` as pictures of these units, and their bounds; those that are not closed go on with another band."""
     units = np.array([w * h for w, h in shapes], np.int64)
     coefficients = np.zeros((int(units.sum()), UNIT), np.int16)
     to = np.repeat((np.cumsum(units) - units) * UNIT - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(raw))
@@ -280,8 +285,8 @@ def encode(payloads: list[bytes] | None = None, raw: np.ndarray | None = None, s
             luma[4 * first_unit[i] : 4 * (first_unit[i] + units[i])] = 4 * first_unit[i] + luma_order(w, h)
     y = blocks[:, :4].reshape(-1, 64)
     y = y if (luma == np.arange(len(luma))).all() else y[luma]
-    unit_interval, unit_ends, unit_per = intervals_of(units)
-    y_interval, y_ends, y_per = intervals_of(4 * units)
+    unit_interval, unit_ends, unit_per = intervals_of(units, closed)
+    y_interval, y_ends, y_per = intervals_of(4 * units, closed)
     planes = {0: (y, y_interval, y_ends, y_per), 1: (blocks[:, 4], unit_interval, unit_ends, unit_per), 2: (blocks[:, 5], unit_interval, unit_ends, unit_per)}
     scans = []
     for parts, first, last, high, low in SCRIPT:
@@ -295,13 +300,38 @@ def encode(payloads: list[bytes] | None = None, raw: np.ndarray | None = None, s
             band = plane[:, first : last + 1].astype(np.int64)
             items = refine_items(band, interval) if high else ac_items(np.sign(band) * (np.abs(band) >> low), interval)
         data, bound = pack(items, len(ends), ends)
-        edge = bound[np.concatenate(([0], np.cumsum(per)))]
-        scans.append((scan_head((parts, first, last, high, low)), data.tobytes(), edge.tolist()))
-    out = []
-    for i, (w, h) in enumerate(shapes):
-        frame = struct.pack(">BHHB", 8, 16 * h, 16 * w, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-        out.append(b"".join([file_head(), segment(0xFE, b"payload %d" % sizes[i]), segment(0xC2, frame), *(x for head, data, edge in scans for x in (head, data[edge[i] : edge[i + 1]])), b"\xff\xd9"]))
-    return out
+        scans.append((data.tobytes(), bound[np.concatenate(([0], np.cumsum(per)))].tolist()))
+    return scans
+
+
+def assembled(size: int, shape: tuple[int, int], scans: list[list[bytes]]) -> bytes:
+    """The file of a payload of `size` bytes, from the parts of each scan."""
+    w, h = shape
+    frame = struct.pack(">BHHB", 8, 16 * h, 16 * w, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    return b"".join([file_head(), segment(0xFE, b"payload %d" % size), segment(0xC2, frame), *(x for scan, data in zip(SCRIPT, scans, strict=True) for x in (scan_head(scan), *data)), b"\xff\xd9"])
+
+
+def encode(payloads: list[bytes] | None = None, raw: np.ndarray | None = None, sizes: np.ndarray | None = None) -> list[bytes]:
+    """JPEG files of payloads, given as bytes, or one after another in `raw`; sizes are positive."""
+    if payloads is not None:
+        raw, sizes = np.frombuffer(b"".join(payloads), np.uint8), np.array([len(p) for p in payloads], np.int64)
+    if not len(sizes):
+        return []
+    shapes = [columns_of(int(u)) for u in -(-sizes // UNIT)]
+    scans = coded(raw, sizes, shapes)
+    return [assembled(int(size), shape, [[data[edge[i] : edge[i + 1]]] for data, edge in scans]) for i, (size, shape) in enumerate(zip(sizes, shapes, strict=True))]
+
+
+def encode_long(raw: np.ndarray) -> bytes:
+    """The same file of one payload, band by band."""
+    w, h = columns_of(-(-len(raw) // UNIT))
+    scans: list[list[bytes]] = [[] for _ in SCRIPT]
+    for top in range(0, h, BAND):
+        rows = min(BAND, h - top)
+        own = raw[top * w * UNIT : (top + rows) * w * UNIT]
+        for parts, (data, _) in zip(scans, coded(own, np.array([len(own)]), [(w, rows)], top + rows == h), strict=True):
+            parts.append(data)
+    return assembled(len(raw), (w, h), scans)
 
 
 @dataclass
@@ -552,13 +582,62 @@ def rgb(coefficients: np.ndarray, width: int, quantiser: bytes) -> np.ndarray:
     return np.clip(out, 0, 255).astype(np.uint8)
 
 
-def decode(media: list[bytes]) -> list[tuple[bytes, int, int, np.ndarray]]:
-    """Payload, width, height and RGB tensor of each file."""
+def marker_places(raw: np.ndarray, low: int, high: int, begin: int = 0, stop: int | None = None, block: int = 1 << 24) -> np.ndarray:
+    """Where in raw[begin:stop] a byte 255 is followed by one from `low` to `high`."""
+    out, stop = [np.zeros(0, np.int64)], len(raw) if stop is None else stop
+    for i in range(begin, stop - 1, block):
+        own = raw[i : min(i + block + 1, stop)]
+        at = np.flatnonzero(own[:-1] == 255)
+        out.append(i + at[(own[at + 1] >= low) & (own[at + 1] <= high)])
+    return np.concatenate(out)
+
+
+def markers(raw: np.ndarray) -> np.ndarray:
+    """Places where a marker other than a restart may be."""
+    return np.union1d(marker_places(raw, 1, 0xCF), marker_places(raw, 0xD8, 0xFF))
+
+
+def payload_of(blocks: np.ndarray, size: int) -> bytes:
+    return (blocks.reshape(-1)[: max(size, 0)] + 128).astype(np.uint8).tobytes()
+
+
+def decode_long(media: bytes) -> tuple[bytes, int, int, np.ndarray]:
+    """Payload, width, height and RGB tensor of one file, band by band."""
+    raw = np.frombuffer(media, np.uint8)
+    f = parse(media, 0, len(raw), markers(raw))
+    w, h = f.width // 16, f.height // 16
+    if not f.restart or BAND % (8 * f.restart):
+        return decode([media], False)[0]
+    restarts = [marker_places(raw, 0xD0, 0xD7, a, b) for a, b in f.data]
+    picture, payload = np.empty((f.height, f.width, 3), np.uint8), []
+    for top in range(0, h, BAND):
+        rows = min(BAND, h - top)
+        pieces, data, size = [], [], 0
+        for (parts, *_), (a, b), places in zip(f.scans, f.data, restarts, strict=True):
+            # Intervals of the scan before this band, and up to its end.
+            first, last = (x * w * (4 if parts == (0,) else 1) // f.restart for x in (top, top + rows))
+            begin = int(places[first - 1]) + 2 if first else a
+            stop = int(places[last - 1]) if top + rows < h else b
+            pieces.append(raw[begin:stop])
+            data.append((size, size + stop - begin))
+            size += stop - begin
+        own = np.concatenate((*pieces, np.zeros(1, np.uint8)))
+        band = replace(f, height=16 * rows, data=tuple(data))
+        blocks = decode_alike(own, [band], Bits(own))[0]
+        payload.append(payload_of(blocks, f.payload - top * w * UNIT))
+        picture[16 * top : 16 * (top + rows)] = rgb(blocks, f.width, f.quantiser)
+    return b"".join(payload), f.width, f.height, picture
+
+
+def decode(media: list[bytes], apart: bool = True) -> list[tuple[bytes, int, int, np.ndarray]]:
+    """Payload, width, height and RGB tensor of each file; one long file goes band by band."""
+    if apart and len(media) == 1 and len(media[0]) > SLICE:
+        return [decode_long(media[0])]
     buffer = b"".join(media)
     raw = np.frombuffer(buffer, np.uint8)
     if not len(raw):
         return []
-    marks = np.flatnonzero((raw[:-1] == 255) & (raw[1:] != 0) & ((raw[1:] < 0xD0) | (raw[1:] > 0xD7)))
+    marks = markers(raw)
     stops = np.cumsum([len(m) for m in media])
     files = [parse(buffer, int(b) - len(m), int(b), marks) for m, b in zip(media, stops, strict=True)]
     bits = Bits(raw)
@@ -578,8 +657,7 @@ def decode(media: list[bytes]) -> list[tuple[bytes, int, int, np.ndarray]]:
                 picture, at = rgb(np.concatenate([found[j] for j in group]), width, quantiser), 0
                 for j in group:
                     f = files[own[j]]
-                    payload = (found[j].reshape(-1)[: f.payload] + 128).astype(np.uint8).tobytes()
-                    out[own[j]] = (payload, f.width, f.height, picture[at : at + f.height])
+                    out[own[j]] = (payload_of(found[j], f.payload), f.width, f.height, picture[at : at + f.height])
                     at += f.height
     return out
 
@@ -587,10 +665,23 @@ def decode(media: list[bytes]) -> list[tuple[bytes, int, int, np.ndarray]]:
 def feature(picture: np.ndarray) -> str:
     """Size, mean colours in thousandths and checksum of a tensor."""
     h, w, _ = picture.shape
-    means = picture.reshape(-1, 3).sum(axis=0, dtype=np.int64) * 1000 // (h * w)
+    total = sum(picture[i : i + 1024].sum(axis=(0, 1), dtype=np.int64) for i in range(0, h, 1024))
+    means = total * 1000 // (h * w)
     return f"{w}x{h}:{means[0]},{means[1]},{means[2]}:{zlib.crc32(np.ascontiguousarray(picture)):08x}"
 
 
+def padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Payloads of texts, one after another, and their sizes."""
+    n = np.diff(offsets)
+    size = np.maximum(-(-n // PAD), 1) * PAD
+    out = np.full(int(size.sum()), 255, np.uint8)
+    if len(n) == 1:
+        out[: len(raw)] = raw
+    else:
+        out[np.arange(len(raw)) + np.repeat(np.cumsum(size) - size - offsets[:-1], n)] = raw
+    return out, size
+
+
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (of the text) and media (the JPEG file of its padded bytes) of every row of `docs`."""
 
@@ -598,48 +689,84 @@ def store(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 raw, offsets = utf8_bytes(part.column("text"))
-                n = np.diff(offsets)
-                size = np.maximum(-(-n // PAD), 1) * PAD
-                padded = np.full(int(size.sum()), 255, np.uint8)
-                padded[np.arange(len(raw)) + np.repeat(np.cumsum(size) - size - offsets[:-1], n)] = raw
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(encode(raw=padded, sizes=size), pa.binary())], ["doc_id", "n_bytes", "media"])
+                payloads, size = padded(raw, offsets)
+                files = [encode_long(payloads)] if is_long(part.column("text"), SLICE) else encode(raw=payloads, sizes=size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(stored, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-def load(media: DataFrame, tensors: bool = True) -> DataFrame:
-    """All columns of `media`, with payload, width, height, feature and, with `tensors`, rgb (height x width x 3 bytes)."""
-    fields = "payload binary, width int, height int, feature string" + ", rgb binary" * tensors
+def load(media: DataFrame) -> DataFrame:
+    """All columns of `media`, with payload, width, height and rgb (the tensor, height x width x 3 bytes)."""
+
+    def read(files: list[bytes]) -> list[pa.Array]:
+        found = decode(files)
+        return [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array([x[3].tobytes() for x in found], pa.binary())]
+
+    return mapped(media, "payload binary, width int, height int, rgb binary", read, keep=True)
+
+
+def tensors(media: DataFrame) -> DataFrame:
+    """`load` with the digests of payload and media in their place."""
+
+    def read(files: list[bytes]) -> list[pa.Array]:
+        found = decode(files)
+        columns = (
+            ([len(x[0]) for x in found], pa.int64()), ([hashlib.sha256(x[0]).hexdigest() for x in found], pa.string()), ([zlib.crc32(x[0][-32:]) for x in found], pa.int64()),
+            ([len(m) for m in files], pa.int64()), ([hashlib.sha256(m).hexdigest() for m in files], pa.string()), ([x[1] for x in found], pa.int32()), ([x[2] for x in found], pa.int32()),
+            ([x[3].tobytes() for x in found], pa.binary()),
+        )
+        return [pa.array(values, kind) for values, kind in columns]
+
+    return mapped(media, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, width int, height int, rgb binary", read, keep=False)
+
+
+def mapped(media: DataFrame, fields: str, read: Callable[[list[bytes]], list[pa.Array]], keep: bool) -> DataFrame:
+    """Columns made of the files of `media`, beside its other columns."""
+    names = [c for c in media.columns if keep or c != "media"]
 
     def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "media", SLICE):
-                found = decode(part.column("media").to_pylist())
-                more = [pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array([feature(x[3]) for x in found], pa.string())]
-                if tensors:
-                    more.append(pa.array([x[3].tobytes() for x in found], pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *(f.split()[0] for f in fields.split(", "))])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *read(part.column("media").to_pylist())], [*names, *(f.split()[0] for f in fields.split(", "))])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
+    own = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in names)
     return media.mapInArrow(loaded, f"{own}, {fields}")
 
 
-def described(tensors: DataFrame) -> DataFrame:
-    """`tensors` (with width, height and rgb) with the feature of each stored tensor in place of rgb."""
-    names = [c for c in tensors.columns if c != "rgb"]
+def described(stored: DataFrame) -> DataFrame:
+    """A table of tensors (width, height and rgb) with the feature of each in place of rgb."""
+    names = [c for c in stored.columns if c != "rgb"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [feature(np.frombuffer(x.as_py(), np.uint8).reshape(h, w, 3)) for x, h, w in zip(batch.column("rgb"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)]
+            found = [feature(np.frombuffer(x.as_buffer(), np.uint8).reshape(h, w, 3)) for x, h, w in zip(batch.column("rgb"), batch.column("height").to_pylist(), batch.column("width").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.string())], [*names, "feature"])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tensors.schema.fields if f.name != "rgb")
-    return tensors.mapInArrow(read, f"{own}, feature string")
+    own = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in names)
+    return stored.mapInArrow(read, f"{own}, feature string")
+
 
+def waves(spark: SparkSession, path: str, most: int = WAVES) -> list[DataFrame]:
+    """A table in up to `most` parts that together are all of its rows: groups of its files."""
+    whole = spark.read.parquet(path)
+    files = sorted(whole.inputFiles())
+    n = min(most, len(files))
+    if n < 2:
+        return [whole]
+    bounds = [len(files) * i // n for i in range(n + 1)]
+    own = spark.read.schema(whole.schema).option("basePath", path)
+    return [own.parquet(*files[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-def digests(docs: DataFrame) -> DataFrame:
-    """What was stored for every row of `docs`, as read back: the media are a table of the shared folder, and so are their tensors."""
-    media = cut(store(docs), "media")
-    read = load(media).select("doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "width", "height", "rgb")
-    return described(cut(read, "tensors")).drop("width", "height")
+
+def digests(docs: DataFrame | list[DataFrame]) -> DataFrame:
+    """What was stored for every row of `docs`, as read back: media and tensors are tables of the shared folder. Of several frames, such as `waves`, the tables of one are removed when its digests are written, before the next."""
+    out = []
+    for part in docs if isinstance(docs, list) else [docs]:
+        media = cut(store(part), "media")
+        pictures = cut(tensors(media), "tensors")
+        out.append(cut(described(pictures).drop("width", "height"), "digests"))
+        drop(media)
+        drop(pictures)
+    return reduce(DataFrame.unionAll, out)

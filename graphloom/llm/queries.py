@@ -30,7 +30,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progressive_jpeg.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return progressive_jpeg.digests(progressive_jpeg.waves(spark, f"{sf_dir}/documents.parquet"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -604,23 +604,42 @@ def test_jpeg_tensors(spark):
     assert bytes(row.media[:2]) == b"\xff\xd8" and b"\xff\xc2" in bytes(row.media) and bytes(row.media[-2:]) == b"\xff\xd9"
 
 
-def test_jpeg_digests_are_of_stored_media_and_tensors(spark):
+def test_jpeg_bands_give_the_same_files_and_pictures():
+    rng = np.random.default_rng(2)
+    for n in (576, 576 * 2800, 576 * 8001):
+        raw = rng.choice(np.frombuffer(b"the quick brown fox \xc3\xa9\x80\x7f\xff", np.uint8), n)
+        whole = progressive_jpeg.encode([raw.tobytes()])[0]
+        assert progressive_jpeg.encode_long(raw) == whole
+        one, other = progressive_jpeg.decode_long(whole), progressive_jpeg.decode([whole], False)[0]
+        assert one[0] == other[0] == raw.tobytes() and one[1:3] == other[1:3] and (one[3] == other[3]).all()
+
+
+def test_jpeg_digests_are_of_stored_media_and_tensors(spark, monkeypatch):
+    """What the digests say is what stands in the tables, which are binary columns, and which go when the digests are written."""
     from pyspark.sql.types import BinaryType
 
-    from graphloom import storage
-
-    at = storage.session_dir(spark).removeprefix("file://").removeprefix("file:")
-    before = set(os.listdir(at)) if os.path.isdir(at) else set()
     df = spark.createDataFrame([(1, "x" * 1000), (2, None)], "doc_id bigint, text string")
+    seen, gone = {}, []
+    monkeypatch.setattr(progressive_jpeg, "cut", lambda df, name: seen.setdefault(name, common.cut(df, name)))
+    monkeypatch.setattr(progressive_jpeg, "drop", gone.append)
     got = {r.doc_id: r for r in progressive_jpeg.digests(df).collect()}
-    new = {n.split("-")[0]: spark.read.parquet(f"{at}/{n}") for n in (set(os.listdir(at)) if os.path.isdir(at) else set()) - before}
-    assert set(new) == {"media", "tensors"} and all(isinstance(new[t].schema[c].dataType, BinaryType) for t, c in (("media", "media"), ("tensors", "rgb")))
-    for r in new["media"].collect():
+    assert set(seen) == {"media", "tensors", "digests"} and gone == [seen["media"], seen["tensors"]]
+    assert all(isinstance(seen[t].schema[c].dataType, BinaryType) for t, c in (("media", "media"), ("tensors", "rgb")))
+    for r in seen["media"].collect():
         assert got[r.doc_id].media_sha256 == hashlib.sha256(r.media).hexdigest()
-    for r in new["tensors"].collect():
+    for r in seen["tensors"].collect():
         assert got[r.doc_id].feature == progressive_jpeg.feature(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3))
 
 
+def test_jpeg_waves_are_all_rows(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i} " * i) for i in range(40)], "doc_id bigint, text string").repartition(9)
+    df.write.parquet(at := str(tmp_path / "documents.parquet"))
+    parts = progressive_jpeg.waves(spark, at)
+    assert len(parts) == progressive_jpeg.WAVES and len(progressive_jpeg.waves(spark, at, 4)) == 4
+    rows = lambda x: sorted(tuple(r) for r in x.collect())
+    assert rows(progressive_jpeg.digests(parts)) == rows(progressive_jpeg.digests(df))
+
+
 # 9: HTML
 
 
