@@ -75,14 +75,15 @@ def extract_source(path: str, language: str, source: bytes, seconds: float = MOS
 
 
 def extract_files(files: DataFrame) -> DataFrame:
-    """One row (EXTRACTION) for each parsable file of a scan (path, language, content)."""
-    flat = "path string, language string, symbols string, references string, imports string, errors array<string>, parse_ok boolean, error string, node_count bigint, error_count bigint, missing_count bigint"
+    """One row (EXTRACTION) for each parsable file of a scan (path, language, content, and repo if there are several)."""
+    files = files if "repo" in files.columns else files.withColumn("repo", F.lit("repo"))
+    flat = "repo string, path string, language string, symbols string, references string, imports string, errors array<string>, parse_ok boolean, error string, node_count bigint, error_count bigint, missing_count bigint"
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [extract_source(p, x, bytes(c or b"")) for p, x, c in zip(pdf["path"], pdf["language"], pdf["content"], strict=True)]
-            yield pd.DataFrame([(r.path, r.language, json.dumps(r.symbols), json.dumps(r.references), json.dumps(r.imports), r.errors, r.parse_ok, r.error, r.node_count, r.error_count, r.missing_count) for r in rows], columns=[c.split()[0] for c in flat.split(", ")])
+            yield pd.DataFrame([(repo, r.path, r.language, json.dumps(r.symbols), json.dumps(r.references), json.dumps(r.imports), r.errors, r.parse_ok, r.error, r.node_count, r.error_count, r.missing_count) for repo, r in zip(pdf["repo"], rows, strict=True)], columns=[c.split()[0] for c in flat.split(", ")])
 
-    own = files.where(F.col("language").isin(*{*PARSABLE, *EXTRACTORS})).select("path", "language", "content").mapInPandas(extracted, flat)
+    own = files.where(F.col("language").isin(*{*PARSABLE, *EXTRACTORS})).select("repo", "path", "language", "content").mapInPandas(extracted, flat)
     typed = own.withColumns({c: F.from_json(c, f"array<{t}>") for c, t in (("symbols", SYMBOL), ("references", REFERENCE), ("imports", IMPORT))})
     return typed.select(*[c.split()[0] for c in EXTRACTION.split(", ") if c[0].islower() and c.split()[0] in typed.columns])

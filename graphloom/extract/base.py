@@ -38,8 +38,8 @@ class Extraction:
     def reference(self, name: str, kind: str, start, end, scope: str | None, receiver: str | None = None, full: str | None = None, own: bool = False) -> None:
         self.references.append({"name": name, "kind": kind, "start": point(start), "end": point(end), "scope": scope or None, "receiver": receiver or None, "full": full or name, "self_receiver": own})
 
-    def imported(self, module: str, start, names=(), alias: str | None = None, level: int = 0) -> None:
-        self.imports.append({"module": module, "start": point(start), "names": list(names), "alias": alias, "level": level})
+    def imported(self, module: str, start, names=(), alias: str | None = None, level: int = 0, end=None) -> None:
+        self.imports.append({"module": module, "start": point(start), "end": point(end) if end else None, "names": list(names), "alias": alias, "level": level})
 
 
 def point(at) -> dict:

@@ -29,7 +29,7 @@ def extract_generic(path: str, source: bytes, language: str = "generic") -> Extr
     for m in IMPORT_LINE.finditer(source):
         name = import_name(m[1].decode("utf-8", "replace"))
         if name:
-            r.out.imported(name, r.lines.at(m.start()))
+            r.out.imported(name, r.lines.at(m.start()), end=r.lines.at(m.end()))
     ends = language in ("ruby",)
 
     def block(i: int, stop: int, scope: str | None, holder: str | None) -> None:

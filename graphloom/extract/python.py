@@ -51,10 +51,10 @@ class _Visitor:
             self.body(n.body, own, holder, "function")
         elif isinstance(n, ast.Import):
             for a in n.names:
-                out.imported(a.name, self.span(n)[0], alias=a.asname)
+                out.imported(a.name, self.span(n)[0], alias=a.asname, end=self.span(n)[1])
         elif isinstance(n, ast.ImportFrom):
             alias = n.names[0].asname
-            out.imported(n.module or "", self.span(n)[0], [a.name.split(".")[-1] for a in n.names], alias, n.level)
+            out.imported(n.module or "", self.span(n)[0], [a.name.split(".")[-1] for a in n.names], alias, n.level, self.span(n)[1])
         elif isinstance(n, (ast.Assign, ast.AnnAssign)):
             left = n.targets[0] if isinstance(n, ast.Assign) else n.target
             if where != "function" and isinstance(left, ast.Name) and self.variables < MOST_VARIABLES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import RELATION_WEIGHTS, structural
-from ..storage import cut, drop, numbered
+from ..storage import cut, dealt, drop, numbered
 
 
 def symbol_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -21,62 +21,93 @@ def both_ways(ties: DataFrame) -> DataFrame:
     return ties.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(ties.select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
 
 
-def local_moves(ties: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """One level of modularity moves: id and label. Each round half of the nodes, by a hash, may move to the neighbour community of most gain."""
+def modularity(ties: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """The share of ties inside communities, less what chance would give; 0 without ties."""
+    one = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    own = ties.join(one[0], "a").join(one[1], "b")
+    inside, total = own.agg(F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)), F.sum("w")).first()
+    if not total:
+        return 0.0
+    ends = own.select(F.explode(F.array("la", "lb")).alias("label"), "w").groupBy("label").agg(F.sum("w").alias("k"))
+    return inside / total - resolution * ends.agg(F.sum((F.col("k") / (2 * total)) ** 2)).first()[0]
+
+
+def local_moves(ties: DataFrame, resolution: float, gain: float = 1e-6) -> DataFrame:
+    """One level of modularity moves: id and label.
+
+    Each round half of the nodes, by a hash that changes with the round, may move to the neighbour community of most
+    gain. Rounds go on while two of them together raise the modularity by `gain`, so they end; the best labels are
+    returned.
+    """
+    ties = cut(ties.select("a", "b", "w"), "ties")
     links = cut(both_ways(ties), "links")
     strength = cut(links.groupBy("u").agg(F.sum("w").alias("k")), "strength")
     total = strength.agg(F.sum("k")).first()[0] or 1.0
     labels = cut(strength.select(F.col("u").alias("id"), F.col("u").alias("label")), "labels")
-    still = 0
-    for turn in range(rounds):
+    best, best_labels, turn = modularity(ties, labels, resolution), labels, 0
+    while True:
+        mine = F.pmod(F.xxhash64("u", F.lit(turn // 2)), F.lit(2)) == turn % 2
         weighed = labels.join(strength, F.col("id") == F.col("u")).select("id", "label", "k")
         mass = weighed.groupBy("label").agg(F.sum("k").alias("mass"))
-        near = links.where(F.pmod(F.xxhash64("u"), F.lit(2)) == turn % 2).join(labels.select(F.col("id").alias("v"), F.col("label").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
-        own = weighed.select(F.col("id").alias("u"), "label", "k").where(F.pmod(F.xxhash64("u"), F.lit(2)) == turn % 2)
-        gains = near.join(own, "u").join(mass.withColumnRenamed("label", "to"), "to")
+        near = links.where(mine & (F.col("u") != F.col("v"))).join(labels.select(F.col("id").alias("v"), F.col("label").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
+        own = weighed.select(F.col("id").alias("u"), "label", "k").where(mine)
+        # The largest community is near to many; its sum is one row, with a shuffle of its own.
+        gains = near.join(own, "u").join(mass.withColumnRenamed("label", "of"), dealt("to") == dealt("of"))
         rest = F.col("mass") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0)
         gains = gains.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / total, 9))
-        best = gains.groupBy("u").agg(F.max(F.struct("gain", (F.col("to") == F.col("label")).alias("stay"), "to")).alias("best"), F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("here"))
-        alone = labels.join(best, F.col("id") == F.col("u"), "left")
-        moves = (F.col("best.gain") > F.coalesce("here", F.lit(0.0))) & ~F.col("best.stay")
-        new = cut(alone.select("id", F.when(F.coalesce(moves, F.lit(False)), F.col("best.to")).otherwise(F.col("label")).alias("label"), F.coalesce(moves, F.lit(False)).alias("moved")), "labels")
-        still = 0 if not new.where("moved").isEmpty() else still + 1
-        drop(labels)
-        labels = new.select("id", "label")
-        labels._graphloom_path = new._graphloom_path
-        if still == 2:
+        top = gains.groupBy("u").agg(F.max(F.struct("gain", (F.col("to") == F.col("label")).alias("stay"), "to")).alias("best"), F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("here"))
+        moves = F.coalesce((F.col("best.gain") > F.coalesce("here", F.lit(0.0))) & ~F.col("best.stay"), F.lit(False))
+        new = cut(labels.join(top, F.col("id") == F.col("u"), "left").select("id", F.when(moves, F.col("best.to")).otherwise(F.col("label")).alias("label")), "labels")
+        if labels is not best_labels:
+            drop(labels)
+        labels, turn = new, turn + 1
+        if turn % 2:
+            continue
+        now = modularity(ties, labels, resolution)
+        if now < best + gain:
             break
-    return labels
+        drop(best_labels)
+        best, best_labels = now, labels
+    if labels is not best_labels:
+        drop(labels)
+    for used in (ties, links, strength):
+        drop(used)
+    return best_labels
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 0.8, rounds: int = 8, levels: int = 2, least: int = 5) -> DataFrame:
-    """id and community of every symbol that has a tie: modularity moves on symbols, then on communities, then small ones merged and numbered by size."""
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 0.8, least: int = 5) -> DataFrame:
+    """id and community of every symbol that has a tie: modularity moves on symbols, then on communities until none is joined to another, then small ones merged and numbered by size."""
     ties = cut(symbol_subgraph(nodes, edges), "ties")
-    labels = local_moves(ties, resolution, rounds)
-    for _ in range(levels - 1):
+    labels = local_moves(ties, resolution)
+    while True:
         named = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: B023, E731
-        above = ties.join(named("a"), "a").join(named("b"), "b").where("a_label != b_label")
-        above = above.groupBy(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).agg(F.sum("w").alias("w"))
-        higher = local_moves(above, resolution, rounds)
+        # Ties inside a community stay as loops of it: they count for its weight.
+        above = ties.join(named("a"), "a").join(named("b"), "b").groupBy(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).agg(F.sum("w").alias("w"))
+        higher = local_moves(above, resolution)
+        if higher.where("id != label").isEmpty():
+            break
         labels = cut(labels.join(higher.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
     return number_communities(merge_small(labels, ties, least))
 
 
-def merge_small(labels: DataFrame, ties: DataFrame, least: int = 5, rounds: int = 20) -> DataFrame:
-    """Communities of fewer than `least` go to the neighbour that they have most ties with, until none has a neighbour."""
+def merge_small(labels: DataFrame, ties: DataFrame, least: int = 5) -> DataFrame:
+    """Communities of fewer than `least` go to the neighbour that they have most ties with, until none has a neighbour.
+
+    Of those that would go to one that goes itself, only the larger labels go in a round; so each round ends at least
+    one community, and in a ring of them not all change places.
+    """
     labels = cut(labels.select("id", "label"), "labels")
-    for _ in range(rounds):
+    ends = cut(both_ways(ties.select("a", "b", F.lit(1.0).alias("w"))), "ends")
+    while True:
         small = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < least).select("label")
-        ends = both_ways(ties.select("a", "b", F.lit(1.0).alias("w")))
         pairs = ends.join(labels.select(F.col("id").alias("u"), "label"), "u").join(labels.select(F.col("id").alias("v"), F.col("label").alias("to")), "v").where("label != to")
         counted = pairs.join(small, "label", "left_semi").groupBy("label", "to").agg(F.count("*").alias("n"))
-        moves = counted.groupBy("label").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
-        # Of two small ones that would swap, the smaller label stays.
-        moves = cut(moves.join(moves.select(F.col("label").alias("to"), F.col("to").alias("back")), "to", "left").where("back is null or back != label or label > to").select("label", "to"), "moves")
+        wishes = counted.groupBy("label").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
+        going = wishes.select(F.col("label").alias("to"), F.lit(True).alias("going"))
+        moves = cut(wishes.join(going, "to", "left").where("going is null or label > to").select("label", "to"), "moves")
         if moves.isEmpty():
-            break
+            return labels
         labels = cut(labels.join(moves, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
-    return labels
 
 
 def number_communities(labels: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # What an import in each language may name, as file endings.
 EXTENSIONS = {
@@ -20,8 +20,8 @@ def endings(language: Column) -> Column:
 
 
 def import_rows(extractions: DataFrame) -> DataFrame:
-    """path, language, at (the import's place) and its fields."""
-    return extractions.select("path", "language", F.posexplode("imports").alias("at", "i")).select("path", "language", "at", "i.*")
+    """repo, path, language, at (the import's place) and its fields."""
+    return extractions.select("repo", "path", "language", F.posexplode("imports").alias("at", "i")).select("repo", "path", "language", "at", "i.*")
 
 
 def joined(*parts: Column) -> Column:
@@ -57,21 +57,20 @@ def siblings(paths: DataFrame) -> DataFrame:
 
 
 def resolve_imports(extractions: DataFrame, most_suffixes: int = 3, compat: bool = False) -> DataFrame:
-    """path, at and target of every import that names a file of the repository.
+    """repo, path, at and target of every import that names a file of its repository.
 
     With `compat`, parent-relative script imports are left as they stand, and then match nothing.
     """
     rows = import_rows(extractions)
-    paths = extractions.select("path")
-    targets = paths.select(F.col("path").alias("target"))
+    targets = extractions.select("repo", F.col("path").alias("target"))
     keyed = targets.withColumn("dir", dir_name(F.col("target"))).withColumn("stem", stem(F.col("target")))
-    key = ["path", "at"]
+    key = ["repo", "path", "at"]
 
     def meet(candidates: DataFrame) -> DataFrame:
-        return candidates.select(*key, F.explode("names").alias("target")).distinct().join(targets, "target").select(*key, "target")
+        return candidates.select(*key, F.explode("names").alias("target")).distinct().join(targets, ["repo", "target"]).select(*key, "target")
 
     def with_siblings(own: DataFrame) -> DataFrame:
-        near = own.withColumn("dir", dir_name(F.col("path"))).join(keyed, "dir").where("path != target")
+        near = own.withColumn("dir", dir_name(F.col("path"))).join(keyed, ["repo", "dir"]).where("path != target")
         return near.select(*key, "target")
 
     parts = F.filter(F.split("module", r"\."), lambda p: p != "")
@@ -89,8 +88,8 @@ def resolve_imports(extractions: DataFrame, most_suffixes: int = 3, compat: bool
     absolute = absolute.withColumn("names", F.array(*[F.concat("stemmed", F.lit(e)) for e in (".py", ".pyi", "/__init__.py")]))
     exact = meet(absolute)
     pieces = F.split("target", "/")
-    ends = targets.where(F.size(pieces) > 1).select("target", F.explode(F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "/"))).alias("name"))
-    loose = absolute.join(exact, key, "left_anti").select(*key, F.explode("names").alias("name")).distinct().join(ends, "name").select(*key, "target").distinct()
+    ends = targets.where(F.size(pieces) > 1).select("repo", "target", F.explode(F.transform(F.sequence(F.lit(2), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "/"))).alias("name"))
+    loose = absolute.join(exact, key, "left_anti").select(*key, F.explode("names").alias("name")).distinct().join(ends, ["repo", "name"]).select(*key, "target").distinct()
     few = loose.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") <= most_suffixes)
     out = out.unionByName(exact).unionByName(loose.join(few.select(*key), key, "left_semi"))
     # Scripts: relative only.
@@ -103,12 +102,12 @@ def resolve_imports(extractions: DataFrame, most_suffixes: int = 3, compat: bool
     out = out.unionByName(meet(script.withColumn("names", F.when(suffixed, F.concat(named, F.array("base"))).otherwise(named))))
     # Go: a directory's name, and the package's own files.
     go = rows.where("language = 'go'").withColumn("tail", F.element_at(F.split(F.regexp_replace("module", "/+$", ""), "/"), -1)).where("tail != ''")
-    by_dir = keyed.withColumn("tail", F.element_at(F.split("dir", "/"), -1)).select("tail", "target")
-    out = out.unionByName(go.join(by_dir, "tail").select(*key, "target")).unionByName(with_siblings(go))
+    by_dir = keyed.withColumn("tail", F.element_at(F.split("dir", "/"), -1)).select("repo", "tail", "target")
+    out = out.unionByName(go.join(by_dir, ["repo", "tail"]).select(*key, "target")).unionByName(with_siblings(go))
     # Java: package and name, else the name alone, and the package's own files.
     java = rows.where("language = 'java'").withColumn("parts", F.filter(F.split(F.regexp_replace("module", r"\.\*$", ""), r"\."), lambda p: p != "")).where(F.size("parts") > 0)
     java = java.withColumn("stem", F.element_at("parts", -1)).withColumn("package", F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/"))
-    named_ = java.join(keyed, "stem")
+    named_ = java.join(keyed, ["repo", "stem"])
     in_package = named_.where((F.col("package") != "") & F.col("dir").endswith(F.col("package"))).select(*key, "target")
     out = out.unionByName(in_package).unionByName(named_.select(*key, "target").join(in_package.select(*key), key, "left_anti")).unionByName(with_siblings(java))
     # Others: the path as it is written, else one of that name in the same directory.
@@ -119,33 +118,39 @@ def resolve_imports(extractions: DataFrame, most_suffixes: int = 3, compat: bool
     other = other.withColumn("whole", whole).withColumn("names", F.transform(endings(F.col("language")), lambda e: F.concat(F.col("whole"), e)))
     direct = meet(other)
     rest = other.join(direct.select(*key), key, "left_anti").withColumn("stem", F.element_at("parts", -1)).withColumn("dir", dir_name(F.col("path")))
-    near = rest.join(keyed, ["dir", "stem"]).where("path != target").select(*key, "target")
+    near = rest.join(keyed, ["repo", "dir", "stem"]).where("path != target").select(*key, "target")
     return out.unionByName(direct).unionByName(near).distinct()
 
 
 def aliases(rows: DataFrame) -> DataFrame:
-    """path, at and alias: the names by which a file may speak of an import."""
+    """repo, path, at and alias: the names by which a file may speak of an import."""
     last = F.element_at(F.split("module", r"\."), -1)
     names = F.concat(F.array("alias", F.when(F.col("module") != "", F.col("module")), F.when(F.col("module") != "", last)), F.coalesce("names", F.array().cast("array<string>")))
-    return rows.select("path", "at", F.explode(F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (x != "")))).alias("alias"))
+    return rows.select("repo", "path", "at", F.explode(F.array_distinct(F.filter(names, lambda x: x.isNotNull() & (x != "")))).alias("alias"))
 
 
 def alias_targets(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """path, alias and target; the alias '' stands for all imports."""
-    named = aliases(rows).unionByName(rows.select("path", "at", F.lit("").alias("alias")))
-    return named.join(resolved, ["path", "at"]).select("path", "alias", "target").distinct()
+    """repo, path, alias and target; the alias '' stands for all imports."""
+    named = aliases(rows).unionByName(rows.select("repo", "path", "at", F.lit("").alias("alias")))
+    return named.join(resolved, ["repo", "path", "at"]).select("repo", "path", "alias", "target").distinct()
 
 
 def external_aliases(rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """path and alias of imports from outside the repository."""
-    return aliases(rows.join(resolved.select("path", "at").distinct(), ["path", "at"], "left_anti")).where("alias != '*'").select("path", "alias").distinct()
+    """repo, path and alias of imports from outside the repository."""
+    return aliases(rows.join(resolved.select("repo", "path", "at").distinct(), ["repo", "path", "at"], "left_anti")).where("alias != '*'").select("repo", "path", "alias").distinct()
+
+
+def top_externals(outside: DataFrame, most: int = 400) -> DataFrame:
+    """repo, dst and n of the `most` names from outside that each repository's edges (repo, dst) lead to most; ties by name."""
+    counted = outside.groupBy("repo", "dst").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "dst"))
+    return counted.withColumn("place", place).where(F.col("place") <= most).select("repo", "dst", "n")
 
 
 def import_edges(rows: DataFrame, resolved: DataFrame, most_external: int = 400) -> DataFrame:
-    """src, dst and place of every import; of modules outside, the `most_external` that are imported most."""
-    at = [F.col("start.row").cast("bigint").alias("sl"), F.col("start.col").cast("bigint").alias("sc")]
-    inside = rows.join(resolved, ["path", "at"]).select(F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("file:"), "target").alias("dst"), F.col("path").alias("file"), *at)
-    outside = rows.join(resolved.select("path", "at").distinct(), ["path", "at"], "left_anti").where("module != ''").select(F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("ext:"), "module").alias("dst"), F.col("path").alias("file"), *at)
-    top = outside.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(most_external).select("dst")
-    both = inside.unionByName(outside.join(top, "dst", "left_semi").select(*inside.columns))
-    return both.select("src", "dst", F.lit("imports").alias("relation"), F.lit("EXTRACTED").alias("confidence"), "file", "sl", "sc")
+    """src, dst and place of every import; of modules outside, the `most_external` of each repository that are imported most."""
+    at = [F.col(f"{end}.{part}").cast("bigint").alias(f"{end[0]}{name}") for end in ("start", "end") for part, name in (("row", "l"), ("col", "c"))]
+    inside = rows.join(resolved, ["repo", "path", "at"]).select("repo", F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("file:"), "target").alias("dst"), F.col("path").alias("file"), *at, "at")
+    outside = rows.join(resolved.select("repo", "path", "at").distinct(), ["repo", "path", "at"], "left_anti").where("module != ''").select("repo", F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("ext:"), "module").alias("dst"), F.col("path").alias("file"), *at, "at")
+    both = inside.unionByName(outside.join(top_externals(outside, most_external), ["repo", "dst"], "left_semi").select(*inside.columns))
+    return both.select("repo", "src", "dst", F.lit("imports").alias("relation"), F.lit("EXTRACTED").alias("confidence"), "file", "sl", "sc", "el", "ec", "at")

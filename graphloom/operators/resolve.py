@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..extract.builtins import builtin_table
+from ..storage import dealt
 from .build import symbols
 from .imports import alias_targets, dir_name, external_aliases, import_rows
 
@@ -17,8 +18,8 @@ RELATION = {"call": "calls", "extends": "extends", "implements": "implements", "
 
 
 def reference_rows(extractions: DataFrame) -> DataFrame:
-    """path, language, at (the reference's place) and its fields."""
-    return extractions.select("path", "language", F.posexplode("references").alias("at", "r")).select("path", "language", "at", "r.*").withColumnRenamed("kind", "ref_kind")
+    """repo, path, language, at (the reference's place) and its fields."""
+    return extractions.select("repo", "path", "language", F.posexplode("references").alias("at", "r")).select("repo", "path", "language", "at", "r.*").withColumnRenamed("kind", "ref_kind")
 
 
 def resolve_references(extractions: DataFrame, resolved_imports: DataFrame) -> DataFrame:
@@ -26,34 +27,35 @@ def resolve_references(extractions: DataFrame, resolved_imports: DataFrame) -> D
     refs = reference_rows(extractions)
     found = symbols(extractions)
     imports = import_rows(extractions)
-    key = ["path", "at"]
+    key = ["repo", "path", "at"]
     # Members of the own class.
     enclosing = F.when(F.col("self_receiver") & F.col("scope").contains("."), F.regexp_replace("scope", r"\.[^.]*$", ""))
     tail = F.regexp_replace("id", "^[^#]*#", "")
-    own = refs.withColumn("enclosing", enclosing).where("enclosing is not null").join(found.select("path", "name", "id", "seq"), ["path", "name"])
+    own = refs.withColumn("enclosing", enclosing).where("enclosing is not null").join(found.select("repo", "path", "name", "id", "seq"), ["repo", "path", "name"])
     members = own.where(F.contains(tail, F.concat("enclosing", F.lit(".")))).groupBy(*key).agg(F.count("*").alias("n1"), F.min_by("id", "seq").alias("t1"))
     # Names of the same file.
-    by_name = found.groupBy("path", "name").agg(F.count("*").alias("n2"), F.min_by("id", "seq").alias("t2"))
+    by_name = found.groupBy("repo", "path", "name").agg(F.count("*").alias("n2"), F.min_by("id", "seq").alias("t2"))
     # Names of imported files: by the receiver, else by its head, else by all imports. One row for each (file, receiver, name).
     targets = alias_targets(imports, resolved_imports)
-    asked = refs.select("path", "name", F.coalesce("receiver", F.lit("")).alias("told")).distinct()
+    asked = refs.select("repo", "path", "name", F.coalesce("receiver", F.lit("")).alias("told")).distinct()
     head = F.substring_index("told", ".", 1)
-    tries = asked.select("path", "name", "told", F.posexplode(F.array(F.when(F.col("told") != "", F.col("told")), F.when(F.col("told").contains("."), head), F.lit(""))).alias("turn", "alias")).where("alias is not null")
-    known = tries.join(targets.select("path", "alias").distinct(), ["path", "alias"], "left_semi")
-    chosen = known.groupBy("path", "name", "told").agg(F.min_by("alias", "turn").alias("alias"))
-    imported = chosen.join(targets, ["path", "alias"]).join(found.select(F.col("path").alias("target"), "name", "id"), ["target", "name"])
-    imported = imported.groupBy("path", "name", "told").agg(F.count("*").alias("n3"), F.min("id").alias("t3"))
+    tries = asked.select("repo", "path", "name", "told", F.posexplode(F.array(F.when(F.col("told") != "", F.col("told")), F.when(F.col("told").contains("."), head), F.lit(""))).alias("turn", "alias")).where("alias is not null")
+    known = tries.join(targets.select("repo", "path", "alias").distinct(), ["repo", "path", "alias"], "left_semi")
+    chosen = known.groupBy("repo", "path", "name", "told").agg(F.min_by("alias", "turn").alias("alias"))
+    imported = chosen.join(targets, ["repo", "path", "alias"]).join(found.select("repo", F.col("path").alias("target"), "name", "id"), ["repo", "target", "name"])
+    imported = imported.groupBy("repo", "path", "name", "told").agg(F.count("*").alias("n3"), F.min("id").alias("t3"))
     # Names that one sibling alone defines, once.
-    lone = found.groupBy("name").agg(F.count_distinct("path").alias("files"), F.count("*").alias("times"), F.min("path").alias("target"), F.min("id").alias("t8")).where("files = 1 and times = 1")
-    lone = lone.select("name", "t8", F.col("target").alias("lone_path"), dir_name(F.col("target")).alias("lone_dir"))
+    lone = found.groupBy("repo", "name").agg(F.count_distinct("path").alias("files"), F.count("*").alias("times"), F.min("path").alias("target"), F.min("id").alias("t8")).where("files = 1 and times = 1")
+    lone = lone.select(F.col("repo").alias("lone_repo"), F.col("name").alias("lone"), "t8", F.col("target").alias("lone_path"), dir_name(F.col("target")).alias("lone_dir"))
     # A few hundred fixed rows.
     builtins = F.broadcast(builtin_table(extractions.sparkSession))
     outside = external_aliases(imports, resolved_imports)
     rows = refs.withColumn("told", F.coalesce("receiver", F.lit(""))).withColumn("word", F.when(F.col("told") == "", F.col("name")).otherwise(F.substring_index("told", ".", 1)))
-    rows = rows.join(members, key, "left").join(by_name, ["path", "name"], "left").join(imported, ["path", "name", "told"], "left")
+    rows = rows.join(members, key, "left").join(by_name, ["repo", "path", "name"], "left").join(imported, ["repo", "path", "name", "told"], "left")
     rows = rows.join(builtins.select("language", F.col("name").alias("word"), F.lit(True).alias("builtin")), ["language", "word"], "left")
-    rows = rows.join(outside.select("path", F.col("alias").alias("told"), F.lit(True).alias("outside")), ["path", "told"], "left")
-    rows = rows.join(lone, "name", "left")
+    rows = rows.join(outside.select("repo", "path", F.col("alias").alias("told"), F.lit(True).alias("outside")), ["repo", "path", "told"], "left")
+    # References of a common name are many; the name is one row here, with a shuffle of its own.
+    rows = rows.join(lone, dealt("repo", "name") == dealt("lone_repo", "lone"), "left")
     sibling = (F.col("lone_dir") == dir_name(F.col("path"))) & (F.col("lone_path") != F.col("path"))
     bare = F.col("told") == ""
 
@@ -74,17 +76,17 @@ def resolve_references(extractions: DataFrame, resolved_imports: DataFrame) -> D
         .otherwise(step(none, "unresolved"))
     )
     out = rows.withColumn("found", ladder)
-    return out.select("path", "language", "at", "name", "ref_kind", "start", "scope", "receiver", F.col("found.target").alias("target"), F.col("found.outcome").alias("outcome"))
+    return out.select("repo", "path", "language", "at", "name", "ref_kind", "start", "end", "scope", "receiver", F.col("found.target").alias("target"), F.col("found.outcome").alias("outcome"))
 
 
 def reference_edges(resolved: DataFrame, extractions: DataFrame) -> DataFrame:
     """Edges of resolved references, from the symbol whose scope they stand in or else from the file; names outside are kept for calls only."""
-    scopes = symbols(extractions).groupBy("path", F.col("qualified").alias("scope")).agg(F.max_by("id", "seq").alias("holder"))
+    scopes = symbols(extractions).groupBy("repo", "path", F.col("qualified").alias("scope")).agg(F.max_by("id", "seq").alias("holder"))
     kept = resolved.where(F.col("target").isNotNull() & ((F.col("ref_kind") == "call") | ~F.col("target").startswith("ext:")))
     relation = F.element_at(F.create_map(*[F.lit(x) for pair in RELATION.items() for x in pair]), F.col("ref_kind"))
-    return kept.join(scopes, ["path", "scope"], "left").select(
-        F.coalesce("holder", F.concat(F.lit("file:"), "path")).alias("src"), F.col("target").alias("dst"), relation.alias("relation"), F.upper("outcome").alias("confidence"),
-        F.col("path").alias("file"), F.col("start.row").cast("bigint").alias("sl"), F.col("start.col").cast("bigint").alias("sc"),
+    return kept.join(scopes, ["repo", "path", "scope"], "left").select(
+        "repo", F.coalesce("holder", F.concat(F.lit("file:"), "path")).alias("src"), F.col("target").alias("dst"), relation.alias("relation"), F.upper("outcome").alias("confidence"),
+        F.col("path").alias("file"), F.col("start.row").cast("bigint").alias("sl"), F.col("start.col").cast("bigint").alias("sc"), F.col("end.row").cast("bigint").alias("el"), F.col("end.col").cast("bigint").alias("ec"), "at",
     )
 
 

@@ -9,7 +9,7 @@ from ..storage import cut
 
 
 def adjacency(edges: DataFrame, direction: str = "both", relations=None, confidences=None) -> DataFrame:
-    """Distinct (at, to) of the edges that a walk may take."""
+    """(at, to) of the edges that a walk may take, as often as they are there."""
     own = edges
     if relations:
         own = own.where(F.lower("relation").isin(*[r.lower() for r in relations]))
@@ -17,20 +17,26 @@ def adjacency(edges: DataFrame, direction: str = "both", relations=None, confide
         own = own.where(F.upper("confidence").isin(*[c.upper() for c in confidences]))
     out, back = own.select(F.col("src").alias("at"), F.col("dst").alias("to")), own.select(F.col("dst").alias("at"), F.col("src").alias("to"))
     both = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    return both.where("at != to").distinct()
+    return both.where("at != to")
 
 
 def bfs(edges: DataFrame, start: list[str], depth: int, direction: str = "both", relations=None, limit: int | None = None, confidences=None) -> DataFrame:
-    """id and hop of everything within `depth` hops; with `limit`, the first so many in (hop, id) order."""
+    """id and hop of everything within `depth` hops; with `limit`, the first so many in (hop, id) order.
+
+    The first hop is a filter by the given ids, which reaches the scan. Only what a frontier reaches is made distinct,
+    never all edges; a walk of several hops writes the ends of the edges that it may take once.
+    """
     spark = edges.sparkSession
     steps = adjacency(edges, direction, relations, confidences)
     seen = spark.createDataFrame([(s, 0) for s in start], "id string, hop int")
-    frontier = seen
-    if depth > 1:
-        steps = cut(steps, "steps")
+    if depth < 1 or not start:
+        return seen.orderBy("hop", "id").limit(limit) if limit else seen
+    steps = cut(steps, "steps") if depth > 1 else steps
+    frontier = None
     for hop in range(1, depth + 1):
-        reached = frontier.join(steps, frontier["id"] == steps["at"]).select(F.col("to").alias("id")).distinct()
-        new = reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        reached = steps.where(F.col("at").isin(*start)) if frontier is None else steps.join(frontier.select(F.col("id").alias("at")), "at", "left_semi")
+        reached = reached.select(F.col("to").alias("id")).distinct()
+        new = (reached.where(~F.col("id").isin(*start)) if frontier is None else reached.join(seen.select("id"), "id", "left_anti")).withColumn("hop", F.lit(hop))
         if hop < depth:
             new = cut(new, "frontier")
             if new.isEmpty():

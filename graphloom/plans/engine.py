@@ -18,6 +18,11 @@ class Index:
         self.repo, self.files, self.skipped, self.extractions, self.references, self.nodes, self.edges, self.stats, self.parsed = repo, files, skipped, extractions, references, nodes, edges, stats, parsed
         self._members = members
 
+    def of(self, repo: str) -> Index:
+        """The part of one repository, where a table held several; a community never spans two."""
+        own = lambda df: df.where(F.col("repo") == repo) if "repo" in df.columns else df
+        return Index(repo, own(self.files), own(self.skipped), own(self.extractions), own(self.references), own(self.nodes), own(self.edges), resolve.call_stats(own(self.references)), self.parsed)
+
     @property
     def members(self) -> DataFrame:
         if self._members is None:
@@ -42,19 +47,20 @@ class Engine:
         return self.build(scan_table(contents, self.limits), repo, cached)
 
     def build(self, scan: Scan, repo: str, cached: DataFrame | None = None) -> Index:
-        """`cached` is the `extractions` of an earlier run: files of the same content are not parsed again."""
-        scanned = cut(scan.files, "scan")
+        """Files with a column `repo` are of so many repositories, which are indexed together and never mixed; ids are unique in each. `cached` is the `extractions` of an earlier run: files of the same content are not parsed again."""
+        scanned = cut(scan.files if "repo" in scan.files.columns else scan.files.withColumn("repo", F.lit(repo)), "scan")
         fresh = incremental.changed(scanned, cached) if cached is not None else scanned
-        extracted = cut(extract_files(fresh).join(fresh.select("path", "sha256"), "path"), "extracted")
+        extracted = cut(extract_files(fresh).join(fresh.select("repo", "path", "sha256"), ["repo", "path"]), "extracted")
         parsed = extracted.count()
         found = cut(incremental.refreshed(scanned, cached, extracted), "extractions") if cached is not None else extracted
-        files = scanned.drop("content").join(found.select("path", "parse_ok", "error", "node_count", "error_count", "missing_count"), "path", "left")
+        files = scanned.drop("content").join(found.select("repo", "path", "parse_ok", "error", "node_count", "error_count", "missing_count"), ["repo", "path"], "left")
         targets = cut(imports.resolve_imports(found), "imports")
         references = cut(resolve.resolve_references(found, targets), "references")
-        tree_nodes, tree_edges = build.structure(files, repo)
+        tree_nodes, tree_edges = build.structure(files)
         symbol_nodes, symbol_edges = build.symbol_graph(build.symbols(found))
-        ties = imports.import_edges(imports.import_rows(found), targets).unionByName(resolve.reference_edges(references, found))
-        edges = tree_edges.unionByName(symbol_edges).unionByName(ties).unionByName(build.test_edges(ties, files))
-        edges = cut(build.dedup_edges(build.sequenced(edges), "seq", "confidence"), "edges")
-        nodes = tree_nodes.unionByName(symbol_nodes).unionByName(build.external_nodes(edges.select(F.col("dst").alias("id"))))
+        imported, referred = imports.import_edges(imports.import_rows(found), targets), resolve.reference_edges(references, found)
+        tests = build.test_edges(imported.unionByName(referred), files)
+        edges = build.staged(tree_edges, symbol_edges, imported, referred, tests)
+        edges = cut(build.dedup_edges(build.sequenced(edges), "seq"), "edges")
+        nodes = tree_nodes.unionByName(symbol_nodes).unionByName(build.external_nodes(edges.select("repo", F.col("dst").alias("id"))))
         return Index(repo, cut(files, "files"), scan.skipped, found, references, cut(nodes, "nodes"), edges, resolve.call_stats(references), parsed)

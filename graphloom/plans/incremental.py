@@ -5,24 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def version(files: DataFrame) -> list[str]:
+    """What tells a version of a file."""
+    return [*place(files), "sha256"]
+
+
+def place(files: DataFrame) -> list[str]:
+    return [c for c in ("repo", "path") if c in files.columns]
+
+
 def reused(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files whose cached extraction is of the same content."""
-    return files.join(cached.select("path", "sha256"), ["path", "sha256"], "left_semi")
+    return files.join(cached.select(*version(files)), version(files), "left_semi")
 
 
 def changed(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files that are new or have changed."""
-    return files.join(cached.select("path", "sha256"), ["path", "sha256"], "left_anti")
+    return files.join(cached.select(*version(files)), version(files), "left_anti")
 
 
 def stale(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Cached extractions of files that are gone."""
-    return cached.join(files.select("path"), "path", "left_anti")
+    return cached.join(files.select(*place(files)), place(files), "left_anti")
 
 
 def refreshed(files: DataFrame, cached: DataFrame, fresh: DataFrame) -> DataFrame:
     """The cache after a run: fresh extractions, and those reused, whose counts are kept."""
-    kept = cached.join(files.select("path", "sha256"), ["path", "sha256"], "left_semi")
+    kept = cached.join(files.select(*version(files)), version(files), "left_semi")
     return fresh.unionByName(kept.select(*fresh.columns))
 
 

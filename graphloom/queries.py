@@ -211,12 +211,10 @@ def import_graph(spark, sf_dir):
     return analyze.import_graph(g.nodes, g.edges)
 
 
-@registered(""", kept AS (SELECT * FROM edges WHERE relation = 'imports' AND src LIKE 'file:' || (SELECT r_name FROM region WHERE r_regionkey = 0) || '/%')
-SELECT path FROM nat WHERE 'file:' || path NOT IN (SELECT src FROM kept) AND 'file:' || path NOT IN (SELECT dst FROM kept)""")
+@registered("SELECT path FROM nat WHERE 'file:' || path NOT IN (SELECT src FROM edges WHERE relation = 'imports') AND 'file:' || path NOT IN (SELECT dst FROM edges WHERE relation = 'imports')")
 def orphan_files(spark, sf_dir):
     g = table_graph(spark, sf_dir)
-    one = _read(spark, sf_dir, "region").where("r_regionkey = 0").select(F.concat(F.lit("file:"), "r_name", F.lit("/%")).alias("p")).first()[0]
-    return analyze.orphan_files(g.nodes, g.edges.where(F.col("src").like(one)))
+    return analyze.orphan_files(g.nodes, g.edges)
 
 
 @registered(MEMBERS_SQL + "SELECT a.community AS src_community, b.community AS dst_community, count(*) AS n FROM edges JOIN members a ON src = a.id JOIN members b ON dst = b.id WHERE relation NOT IN ('contains', 'defines') AND a.community <> b.community GROUP BY 1, 2")
@@ -286,10 +284,10 @@ def search_nodes(spark, sf_dir):
     return query.search(g.nodes, _degrees(g), "er#0000_1").select("id", "name", "degree")
 
 
-@registered("SELECT id, name FROM nodes WHERE kind IN ('function', 'method') AND file IS NOT NULL AND id NOT IN (SELECT dst FROM edges WHERE relation IN ('calls', 'instantiates') AND confidence = 'EXTRACTED' AND seq < 3)")
+@registered("SELECT id, name FROM nodes WHERE kind IN ('function', 'method') AND file IS NOT NULL AND id NOT IN (SELECT dst FROM edges WHERE relation IN ('calls', 'instantiates'))")
 def dead_code(spark, sf_dir):
     g = table_graph(spark, sf_dir)
-    return query.dead_code(g.nodes, g.edges.where("relation not in ('calls', 'instantiates') or (confidence = 'EXTRACTED' and seq < 3)")).select("id", "name")
+    return query.dead_code(g.nodes, g.edges).select("id", "name")
 
 
 @registered("SELECT dst AS id, count(*) AS n FROM edges WHERE relation = 'instantiates' GROUP BY 1 ORDER BY n DESC, id LIMIT 400")

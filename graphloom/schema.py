@@ -17,14 +17,14 @@ RELATION_WEIGHTS = {"calls": 2.0, "extends": 2.0, "implements": 2.0, "instantiat
 #: Relations along which a change of a symbol reaches others.
 IMPACT_RELATIONS = ("calls", "instantiates", "extends", "implements", "imports", "type_uses")
 
-NODES = "id string, kind string, name string, qualified string, file string, sl int, sc int, el int, ec int, language string, doc string"
-EDGES = "seq bigint, src string, dst string, relation string, confidence string, file string, sl bigint, sc bigint"
-FILES = "path string, language string, size bigint, loc bigint, sha256 string, mtime timestamp"
+NODES = "repo string, id string, kind string, name string, qualified string, file string, sl int, sc int, el int, ec int, language string, doc string"
+EDGES = "seq bigint, repo string, src string, dst string, relation string, confidence string, file string, sl bigint, sc bigint, el bigint, ec bigint"
+FILES = "repo string, path string, language string, size bigint, loc bigint, sha256 string, mtime timestamp"
 POINT = "struct<row:int,col:int>"
 SYMBOL = f"struct<kind:string,name:string,qualified:string,start:{POINT},end:{POINT},parent:string,doc:string,ordinal:int>"
 REFERENCE = f"struct<name:string,kind:string,start:{POINT},end:{POINT},scope:string,receiver:string,full:string,self_receiver:boolean>"
-IMPORT = f"struct<module:string,start:{POINT},names:array<string>,alias:string,level:int>"
-EXTRACTION = f"path string, language string, symbols array<{SYMBOL}>, references array<{REFERENCE}>, imports array<{IMPORT}>, errors array<string>, parse_ok boolean, error string, node_count bigint, error_count bigint, missing_count bigint"
+IMPORT = f"struct<module:string,start:{POINT},end:{POINT},names:array<string>,alias:string,level:int>"
+EXTRACTION = f"repo string, path string, language string, symbols array<{SYMBOL}>, references array<{REFERENCE}>, imports array<{IMPORT}>, errors array<string>, parse_ok boolean, error string, node_count bigint, error_count bigint, missing_count bigint"
 
 
 def structural(kind: Column) -> Column:

@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -150,18 +151,23 @@ class Scan:
 def measured(files: DataFrame) -> DataFrame:
     """Size, lines, hash and language of files (path, content, mtime)."""
     text = as_latin(F.col("content"))
-    return files.select("path", detect(F.col("path"), F.substring_index(F.substring(text, 1, 200), "\n", 1)).alias("language"), F.octet_length("content").cast("bigint").alias("size"), line_count(text).cast("bigint").alias("loc"), F.sha2("content", 256).alias("sha256"), "mtime", "content")
+    return files.select(*(["repo"] if "repo" in files.columns else []), "path", detect(F.col("path"), F.substring_index(F.substring(text, 1, 200), "\n", 1)).alias("language"), F.octet_length("content").cast("bigint").alias("size"), line_count(text).cast("bigint").alias("loc"), F.sha2("content", 256).alias("sha256"), "mtime", "content")
 
 
 def limited(files: DataFrame, limits: Limits) -> DataFrame:
-    """Files in path order until one of the limits is passed; the file that passes it is the last.
+    """Files of a repository in path order until one of the limits is passed; the file that passes it is the last.
 
     The running sums see the first `limits.files + 1` paths only, so one task sorts no more than that.
     """
-    first = files.select("path", "size").orderBy("path").limit(limits.files + 1)
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    kept = first.withColumn("bytes", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("bytes") <= limits.total_bytes).select("path")
-    return files.join(kept, "path", "left_semi")
+    own = ["repo"] if "repo" in files.columns else []
+    if own:
+        place = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
+        first = files.select("repo", "path", "size").withColumn("place", place).where(F.col("place") <= limits.files + 1)
+    else:
+        first = files.select("path", "size").orderBy("path").limit(limits.files + 1)
+    before = Window.partitionBy(*own).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    kept = first.withColumn("bytes", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("bytes") <= limits.total_bytes).select(*own, "path")
+    return files.join(kept, [*own, "path"], "left_semi")
 
 
 def scan_tree(spark: SparkSession, root: str, limits: Limits = Limits()) -> Scan:  # noqa: B008
@@ -195,10 +201,49 @@ def scan_tree(spark: SparkSession, root: str, limits: Limits = Limits()) -> Scan
     return Scan(limited(measured(judged.where("reason is null")), limits), skipped)
 
 
+@lru_cache(4096)
+def ignore_file(text: str) -> IgnoreFile:
+    return IgnoreFile(text.split("\n"))
+
+
+def ignored(path: str, rules: list[tuple[str, str]]) -> str | None:
+    """gitignore_dir or gitignore where the ignore files (directory, text) above a path leave out one of its directories, or itself."""
+    parts = path.split("/")
+    for n in range(1, len(parts) + 1):
+        here = "/".join(parts[:n])
+        for base, text in rules:
+            inner = here[len(base) + 1 :] if base else here
+            if (not base or here.startswith(base + "/")) and ignore_file(text).ignores(inner, n < len(parts)):
+                return "gitignore_dir" if n < len(parts) else "gitignore"
+    return None
+
+
+def with_ignored(files: DataFrame) -> DataFrame:
+    """Files (path, content) with `ignored`, the reason that ignore files in the directories above them give; each file meets the ignore files by its directories, in equi-joins."""
+    own = ["repo"] if "repo" in files.columns else []
+    rules = files.where((F.col("path") == ".gitignore") | F.col("path").endswith("/.gitignore"))
+    base = F.regexp_replace("path", "/?[.]gitignore$", "")
+    rules = rules.select(*own, base.alias("base"), F.decode("content", "UTF-8").alias("text"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    met = files.select(*own, "path", F.explode(above).alias("base")).join(rules, [*own, "base"])
+    told = met.groupBy(*own, "path").agg(F.array_sort(F.collect_list(F.struct("base", "text"))).alias("rules"))  # at most one a directory above
+
+    @F.pandas_udf("string")
+    def reason(paths: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([ignored(p, [(r["base"], r["text"]) for r in rs]) for p, rs in zip(paths, found, strict=True)], dtype=object)
+
+    hit = told.select(*own, "path", reason("path", "rules").alias("ignored")).where("ignored is not null")
+    return files.join(hit, [*own, "path"], "left")
+
+
 def scan_table(contents: DataFrame, limits: Limits = Limits()) -> Scan:  # noqa: B008
-    """Scans a table of files (path, content as binary, mtime): any store that Spark reads; rules by name and content only."""
-    judged = contents.withColumn("size", F.octet_length("content")).withColumn("reason", skip_reason(F.col("path"), F.octet_length("content"), F.col("content"), limits.file_bytes))
-    return Scan(limited(measured(judged.where("reason is null")), limits), judged.where("reason is not null").select("path", "reason"))
+    """Scans a table of files (path, content as binary, mtime, and repo if there are several): any store that Spark reads; rules by name, content and the table's own ignore files."""
+    size = F.octet_length("content")
+    named = skip_reason(F.col("path"), size, F.col("content"), limits.file_bytes)
+    judged = with_ignored(contents).withColumn("size", size).withColumn("reason", F.coalesce(F.when(F.col("ignored").isNotNull() & ~F.coalesce(named == "skip_dir", F.lit(False)), F.col("ignored")), named))
+    own = ["repo"] if "repo" in contents.columns else []
+    return Scan(limited(measured(judged.where("reason is null")), limits), judged.where("reason is not null").select(*own, "path", "reason"))
 
 
 def matches(name: str, patterns: list[str]) -> bool:
