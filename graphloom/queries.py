@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import language as lang, text as tx
 from .operators import analyze, build, query, traverse
 from .plans import incremental, jobs
-from .sources.tables import GRAPH_SQL, Graph, table_graph
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def registered(sql: str | None = None, graph: bool = True):
-    """Registers a query under its function's name; with `graph` the SQL may use the CTEs nodes and edges."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = (f"WITH RECURSIVE {GRAPH_SQL.strip()}\n" if graph else "") + sql
-        return f
-
-    return put
-
+from .registry import ORACLES, QUERIES, registered
+from .sources.tables import Graph, table_graph
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -492,56 +475,4 @@ def layered_rank(spark, sf_dir):
     return groups.withColumn("place", F.rank().over(Window.partitionBy("language").orderBy(F.desc("files"), "size")).cast("bigint")).where("place <= 3")
 
 
-# Source code: a small repository as a table of files.
-
-DEMO = {
-    "app/__init__.py": "from .core import Engine\n",
-    "app/core.py": "import os\nfrom .helpers import render\n\n\nclass Base:\n    pass\n\n\nclass Engine(Base):\n    def run(self):\n        return self.step()\n\n    def step(self):\n        return render(os.getcwd())\n",
-    "app/helpers.py": "from .utils import fmt\n\n\ndef render(x):\n    return fmt(len(x))\n",
-    "app/utils.py": "def fmt(x):\n    return x\n",
-    "tests/test_core.py": "from app.core import Engine\n\n\ndef test_run():\n    assert Engine().run() == 1\n",
-    "web/helper.ts": "export function helper(x: number) {\n  return x;\n}\n",
-    "web/index.ts": "import { helper } from './helper';\n\nexport class Runner {\n  run() {\n    return helper(1);\n  }\n}\n",
-    "package-lock.json": "{}",
-    "dist/out.js": "var a;",
-}
-
-
-def _demo(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, bytearray(t.encode()), None) for p, t in DEMO.items()], "path string, content binary, mtime timestamp")
-
-
-@registered("""SELECT * FROM (VALUES
-('app/core.py#Engine.run.method', 'app/core.py#Engine.step.method', 'calls', 'EXTRACTED'), ('app/core.py#Engine.step.method', 'app/helpers.py#render.function', 'calls', 'INFERRED'), ('app/core.py#Engine.step.method', 'ext:os.getcwd', 'calls', 'INFERRED'),
-('tests/test_core.py#test_run.function', 'app/core.py#Engine.run.method', 'calls', 'INFERRED'), ('app/core.py#Engine.class', 'app/core.py#Base.class', 'extends', 'EXTRACTED'), ('app/helpers.py#render.function', 'app/utils.py#fmt.function', 'calls', 'INFERRED'), ('tests/test_core.py#test_run.function', 'app/core.py#Engine.class', 'calls', 'INFERRED'),
-('web/index.ts#Runner.run.method', 'web/helper.ts#helper.function', 'calls', 'INFERRED'), ('app/__init__.py', 'app/core.py', 'imports', 'EXTRACTED'), ('app/core.py', 'ext:os', 'imports', 'EXTRACTED'), ('app/core.py', 'app/helpers.py', 'imports', 'EXTRACTED'),
-('app/helpers.py', 'app/utils.py', 'imports', 'EXTRACTED'), ('tests/test_core.py', 'app/core.py', 'imports', 'EXTRACTED'), ('web/index.ts', 'web/helper.ts', 'imports', 'EXTRACTED'), ('tests/test_core.py', 'app/core.py', 'tests', 'INFERRED')) t(src, dst, relation, confidence)""", graph=False)
-def code_graph_edges(spark, sf_dir):
-    from .plans.engine import Engine
-
-    own = Engine(spark).index_table(_demo(spark)).edges.where(~F.col("relation").isin("contains", "defines"))
-    bare = lambda c: F.regexp_replace(c, "^(?:file|python|typescript):", "")
-    return own.select(bare("src").alias("src"), bare("dst").alias("dst"), "relation", "confidence")
-
-
-@registered("SELECT * FROM (VALUES (8, 1, 6, 0, 1, 0, 1.0::DOUBLE)) t(total, extracted, inferred, ambiguous, dropped, unresolved, rate)", graph=False)
-def code_call_stats(spark, sf_dir):
-    from .plans.engine import Engine
-
-    return Engine(spark).index_table(_demo(spark)).stats
-
-
-@registered("SELECT * FROM (VALUES ('dist/out.js', 'skip_dir'), ('package-lock.json', 'generated')) t(path, reason)", graph=False)
-def scan_skipped(spark, sf_dir):
-    from .sources.tree import scan_table
-
-    return scan_table(_demo(spark)).skipped
-
-
-@registered("SELECT * FROM (VALUES ('Base', 'class'), ('Engine', 'class'), ('Engine.run', 'method'), ('Engine.step', 'method')) t(qualified, kind)", graph=False)
-def extract_symbols(spark, sf_dir):
-    from .extract import extract_files
-    from .sources.tree import scan_table
-
-    files = scan_table(_demo(spark)).files.where("path = 'app/core.py'")
-    return build.symbols(extract_files(files)).select("qualified", "kind")
+from . import code_queries  # noqa: E402, F401  (registers its own)

@@ -186,3 +186,69 @@ def test_unused_and_orphans_of_all_edges(spark):
     edges = spark.createDataFrame([("f0", "f1", "calls", "INFERRED", 9), ("f0", "f2", "instantiates", "EXTRACTED", 500), ("file:r1/b", "file:r1/c", "imports", "EXTRACTED", 1)], "src string, dst string, relation string, confidence string, seq bigint")
     assert [r.id for r in query.dead_code(nodes, edges).collect()] == ["f0", "f3"]
     assert {r.path for r in analyze.orphan_files(nodes, edges).collect()} == {"r0/a", "r2/d"}
+
+
+def test_two_repositories_in_one_table(spark):
+    """Equal paths and names in two repositories make two graphs, equal to those of each alone."""
+    text = lambda extra: [("a.py", "from b import f\n\n\ndef g():\n    return f(), lone_%s()\n" % extra), ("b.py", "def f():\n    return 1\n"), (f"{extra}.py", f"def lone_{extra}():\n    return 1\n")]
+    rows = [(r, p, bytearray(t.encode()), None) for r in ("one", "two") for p, t in text(r)]
+    rows.append(("two", "z.py", bytearray(b"def h():\n    return lone_one()\n"), None))
+    schema = "repo string, path string, content binary, mtime timestamp"
+    both = Engine(spark).index_table(spark.createDataFrame(rows, schema))
+    part = lambda ix: (sorted((r.src, r.dst, r.relation, r.confidence) for r in ix.edges.collect()), sorted((r.id, r.kind) for r in ix.nodes.collect()), ix.stats.first())
+    for repo in ("one", "two"):
+        alone = Engine(spark).index_table(spark.createDataFrame([r for r in rows if r[0] == repo], schema))
+        assert part(both.of(repo)) == part(alone)
+    assert [r.ref_kind for r in both.of("two").references.where("name = 'lone_one'").collect()] == ["call"] and both.of("two").references.where("name = 'lone_one' and target is not null").isEmpty()
+
+
+def test_edges_are_in_the_order_of_their_places(index):
+    rows = index.edges.orderBy("seq").collect()
+    own = [(r.file, r.sl, r.sc) for r in rows if r.relation == "calls"]
+    assert own == sorted(own) and [r.relation for r in rows].index("contains") == 0 and rows[-1].relation == "tests"
+    call = next(r for r in rows if r.relation == "calls" and r.dst.endswith("#fmt.function"))
+    assert (call.sl, call.el) == (4, 4) and call.ec == call.sc + len("fmt")
+
+
+def test_import_cycles_of_a_long_chain(spark):
+    pairs = [(f"a{i:02}", f"b{i:02}") for i in range(60)] + [(f"b{i:02}", f"a{i:02}") for i in range(60)] + [(f"a{i:02}", f"a{i + 1:02}") for i in range(59)]
+    found = analyze.strongly_connected(spark.createDataFrame(pairs, "src string, dst string"), 3)
+    assert found.select("component").distinct().count() == 60 and found.count() == 120
+
+
+def test_communities_of_planted_groups(spark):
+    """Groups with many ties inside and few between are found, whatever their number; small ones are merged, also in a ring."""
+    import random
+
+    rng = random.Random(1)
+    ties = [(f"n{g}-{i:02}", f"n{g}-{j:02}") for g in range(6) for i in range(10) for j in range(i) if rng.random() < 0.7] + [(f"n{g}-00", f"n{(g + 1) % 6}-01") for g in range(6)]
+    ids = sorted({x for t in ties for x in t})
+    nodes = spark.createDataFrame([(i, "function") for i in ids], "id string, kind string")
+    edges = spark.createDataFrame([(k, a, b, "calls") for k, (a, b) in enumerate(ties)], "seq bigint, src string, dst string, relation string")
+    found = {r.id: r.community for r in analyze.communities(nodes, edges).collect()}
+    assert found.keys() == set(ids) and len({(i.split("-")[0], c) for i, c in found.items()}) == 6 == len(set(found.values()))
+    own = analyze.symbol_subgraph(nodes, edges)
+    labels = spark.createDataFrame([(i, i.split("-")[0]) for i in ids], "id string, label string")
+    assert analyze.modularity(own, spark.createDataFrame([(i, str(c)) for i, c in found.items()], "id string, label string")) >= analyze.modularity(own, labels) - 1e-9 > 0.7
+    ring = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0)], "a string, b string, w double")
+    alone = spark.createDataFrame([(x, x) for x in "abc"], "id string, label string")
+    assert len({r.label for r in analyze.merge_small(alone, ring).collect()}) == 1
+
+
+def test_hot_names_are_split(spark):
+    """Nine tenths of the references are of one name: its row has a shuffle of its own, and the join is split."""
+    from graphloom.storage import cut, dealt
+
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        refs = cut(spark.range(100_000).select(F.lit("r").alias("repo"), F.when(F.col("id") % 10 < 9, "get").otherwise(F.col("id").cast("string")).alias("name"), "id"), "refs")
+        lone = refs.groupBy("repo", "name").agg(F.min("id").alias("t8")).select(F.col("repo").alias("lone_repo"), F.col("name").alias("lone"), "t8")
+        out = refs.join(lone, dealt("repo", "name") == dealt("lone_repo", "lone"), "left").agg(F.sum("t8"), F.sum(F.xxhash64("id") % 1000))
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

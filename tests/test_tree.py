@@ -74,3 +74,15 @@ def test_fetch_makes_a_shallow_copy_once(tmp_path):
     assert at == fetch(place, str(tmp_path), run) == checkout(place, str(tmp_path)) and len(calls) == 1
     command, more = calls[0]
     assert command[-3:] == ["--", place.address, at] and ["--branch", "v1"] == command[-5:-3] and more["env"]["GIT_TERMINAL_PROMPT"] == "0"
+
+
+def test_ignore_files_of_a_table(spark):
+    texts = [(".gitignore", "*.log\n/tmp/\n"), ("a.log", "x"), ("a/.gitignore", "!b.log\nc.py\n"), ("a/b.log", "x"), ("a/c.py", "x"), ("c.py", "x"), ("tmp/x/y.py", "x"), ("a/tmp/y.py", "x")]
+    for repos in (None, ("one", "two")):
+        rows = [(r, p, bytearray(t.encode()), None) for r in repos or ("one",) for p, t in texts if r == "one" or p != ".gitignore"]
+        df = spark.createDataFrame(rows, "repo string, path string, content binary, mtime timestamp")
+        scan = scan_table(df if repos else df.drop("repo"))
+        why = {(r.repo if repos else "one", r.path): r.reason for r in scan.skipped.collect()}
+        # A rule of the root holds below, a file of rules deeper down leaves out more.
+        assert {p: x for (r, p), x in why.items() if r == "one"} == {"a.log": "gitignore", "a/b.log": "gitignore", "a/c.py": "gitignore", "tmp/x/y.py": "gitignore_dir"}
+        assert {p for r, p in why if r == "two"} == ({"a/c.py"} if repos else set())
