@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import markers
+from ..storage import cut
 from .traverse import induced
 
 
@@ -46,7 +49,8 @@ def full_graph(nodes: DataFrame, edges: DataFrame, degree: DataFrame, kinds=None
     """The `limit` nodes of highest degree and the edges among them."""
     if community is not None:
         nodes = nodes.where(F.col("community") == community)
-    top = iter_nodes(nodes, degree, kinds, True, limit)
+    # Written once: it stands on both sides of the edges, and its size is then known to the joins.
+    top = cut(iter_nodes(nodes, degree, kinds, True, limit), "top")
     shown = iter_edges(edges, relations, confidences, top)
     return top, shown.orderBy("src", "dst", "relation", "seq").limit(most_edges) if most_edges else shown
 
@@ -123,3 +127,71 @@ def name_index(nodes: DataFrame) -> DataFrame:
     """A word index over names: word and id."""
     words = F.split(F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+")
     return nodes.where(~F.col("kind").isin("repo", "dir", "file", "external", "community")).select(F.explode(F.array_distinct(F.transform(words, F.lower))).alias("word"), "id").where("word != ''")
+
+
+def word_search(index: DataFrame, needle: str, limit: int = 50) -> DataFrame:
+    """Ids whose names hold all words of the needle, in id order; `index` is what `name_index` gives."""
+    words = sorted({w for w in re.split(r"[^a-z0-9]+", needle.lower()) if w})
+    hit = index.where(F.col("word").isin(*words)).groupBy("id").agg(F.count_distinct("word").alias("n"))
+    return hit.where(F.col("n") == len(words)).select("id").orderBy("id").limit(limit)
+
+
+def nodes_by_ids(nodes: DataFrame, ids: list[str]) -> DataFrame:
+    """The nodes of a few ids; those that are not there are left out."""
+    return nodes.where(F.col("id").isin(*ids))
+
+
+def get_file(nodes: DataFrame, path: str) -> DataFrame:
+    """The node of a file, if there is one."""
+    return nodes.where((F.col("kind") == "file") & (F.col("qualified") == path))
+
+
+#: What a reader of nodes and edges is shown.
+NODE_BRIEF = ("id", "kind", "name", "qualified", "file", "sl", "el", "language", "doc", "community", "degree")
+EDGE_BRIEF = ("src", "dst", "relation", "confidence", "file", "sl")
+
+
+def node_briefs(nodes: DataFrame, degree: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Nodes with degree and community, as far as they have these columns."""
+    own = nodes.join(degree.select("id", "degree"), "id", "left")
+    own = own.join(members.select("id", "community"), "id", "left") if members is not None else own
+    return own.select(*[c for c in NODE_BRIEF if c in own.columns])
+
+
+def edge_briefs(edges: DataFrame) -> DataFrame:
+    return edges.select(*[c for c in EDGE_BRIEF if c in edges.columns])
+
+
+def community_list(members: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """community, size and, where they are given, names; largest first."""
+    sizes = members.groupBy("community").agg(F.count("*").alias("size"))
+    sizes = sizes.join(names, "community", "left") if names is not None else sizes
+    return sizes.orderBy(F.desc("size"), "community")
+
+
+def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what, value and n: nodes by kind, edges by relation and confidence, and how many there are of all; one pass over each table."""
+    by = lambda what, column: F.struct(F.lit(what).alias("what"), column.alias("value"))
+    none, files = F.lit(None).cast("string"), F.when(F.col("kind") == "file", F.lit("files"))
+    own = nodes.select(F.explode(F.array(by("kind", F.col("kind")), by("nodes", none), F.struct(F.coalesce(files, F.lit("")).alias("what"), none.alias("value")))).alias("x"))
+    own = own.unionByName(edges.select(F.explode(F.array(by("relation", F.col("relation")), by("confidence", F.col("confidence")), by("edges", none))).alias("x")))
+    return own.where("x.what != ''").groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
+
+
+def layered_rank(groups: DataFrame, layer: str, weight: str) -> DataFrame:
+    """Groups with `place`, the dense rank of their weight in their layer; equal weights share a place."""
+    return groups.withColumn("place", F.dense_rank().over(Window.partitionBy(layer).orderBy(F.desc(weight))))
+
+
+def treemap_weights(files: DataFrame) -> DataFrame:
+    """The roll-up of files (path, loc) by directory with `area`: a file weighs its lines, one at least."""
+    return tree_rollup(files.withColumn("area", F.greatest(F.col("loc"), F.lit(1))), ["area"])
+
+
+def focus_options(sources: list[tuple[str, DataFrame]]) -> DataFrame:
+    """id, name and source of what may be focused on: of several sources (name, frame of id and name) the first that has an id gives it."""
+    out = None
+    for rank, (name, df) in enumerate(sources):
+        own = df.select("id", "name", F.lit(name).alias("source"), F.lit(rank).alias("rank"))
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("id").agg(F.min_by(F.struct("name", "source"), "rank").alias("first")).select("id", "first.*")

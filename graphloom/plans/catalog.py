@@ -79,13 +79,17 @@ def merged_names(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def analysis_payload(index: Index, k: int = 5) -> DataFrame:
+    """`community_payload` of an index."""
+    return community_payload(index.nodes, index.edges, index.members, index.degrees, k)
+
+
+def community_payload(nodes: DataFrame, edges: DataFrame, members: DataFrame, degree: DataFrame, k: int = 5) -> DataFrame:
     """One row a community: size, cohesion, name, hash and its `k` symbols of highest degree; one window, no query for each."""
     from ..operators import analyze
 
-    degree = index.degrees
-    tops = analyze.top_symbols(index.members, degree, k).join(index.nodes.select("id", "name", "kind", "file"), "id")
+    tops = analyze.top_symbols(members, degree, k).join(nodes.select("id", "name", "kind", "file"), "id")
     tops = tops.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", "id", "name", "kind", "file"))).alias("top_symbols"))
-    out = analyze.cohesion(index.members, analyze.symbol_subgraph(index.nodes, index.edges))
-    for more in (analyze.heuristic_names(index.members, index.nodes, degree), analyze.content_hash(index.members), tops):
+    out = analyze.cohesion(members, analyze.symbol_subgraph(nodes, edges))
+    for more in (analyze.heuristic_names(members, nodes, degree), analyze.content_hash(members), tops):
         out = out.join(more, "community", "left")
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -62,3 +63,33 @@ def changed_lines(lines: DataFrame, order: list[str]) -> DataFrame:
     """Console lines without immediate repeats, job by job."""
     w = Window.partitionBy("job").orderBy(*order)
     return lines.withColumn("before", F.lag("line").over(w)).where("before is null or line != before").drop("before")
+
+
+def by_ids(events: DataFrame, ids: list[str]) -> DataFrame:
+    """The last event of a few jobs."""
+    return current(events.where(F.col("job").isin(*ids)))
+
+
+def created(events: DataFrame, job: str, repo_id: str, at, event_id: int) -> DataFrame:
+    """The log with a job that is queued; one that is there begins anew."""
+    spark = events.sparkSession
+    row = spark.createDataFrame([(event_id, job, repo_id, at, "queued", 0, 0)], "event_id bigint, job string, repo_id string, ts timestamp, state string, current int, total int")
+    return events.unionByName(row.select(*[F.col(c).cast(events.schema[c].dataType) for c in events.columns]))
+
+
+def run(log, job: str, work) -> bool:
+    """Runs `work(report)`; `log(job, state, message)` is told when it starts, what it reports, and whether it is done or has failed, with the error without secrets."""
+    log(job, "running", "")
+    try:
+        work(lambda message: log(job, "running", message))
+    except Exception as e:  # what goes wrong in a job is its result
+        log(job, "error", scrubbed(f"{type(e).__name__}: {e}"))
+        return False
+    log(job, "done", "")
+    return True
+
+
+def scrubbed(message: str) -> str:
+    """A message without passwords in addresses and values of keys."""
+    message = re.sub(r"(://[^/\s:@]+:)[^@\s/]+@", r"\1***@", message)
+    return re.sub(r"(?i)((?:key|secret|token|password|passwd)\s*[:=]\s*)\S+", r"\1***", message)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import language as lang, text as tx
 from .operators import analyze, build, query, traverse
@@ -273,12 +273,6 @@ def dead_code(spark, sf_dir):
     return query.dead_code(g.nodes, g.edges).select("id", "name")
 
 
-@registered("SELECT dst AS id, count(*) AS n FROM edges WHERE relation = 'instantiates' GROUP BY 1 ORDER BY n DESC, id LIMIT 400")
-def externals_top400(spark, sf_dir):
-    own = table_graph(spark, sf_dir).edges.where("relation = 'instantiates'")
-    return own.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(400)
-
-
 @registered("SELECT file, count(*) AS symbols FROM nodes WHERE kind NOT IN ('repo', 'dir', 'file', 'external', 'community') AND file IS NOT NULL GROUP BY 1")
 def symbols_per_file(spark, sf_dir):
     return query.symbols_per_file(table_graph(spark, sf_dir).nodes)
@@ -341,7 +335,7 @@ def read_lines(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", tx.lines_of(F.col("text"), 2, 4).alias("text"))
 
 
-@registered(r"SELECT doc_id, len(f) AS n, f[1:2] AS samples FROM (SELECT doc_id, regexp_extract_all(text, '\b((?:License|Licensed|token|the)\b[:\s]?.{0,80})', 1) AS f FROM documents WHERE strlen(text) <= 200000) WHERE len(f) > 0 ORDER BY n DESC, doc_id LIMIT 10", graph=False)
+@registered(r"SELECT doc_id, len(f) AS n, f[1:2] AS samples FROM (SELECT doc_id, regexp_extract_all(text, '\b((?:License|Licensed|token|the)\b[:\s]?.{0,80})', 1) AS f FROM documents) WHERE len(f) > 0 ORDER BY n DESC, doc_id LIMIT 10", graph=False)
 def marker_scan(spark, sf_dir):
     found = query.marker_scan(_read(spark, sf_dir, "documents"), "doc_id", ("License", "Licensed", "token", "the"))
     return found.select("doc_id", F.col("n").cast("bigint").alias("n"), "samples")
@@ -430,11 +424,6 @@ def throttle_by_gap(spark, sf_dir):
     return jobs.throttled_by_gap(_jobs(spark, sf_dir), 3600.0).select("event_id")
 
 
-@registered()
-def throttle_exact(spark, sf_dir):
-    return jobs.throttled(_jobs(spark, sf_dir), 3600.0).select("event_id")
-
-
 def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Cached extractions of an earlier version of the files, and the files now."""
     now = _files(spark, sf_dir).select("path", "sha256", "doc_id")
@@ -469,10 +458,4 @@ def naming_cache_restore(spark, sf_dir):
     return restore_names(hashes.withColumn("name", F.col("community")), cache).select("community", "content_hash", "name", "named_by")
 
 
-@registered("SELECT p_brand AS language, p_size AS size, count(*) AS files, rank() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size) AS place FROM part GROUP BY 1, 2 QUALIFY place <= 3", graph=False)
-def layered_rank(spark, sf_dir):
-    groups = _read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("language"), F.col("p_size").alias("size")).agg(F.count("*").alias("files"))
-    return groups.withColumn("place", F.rank().over(Window.partitionBy("language").orderBy(F.desc("files"), "size")).cast("bigint")).where("place <= 3")
-
-
-from . import code_queries  # noqa: E402, F401  (registers its own)
+from . import code_queries, service_queries  # noqa: E402, F401  (they register their own)

@@ -252,3 +252,24 @@ def test_hot_names_are_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_job_that_fails_is_logged_without_secrets():
+    from graphloom.plans import jobs
+
+    told = []
+    assert jobs.run(lambda *x: told.append(x), "a", lambda report: report("half"))
+    assert not jobs.run(lambda *x: told.append(x), "b", lambda report: 1 / 0)
+    jobs.run(lambda *x: told.append(x), "c", lambda report: exec("raise OSError('https://u:hunter2@h/x token=abcdef')"))
+    assert [s for _, s, _ in told] == ["running", "running", "done", "running", "error", "running", "error"]
+    assert told[4][2] == "ZeroDivisionError: division by zero" and told[6][2] == "OSError: https://u:***@h/x token=***"
+
+
+def test_jobs_begin_anew(spark):
+    import datetime as dt
+
+    from graphloom.plans import jobs
+
+    log = spark.createDataFrame([(1, "j", "r", dt.datetime(2024, 1, 1), "done", 9, 9)], "event_id bigint, job string, repo_id string, ts timestamp, state string, current int, total int")
+    now = jobs.created(jobs.created(log, "j", "r", dt.datetime(2024, 1, 2), 2), "k", "r", dt.datetime(2024, 1, 2), 3)
+    assert {(r.job, r.state, r.current) for r in jobs.by_ids(now, ["j", "k", "none"]).collect()} == {("j", "queued", 0), ("k", "queued", 0)}
