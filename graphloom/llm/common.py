@@ -55,7 +55,10 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         none = np.zeros(0, np.int64)
         return none, none, none
     space = SPACE[raw]
-    edges = np.union1d(np.flatnonzero(space[1:] != space[:-1]) + 1, offsets)
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[1:-1] = space[1:] != space[:-1]
+    edge[offsets] = True
+    edges = np.flatnonzero(edge)
     starts, ends = edges[:-1], edges[1:]
     word = ~space[starts]
     starts, ends = starts[word], ends[word]

@@ -52,10 +52,11 @@ for _i, _bytes in enumerate(CLASSES.values()):
 NEWLINE = np.arange(256) == 10
 
 
-def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums between neighbouring bounds; empty ranges are 0."""
-    total = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
-    return total[bounds[1:]] - total[bounds[:-1]]
+def class_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each class every text has."""
+    n, width = len(offsets) - 1, 16
+    key = np.repeat(np.arange(n, dtype=np.int32) * width, np.diff(offsets)) + _CLASS[raw]
+    return np.bincount(key, minlength=n * width).reshape(n, width)[:, : len(CLASSES)].astype(float)
 
 
 def distinct_count(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +91,10 @@ def row(classes, size, words, length, squares, distinct, lines, distinct_lines,
 
 def line_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of lines, each with its newline."""
-    edge = np.union1d(offsets[:-1][np.diff(offsets) > 0], np.flatnonzero(raw == 10) + 1)
-    edge = edge[edge < len(raw)]
+    new = np.zeros(len(raw) + 1, dtype=bool)
+    new[1:] = raw == 10
+    new[offsets] = True
+    edge = np.flatnonzero(new[:-1])
     return edge, np.concatenate((edge[1:], [len(raw)])) if len(edge) else edge
 
 
@@ -101,8 +104,6 @@ def statistics(texts: pa.Array) -> np.ndarray:
     if is_long(texts):
         return long_statistics(raw)
     n = len(offsets) - 1
-    classes = _CLASS[raw]
-    shares = np.column_stack([sums(classes == k, offsets) for k in range(len(CLASSES))])
     starts, ends, owner = word_bounds(raw, offsets)
     length = (ends - starts).astype(float)
     with np.errstate(over="ignore"):
@@ -113,7 +114,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     longest = np.zeros(n)
     np.maximum.at(longest, owner, length)
     count = lambda weight: np.bincount(owner, weight, n)
-    return row(shares, np.diff(offsets).astype(float), words, count(length), count(length**2), distinct, lines, distinct_lines, count(upper), count(marked), longest)
+    return row(class_counts(raw, offsets), np.diff(offsets).astype(float), words, count(length), count(length**2), distinct, lines, distinct_lines, count(upper), count(marked), longest)
 
 
 def long_statistics(raw: np.ndarray, most: int = SLICE_BYTES) -> np.ndarray:
