@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 
 from ..storage import cut, dealt, drop, fresh_path, remove, shared_dir
 
-__all__ = ["cut", "dealt", "drop", "fresh_path", "is_long", "mix64", "remove", "shared_dir", "slices", "utf8_bytes", "word_bounds", "word_hashes", "word_parts"]
+__all__ = ["cut", "dealt", "drop", "fresh_path", "given_back", "is_long", "mix64", "remove", "shared_dir", "slices", "utf8_bytes", "word_bounds", "word_hashes", "word_parts"]
 
 #: Bytes of text that one numpy step holds at once; an Arrow batch is cut into slices of about this size.
 SLICE_BYTES = 2 << 20
@@ -45,6 +47,14 @@ def utf8_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at their end, what a Python worker has freed goes back to the system, since the worker waits for its next task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, is_long, mix64, slices, utf8_bytes, word_bounds, word_hashes, word_parts
+from .common import SLICE_BYTES, given_back, is_long, mix64, slices, utf8_bytes, word_bounds, word_hashes, word_parts
 
 SHINGLE = 5
 #: Items and bytes of item text in one broadcast block.
@@ -196,7 +196,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
                     stay[[d for d, _, _ in shared.value.links(part.column("text"))]] = False
                     yield part.filter(pa.array(stay))
 
-        docs = docs.mapInArrow(kept, docs.schema)
+        docs = docs.mapInArrow(lambda batches, kept=kept: given_back(kept(batches)), docs.schema)
     return docs
 
 

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SLICE_BYTES, cut, drop, is_long, slices, utf8_bytes, word_bounds, word_hashes, word_parts
+from .common import SLICE_BYTES, cut, drop, given_back, is_long, slices, utf8_bytes, word_bounds, word_hashes, word_parts
 
 FEATURES = 256
 FOLDS = 4
@@ -190,7 +190,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), flat], ["doc_id", "stats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(computed, f"doc_id {kind}, stats array<double>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: given_back(computed(batches)), f"doc_id {kind}, stats array<double>")
 
 
 def matrix(column: pd.Series) -> np.ndarray:

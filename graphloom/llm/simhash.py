@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SLICE_BYTES, cut, dealt, is_long, slices, utf8_bytes, word_parts
+from .common import SLICE_BYTES, cut, dealt, given_back, is_long, slices, utf8_bytes, word_parts
 from .components import components
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
@@ -155,7 +155,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shingle_fingerprints(part.column("text")).view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(computed, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: given_back(computed(batches)), f"doc_id {kind}, fp bigint")
 
 
 def candidate_keys(fp: Column, own: Ring) -> Column:
@@ -258,7 +258,7 @@ def links(reps: DataFrame, block: int = BLOCK, n: int | None = None) -> DataFram
                 held = tuple(x[whole:] for x in held)
         yield answer(*held)
 
-    return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(joined, "a bigint, b bigint").distinct()
+    return spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "fp").mapInArrow(lambda batches: given_back(joined(batches)), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SLICE_BYTES, cut, dealt, drop, is_long, mix64, slices, utf8_bytes
+from .common import SLICE_BYTES, cut, dealt, drop, given_back, is_long, mix64, slices, utf8_bytes
 from .run_index import RunIndex
 
 LENGTH, ANCHOR = 100, 32
@@ -185,7 +185,7 @@ def all_spans(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield record(local_rows({k: np.concatenate([y[k] for y in held]) for k in held[0]}))
 
-    return identified(docs.select("doc_id", "text")).select("_gl_doc", "_gl_text", "text").mapInArrow(computed, SPAN_TYPE)
+    return identified(docs.select("doc_id", "text")).select("_gl_doc", "_gl_text", "text").mapInArrow(lambda batches: given_back(computed(batches)), SPAN_TYPE)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -307,7 +307,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     rows = identified(docs.select("doc_id", "text").where("text is not null")).select("_gl_doc", "_gl_text", "text")
     joined = rows.join(by, (F.col("_gl_doc") == F.col("doc")) & (F.col("_gl_text") == F.col("text_id"))).select("_gl_doc", "_gl_text", "text", "spans")
-    return joined.mapInArrow(cutup, PART_TYPE)
+    return joined.mapInArrow(lambda batches: given_back(cutup(batches)), PART_TYPE)
 
 
 def hash_bytes(raw: bytes | memoryview, seed: int) -> int:
@@ -348,7 +348,7 @@ def indexed_marks(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield block_marks(pa.concat_tables(held), length)
 
-    return rows.repartition("key").sortWithinPartitions("key", "doc", "text_id", "start").mapInArrow(indexed, "doc bigint, text_id bigint, start bigint, n int")
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "text_id", "start").mapInArrow(lambda batches: given_back(indexed(batches)), "doc bigint, text_id bigint, start bigint, n int")
 
 
 def block_marks(table: pa.Table, length: int) -> pa.RecordBatch:
@@ -494,7 +494,7 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return marked(docs.select("doc_id", "text"), length).mapInArrow(digested, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return marked(docs.select("doc_id", "text"), length).mapInArrow(lambda batches: given_back(digested(batches)), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def kept_text(text: Column, found: Column, length: int = LENGTH) -> Column:
