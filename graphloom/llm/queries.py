@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
