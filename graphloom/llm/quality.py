@@ -125,7 +125,8 @@ def long_statistics(raw: np.ndarray, most: int = SLICE_BYTES) -> np.ndarray:
     with np.errstate(over="ignore"):
         for a, b in word_parts(raw, most):
             part = raw[a:b]
-            classes += np.bincount(_CLASS[part], minlength=256)[: len(CLASSES)]
+            for i in range(0, b - a, SLICE_BYTES):  # a part may be one long word
+                classes += np.bincount(_CLASS[part[i : i + SLICE_BYTES]], minlength=256)[: len(CLASSES)]
             starts, ends, _ = word_bounds(part, np.array([0, b - a]))
             n = (ends - starts).astype(float)
             own = tail_classes(part, starts, ends)
