@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language_id, mixing, progressive_jpeg, quality, simhash, suffix_dedup, token_counts, warc
+from . import cover_dedup, decontaminate, divergence, html_extract, language_id, mixing, progressive_jpeg, quality, simhash, suffix_dedup, token_counts, warc, whitening
 
 #: Vocabulary files of public tokenizers; a parameter of the operators, fixed here for the registered queries.
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -53,9 +53,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_dedup.digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op10_decontaminate": decontaminate.ORACLE_SQL, "op11_divergence": divergence.ORACLE_SQL, "op13_cover_dedup": cover_dedup.ORACLE_SQL}
