@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .extract import extract_files
-from .operators import build
+from .operators import build, cst
 from .plans.engine import Engine, Index
 from .registry import registered
 from .sources.tree import Limits, scan_table
@@ -283,3 +283,95 @@ def scan_skipped(spark, sf_dir):
 UNION ALL SELECT '.gitignore', 12, 2""", graph=False)
 def scan_files(spark, sf_dir):
     return scanned(spark, sf_dir).files.select("path", "size", "loc")
+
+
+# Updates: the repositories, and what they are after a change.
+
+
+def changed_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python files of every seventh supplier get one more function; TypeScript files of every fifth define `job_` in place of `work_`, which others import and call."""
+    files = repositories(spark, sf_dir).withColumn("k", F.regexp_extract("path", r"f(\d+)\.", 1).try_cast("bigint")).withColumn("text", F.decode("content", "UTF-8"))
+    key, test = F.col("k").cast("string"), F.col("path").contains("/tests/")
+    more = F.concat("text", F.lit("\n\ndef fresh_"), key, F.lit("():\n    return help_"), key, F.lit("()\n"))
+    text = F.when((F.col("repo") == "region0") & ~test & (F.col("k") % 7 == 3), more)
+    text = text.when((F.col("repo") == "region1") & (F.col("k") % 5 == 1), F.replace("text", F.lit("function work_"), F.lit("function job_"))).otherwise(F.col("text"))
+    return files.select("repo", "path", F.encode(text, "UTF-8").alias("content"), "mtime")
+
+
+def updated(spark: SparkSession, sf_dir: str) -> Index:
+    return Engine(spark).update_table(index(spark, sf_dir), changed_repositories(spark, sf_dir))
+
+
+#: `linked` after the change.
+CHANGED = """now AS (SELECT repo, s, f, e, d, k, o, r, relation, confidence, CASE WHEN r = 1 AND k % 5 = 1 THEN replace(src, 'work_', 'job_') ELSE src END AS src, dst FROM linked WHERE NOT (r = 1 AND o % 5 = 1 AND dst = 'work_{k}.function')
+  UNION ALL SELECT repo, s, f, e, d, k, k, r, 'calls', 'EXTRACTED', 'fresh_{k}.function', 'help_{k}.function' FROM sup WHERE r = 0 AND k % 7 = 3),
+"""
+
+
+@registered(SUP + CHANGED + """ends AS (SELECT repo, coalesce(s || f || k || e || '#' || replace(src, '{k}', k::VARCHAR), 'file:' || d || f || k || e) AS src, s || f || o || e || '#' || replace(dst, '{k}', o::VARCHAR) AS dst, relation, confidence FROM now)
+SELECT * FROM ends UNION ALL SELECT repo, s || f || k || e || '#work_' || k || '.function', 'ext:os.getcwd', 'calls', 'INFERRED' FROM sup WHERE r = 0
+UNION ALL SELECT repo, 'python:' || t || '#test_work_' || k || '.function', s || f || k || e || '#work_' || k || '.function', 'calls', 'INFERRED' FROM tst
+UNION ALL SELECT repo, 'file:' || t, 'file:' || d || f || k || e, 'tests', 'INFERRED' FROM tst""", graph=False)
+def reindex_edges(spark, sf_dir):
+    return updated(spark, sf_dir).edges.where(~F.col("relation").isin("contains", "defines", "imports")).select("repo", "src", "dst", "relation", "confidence")
+
+
+@registered(SUP + """q AS (SELECT 1), named AS (SELECT repo, pre || qualified || '.' || kind || ord AS id, kind, qualified, file FROM symbols)
+SELECT n.repo, CASE WHEN job THEN replace(id, '#work_', '#job_') ELSE id END AS id, kind, CASE WHEN job THEN replace(qualified, 'work_', 'job_') ELSE qualified END AS qualified
+FROM (SELECT n.*, sup.r = 1 AND sup.k % 5 = 1 AND n.qualified LIKE 'work%' AS job FROM named n LEFT JOIN sup ON n.repo = sup.repo AND n.file = sup.d || sup.f || sup.k || sup.e) n
+UNION ALL SELECT repo, s || f || k || e || '#fresh_' || k || '.function', 'function', 'fresh_' || k FROM sup WHERE r = 0 AND k % 7 = 3""", graph=False)
+def reindex_symbols(spark, sf_dir):
+    return updated(spark, sf_dir).nodes.where(~F.col("kind").isin("repo", "dir", "file", "external")).select("repo", "id", "kind", "qualified")
+
+
+@registered(SUP + """q AS (SELECT 1), changed AS (SELECT repo, k, x, r FROM sup WHERE r = 0 AND k % 7 = 3 OR r = 1 AND k % 5 = 1)
+SELECT (SELECT count(*) FROM changed) AS parsed, (SELECT count(*) FROM sup WHERE r = 0 AND k % 7 = 3 OR r = 1 AND (k % 5 = 1 OR x % 5 = 1)) AS resolved""", graph=False)
+def reindex_reach(spark, sf_dir):
+    """How many files an update reads and resolves: the changed ones, and those that call what changed its name."""
+    after = updated(spark, sf_dir)
+    return spark.range(1).select(F.lit(after.parsed).cast("bigint").alias("parsed"), F.lit(after.touched).cast("bigint").alias("resolved"))
+
+
+# Syntax trees.
+
+LINE = "f{k}(a, [b{k}, c]); g()"
+
+
+def line_files(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """A file of one line for each supplier; `broken`: every third has lost the bracket that closes its list, every fourth has one too many at the end."""
+    k = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
+    text = F.replace(F.lit(LINE), F.lit("{k}"), F.col("k").cast("string"))
+    if broken:
+        text = F.when(F.col("k") % 3 == 0, F.replace(text, F.lit("]"), F.lit(""))).otherwise(text)
+        text = F.when(F.col("k") % 4 == 0, F.concat(text, F.lit("}"))).otherwise(text)
+    return k.select(F.lit("lines").alias("repo"), F.concat(F.lit("l/f"), F.col("k").cast("string"), F.lit(".ts")).alias("path"), F.encode(text, "UTF-8").alias("content"), F.sha2(text, 256).alias("sha256"))
+
+
+#: The nodes of LINE: places are sums of a number and of so many lengths of the key.
+LINE_SQL = """WITH node(node_path, ord, type, s, sl, e, el, children, pre, last, depth) AS (VALUES ('', 0, 'source', 0, 0, 17, 2, 5, 0, 11, 0), ('0', 0, 'word', 0, 0, 1, 1, 0, 1, 1, 1), ('1', 1, 'group (', 1, 1, 12, 2, 3, 2, 8, 1),
+  ('1.0', 0, 'word', 2, 1, 3, 1, 0, 3, 3, 2), ('1.1', 1, 'sign', 3, 1, 4, 1, 0, 4, 4, 2), ('1.2', 2, 'group [', 5, 1, 11, 2, 3, 5, 8, 2), ('1.2.0', 0, 'word', 6, 1, 7, 2, 0, 6, 6, 3), ('1.2.1', 1, 'sign', 7, 2, 8, 2, 0, 7, 7, 3), ('1.2.2', 2, 'word', 9, 2, 10, 2, 0, 8, 8, 3),
+  ('2', 2, 'sign', 12, 2, 13, 2, 0, 9, 9, 1), ('3', 3, 'word', 14, 2, 15, 2, 0, 10, 10, 1), ('4', 4, 'group (', 15, 2, 17, 2, 0, 11, 11, 1)),
+tree AS (SELECT 'l/f' || s_suppkey || '.ts' AS path, node.* REPLACE ((s + sl * len(s_suppkey::VARCHAR))::INT AS s, (e + el * len(s_suppkey::VARCHAR))::INT AS e) FROM supplier, node)
+"""
+
+
+@registered(LINE_SQL + "SELECT path, node_path, ord, type, s AS start, e AS stop, children, pre, last, depth FROM tree", graph=False)
+def cst_nodes(spark, sf_dir):
+    return cst.Trees.write(line_files(spark, sf_dir)).table.rows.select("path", "node_path", "ord", "type", "start", "stop", "children", "pre", "last", "depth")
+
+
+@registered(LINE_SQL + "SELECT node_path, type, s AS start, e AS stop, children, depth = 2 AND children > 0 AS truncated FROM tree WHERE path = 'l/f7.ts' AND depth <= 2", graph=False)
+def cst_slice(spark, sf_dir):
+    return cst.Trees.write(line_files(spark, sf_dir)).slice("l/f7.ts", "", 2).select("node_path", "type", "start", "stop", "children", "truncated")
+
+
+@registered(LINE_SQL + "SELECT node_path, type, s AS start, e AS stop, children, false AS truncated FROM tree WHERE path = 'l/f8.ts' AND node_path LIKE '1.2%'", graph=False)
+def cst_subtree(spark, sf_dir):
+    return cst.Trees.write(line_files(spark, sf_dir)).slice("l/f8.ts", "1.2", 3).select("node_path", "type", "start", "stop", "children", "truncated")
+
+
+@registered("SELECT 'l/f' || s_suppkey || '.ts' AS path, (s_suppkey % 4 = 0)::BIGINT AS errors, (s_suppkey % 3 = 0)::BIGINT AS missing FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 3 = 0", graph=False)
+def parse_errors(spark, sf_dir):
+    """Stored trees of whole lines, of which those that were broken since are parsed anew."""
+    trees = cst.Trees.write(line_files(spark, sf_dir)).refreshed(line_files(spark, sf_dir, True))
+    return cst.problems(trees.table.rows).select("path", "errors", "missing")

@@ -78,9 +78,9 @@ HASH_COMMENT = re.compile(rb"#[^\n]*")
 
 
 def lex(source: bytes, hash_comments: bool = False) -> tuple[list[Token], int]:
-    """Tokens without space and comments, brackets matched; and the number of brackets without a partner."""
+    """Tokens without space and comments, brackets matched; and how many brackets were opened and not closed."""
     out: list[Token] = []
-    at, open_, lone = 0, [], 0
+    at, open_, unclosed = 0, [], 0
     pairs = {")": "(", "]": "[", "}": "{"}
     while at < len(source):
         m = HASH_COMMENT.match(source, at) if hash_comments else None
@@ -99,14 +99,12 @@ def lex(source: bytes, hash_comments: bool = False) -> tuple[list[Token], int]:
         elif kind == "sign" and text in pairs:
             while open_ and out[open_[-1]].text != pairs[text]:
                 open_.pop()
-                lone += 1
+                unclosed += 1
             if open_:
                 token.match = open_.pop()
                 out[token.match].match = len(out)
-            else:
-                lone += 1
         out.append(token)
-    return out, lone + len(open_)
+    return out, unclosed + len(open_)
 
 
 class Reader:
@@ -114,8 +112,9 @@ class Reader:
 
     def __init__(self, path: str, language: str, source: bytes, hash_comments: bool = False):
         self.source, self.lines = source, Lines(source)
-        self.tokens, lone = lex(source, hash_comments)
-        self.out = Extraction(path, language, node_count=len(self.tokens) + 1, error_count=lone)
+        self.tokens, unclosed = lex(source, hash_comments)
+        lone = sum(t.kind == "sign" and t.text in ")]}" and t.match < 0 for t in self.tokens)
+        self.out = Extraction(path, language, node_count=len(self.tokens) + 1, error_count=lone, missing_count=unclosed)
 
     def text(self, i: int) -> str:
         return self.tokens[i].text if 0 <= i < len(self.tokens) else ""
@@ -163,20 +162,42 @@ class Reader:
         self.out.reference(name, "call", self.start(first), self.end(i), scope, receiver, self.span(first, i), receiver in own)
 
 
+CLOSERS = {"(": ")", "[": "]", "{": "}"}
+
+
 def cst_rows(source: bytes) -> list[tuple[str, str, int, str, int, int, int, str | None]]:
-    """A flattened syntax tree: node_path, parent_path, ord, type, start, end, children, text (of leaves)."""
+    """A flattened syntax tree: node_path, parent_path, ord, type, start, end, children, text (of leaves).
+
+    A closing bracket without an opening one is a leaf ERROR. Where a group is closed by what stands around it, or by the
+    end, its last child is an empty MISSING node of the bracket that was due, and the group ends there.
+    """
     tokens, _ = lex(source)
     rows: list[list] = [["", None, 0, "source", 0, len(source), 0, None]]
-    stack = [0]
-    for i, t in enumerate(tokens):
-        if t.text in (")", "]", "}") and t.kind == "sign" and t.match >= 0 and len(stack) > 1:
-            rows[stack.pop()][5] = t.end
-            continue
-        top = rows[stack[-1]]
-        path = f"{top[0]}.{top[6]}" if top[0] else str(top[6])
-        group = t.kind == "sign" and t.text in "([{" and t.match > i
-        rows.append([path, top[0], top[6], f"group {t.text}" if group else t.kind, t.start, t.end, 0, None if group else t.text])
+    stack = [(0, -1)]  # rows of open groups, and the tokens that opened them
+
+    def add(kind: str, start: int, end: int, text: str | None) -> None:
+        top = rows[stack[-1][0]]
+        rows.append([f"{top[0]}.{top[6]}" if top[0] else str(top[6]), top[0], top[6], kind, start, end, 0, text])
         top[6] += 1
-        if group:
-            stack.append(len(rows) - 1)
+
+    def close_above(opener: int, end: int) -> None:
+        while stack[-1][1] > opener:
+            row, i = stack[-1]
+            add(f"MISSING {CLOSERS[tokens[i].text]}", end, end, "")
+            stack.pop()
+            rows[row][5] = end
+
+    for i, t in enumerate(tokens):
+        sign = t.text if t.kind == "sign" else ""
+        if sign in CLOSERS.values() and t.match >= 0:
+            close_above(t.match, tokens[i - 1].end)
+            rows[stack.pop()[0]][5] = t.end
+        elif sign in CLOSERS.values() and sign:
+            add("ERROR", t.start, t.end, t.text)
+        elif sign in CLOSERS and sign:
+            add(f"group {sign}", t.start, t.end, None)
+            stack.append((len(rows) - 1, i))
+        else:
+            add(t.kind, t.start, t.end, t.text)
+    close_above(-1, tokens[-1].end if tokens else 0)
     return [tuple(r) for r in rows]

@@ -87,14 +87,41 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 0.8, lea
         if higher.where("id != label").isEmpty():
             break
         labels = cut(labels.join(higher.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label")), "labels")
+        labels = connected_parts(labels, ties)
     return number_communities(merge_small(labels, ties, least))
 
 
+def connected_parts(labels: DataFrame, ties: DataFrame) -> DataFrame:
+    """Every community cut into its connected parts (by ties inside it), each labelled by its smallest member.
+
+    A move takes a node away that may have held its old community together; the parts are what the next level moves, so
+    no community ever joins what no tie joins. Labels spread from neighbour to neighbour, and jump to the label of
+    their label, so rounds grow with the logarithm of a part's width.
+    """
+    named = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
+    inside = ties.select("a", "b").where("a != b").join(named("a"), "a").join(named("b"), "b").where("a_label = b_label")
+    links = cut(inside.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(inside.select(F.col("b").alias("u"), F.col("a").alias("v"))), "inside")
+    part = cut(labels.select("id", F.col("id").alias("label")), "parts")
+    while True:
+        offered = links.join(part.select(F.col("id").alias("u"), "label"), "u").groupBy(F.col("v").alias("id")).agg(F.min("label").alias("offer"))
+        near = part.join(offered, "id", "left").select("id", F.col("label").alias("was"), F.least("label", "offer").alias("label"))
+        jump = part.select(F.col("id").alias("over"), F.col("label").alias("far"))
+        new = cut(near.join(jump, dealt("label") == dealt("over"), "left").select("id", F.least("label", "far").alias("label"), "was"), "parts")
+        same = new.where("label != was").isEmpty()
+        drop(part)
+        part = new.select("id", "label")
+        part._graphloom_path = new._graphloom_path
+        if same:
+            drop(links)
+            return part
+
+
 def merge_small(labels: DataFrame, ties: DataFrame, least: int = 5) -> DataFrame:
     """Communities of fewer than `least` go to the neighbour that they have most ties with, until none has a neighbour.
 
-    Of those that would go to one that goes itself, only the larger labels go in a round; so each round ends at least
-    one community, and in a ring of them not all change places.
+    One that would go to a smaller label, or to one that stays anyhow, is willing; the willing go whose choice is not
+    willing itself. So each round ends at least one community, in a ring of them not all change places, and what is
+    tied stays tied.
     """
     labels = cut(labels.select("id", "label"), "labels")
     ends = cut(both_ways(ties.select("a", "b", F.lit(1.0).alias("w"))), "ends")
@@ -104,7 +131,8 @@ def merge_small(labels: DataFrame, ties: DataFrame, least: int = 5) -> DataFrame
         counted = pairs.join(small, "label", "left_semi").groupBy("label", "to").agg(F.count("*").alias("n"))
         wishes = counted.groupBy("label").agg(F.max_by("to", F.struct("n", "to")).alias("to"))
         going = wishes.select(F.col("label").alias("to"), F.lit(True).alias("going"))
-        moves = cut(wishes.join(going, "to", "left").where("going is null or label > to").select("label", "to"), "moves")
+        willing = cut(wishes.join(going, "to", "left").where("going is null or label > to").select("label", "to"), "willing")
+        moves = cut(willing.join(willing.select(F.col("label").alias("to")), "to", "left_anti").select("label", "to"), "moves")
         if moves.isEmpty():
             return labels
         labels = cut(labels.join(moves, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
@@ -215,6 +243,28 @@ def strongly_connected(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     return settled.join(big, "component").select("node", F.col("least").alias("component"))
 
 
+def layers(pairs: DataFrame) -> DataFrame:
+    """node, component and layer: how many ties the longest way from anything without a way in has, each strongly connected component being one.
+
+    Rounds as many as there are layers; each takes the components whose ways in are all done.
+    """
+    ends = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    own = cut(ends.join(strongly_connected(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+    named = lambda end: own.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    left = cut(pairs.join(named("src"), "src").join(named("dst"), "dst").where("src_c != dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct(), "condensed")
+    open_, layer, done = own.select("component").distinct(), 0, None
+    while True:
+        held = left.select(F.col("dst").alias("component")).distinct()
+        free = cut(open_.join(held, "component", "left_anti").withColumn("layer", F.lit(layer)), "layer")
+        done = free if done is None else done.unionByName(free)
+        if left.isEmpty():
+            return own.join(done, "component").select("node", "component", "layer")
+        open_ = held
+        rest = cut(left.join(free.select(F.col("component").alias("src")), "src", "left_anti").select("src", "dst"), "condensed")
+        drop(left)
+        left, layer = rest, layer + 1
+
+
 def import_cycles(nodes: DataFrame, edges: DataFrame, k: int = 50) -> DataFrame:
     """size and files of the `k` largest import cycles."""
     found = strongly_connected(import_graph(nodes, edges))

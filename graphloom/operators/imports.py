@@ -56,13 +56,32 @@ def siblings(paths: DataFrame) -> DataFrame:
     return paths.select("path", dir_name(F.col("path")).alias("dir"))
 
 
-def resolve_imports(extractions: DataFrame, most_suffixes: int = 3, compat: bool = False) -> DataFrame:
-    """repo, path, at and target of every import that names a file of its repository.
+def hints(rows: DataFrame) -> DataFrame:
+    """repo, path and word: an import may come to mean another file only if one of its words is among those of `path_hints`.
+
+    Words are those of the module's name; relative imports also have those of their directories, and all imports their own directory.
+    """
+    relative = (F.col("level") > 0) | F.col("module").startswith(".")
+    text = F.concat_ws(" ", "module", F.when(relative, F.concat(F.lit("__init__ "), "path")))
+    words = F.concat(F.filter(F.split(text, r"\W+"), lambda w: w != ""), F.array(F.concat(F.lit("/"), dir_name(F.col("path")))))
+    return rows.select("repo", "path", F.explode(F.array_distinct(words)).alias("word")).distinct()
+
+
+def path_hints(paths: DataFrame) -> DataFrame:
+    """repo and word: the last word of a file's stem and of its directory, and the directory itself."""
+    last = lambda c: F.element_at(F.filter(F.split(c, r"\W+"), lambda w: w != ""), -1)
+    near = dir_name(F.col("path"))
+    words = F.array(last(stem(F.col("path"))), F.when(near != "", last(near)), F.concat(F.lit("/"), near))
+    return paths.select("repo", F.explode(F.filter(words, lambda w: w.isNotNull())).alias("word")).distinct()
+
+
+def resolve_imports(extractions: DataFrame, most_suffixes: int = 3, compat: bool = False, paths: DataFrame | None = None) -> DataFrame:
+    """repo, path, at and target of every import that names a file of its repository; `paths` (repo, path) are the files, if there are others than in `extractions`.
 
     With `compat`, parent-relative script imports are left as they stand, and then match nothing.
     """
     rows = import_rows(extractions)
-    targets = extractions.select("repo", F.col("path").alias("target"))
+    targets = (extractions if paths is None else paths).select("repo", F.col("path").alias("target"))
     keyed = targets.withColumn("dir", dir_name(F.col("target"))).withColumn("stem", stem(F.col("target")))
     key = ["repo", "path", "at"]
 
@@ -142,15 +161,30 @@ def external_aliases(rows: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def top_externals(outside: DataFrame, most: int = 400) -> DataFrame:
     """repo, dst and n of the `most` names from outside that each repository's edges (repo, dst) lead to most; ties by name."""
-    counted = outside.groupBy("repo", "dst").agg(F.count("*").alias("n"))
+    return top_counted(outside.groupBy("repo", "dst").agg(F.count("*").alias("n")), most)
+
+
+def top_counted(counted: DataFrame, most: int = 400) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "dst"))
     return counted.withColumn("place", place).where(F.col("place") <= most).select("repo", "dst", "n")
 
 
+def _import_edges(rows: DataFrame, dst: Column) -> DataFrame:
+    at = [F.col(f"{end}.{part}").cast("bigint").alias(f"{end[0]}{name}") for end in ("start", "end") for part, name in (("row", "l"), ("col", "c"))]
+    return rows.select("repo", F.concat(F.lit("file:"), "path").alias("src"), dst.alias("dst"), F.lit("imports").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.col("path").alias("file"), *at, "at")
+
+
+def inside_edges(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The edges of imports that name files."""
+    return _import_edges(rows.join(resolved, ["repo", "path", "at"]), F.concat(F.lit("file:"), "target"))
+
+
+def outside_edges(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The edges of imports that name none."""
+    return _import_edges(rows.join(resolved.select("repo", "path", "at").distinct(), ["repo", "path", "at"], "left_anti").where("module != ''"), F.concat(F.lit("ext:"), "module"))
+
+
 def import_edges(rows: DataFrame, resolved: DataFrame, most_external: int = 400) -> DataFrame:
     """src, dst and place of every import; of modules outside, the `most_external` of each repository that are imported most."""
-    at = [F.col(f"{end}.{part}").cast("bigint").alias(f"{end[0]}{name}") for end in ("start", "end") for part, name in (("row", "l"), ("col", "c"))]
-    inside = rows.join(resolved, ["repo", "path", "at"]).select("repo", F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("file:"), "target").alias("dst"), F.col("path").alias("file"), *at, "at")
-    outside = rows.join(resolved.select("repo", "path", "at").distinct(), ["repo", "path", "at"], "left_anti").where("module != ''").select("repo", F.concat(F.lit("file:"), "path").alias("src"), F.concat(F.lit("ext:"), "module").alias("dst"), F.col("path").alias("file"), *at, "at")
-    both = inside.unionByName(outside.join(top_externals(outside, most_external), ["repo", "dst"], "left_semi").select(*inside.columns))
-    return both.select("repo", "src", "dst", F.lit("imports").alias("relation"), F.lit("EXTRACTED").alias("confidence"), "file", "sl", "sc", "el", "ec", "at")
+    outside = outside_edges(rows, resolved)
+    return inside_edges(rows, resolved).unionByName(outside.join(top_externals(outside, most_external), ["repo", "dst"], "left_semi"))

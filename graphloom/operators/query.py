@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import markers
 from ..storage import cut
-from .traverse import induced
+from .traverse import Stored, induced
 
 
 def like_pattern(needle: str) -> str:
@@ -16,11 +16,14 @@ def like_pattern(needle: str) -> str:
     return "%" + needle.replace("\\", "\\\\") + "%"
 
 
+def search_hit(pattern: str):
+    """Whether a node's name, qualified name or file is like a pattern, in any case."""
+    return F.col("name").ilike(pattern) | F.col("qualified").ilike(pattern) | F.coalesce(F.col("file").ilike(pattern), F.lit(False))
+
+
 def search(nodes: DataFrame, degree: DataFrame, needle: str, kinds=None, limit: int = 50) -> DataFrame:
     """Nodes whose name, qualified name or file holds the needle; nothing for a blank one."""
-    pattern = like_pattern(needle.strip())
-    hit = F.col("name").ilike(pattern) | F.col("qualified").ilike(pattern) | F.coalesce(F.col("file").ilike(pattern), F.lit(False))
-    own = nodes.where(hit & ~F.col("kind").isin("repo", "dir", "community") & F.lit(bool(needle.strip())))
+    own = nodes.where(search_hit(like_pattern(needle.strip())) & ~F.col("kind").isin("repo", "dir", "community") & F.lit(bool(needle.strip())))
     if kinds:
         own = own.where(F.col("kind").isin(*kinds))
     return own.join(degree.select("id", "degree"), "id").orderBy(F.desc("degree"), "qualified", "id").limit(limit)
@@ -55,12 +58,13 @@ def full_graph(nodes: DataFrame, edges: DataFrame, degree: DataFrame, kinds=None
     return top, shown.orderBy("src", "dst", "relation", "seq").limit(most_edges) if most_edges else shown
 
 
-def symbol_card(nodes: DataFrame, edges: DataFrame, node: str, most: int = 500) -> DataFrame:
+def symbol_card(nodes: DataFrame, edges: DataFrame | Stored, node: str, most: int = 500) -> DataFrame:
     """side (incoming or outgoing), other, other_name, relation and confidence of a node's edges; a loop is on both sides."""
     names = nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name"))
+    into, out = edges.touching(node) if isinstance(edges, Stored) else (edges.where(F.col("dst") == node), edges.where(F.col("src") == node))
     sides = []
-    for side, own, other in (("incoming", "dst", "src"), ("outgoing", "src", "dst")):
-        part = edges.where(F.col(own) == node).select(F.lit(side).alias("side"), F.col(other).alias("other"), "relation", "confidence", "seq")
+    for side, own, other in (("incoming", into, "src"), ("outgoing", out, "dst")):
+        part = own.select(F.lit(side).alias("side"), F.col(other).alias("other"), "relation", "confidence", "seq")
         sides.append(part.orderBy("other", "relation", "seq", "confidence").limit(most))
     both = sides[0].unionByName(sides[1]).join(names, "other", "left")
     return both.select("side", "other", F.coalesce("other_name", "other").alias("other_name"), "relation", "confidence")

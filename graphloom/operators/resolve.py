@@ -22,10 +22,10 @@ def reference_rows(extractions: DataFrame) -> DataFrame:
     return extractions.select("repo", "path", "language", F.posexplode("references").alias("at", "r")).select("repo", "path", "language", "at", "r.*").withColumnRenamed("kind", "ref_kind")
 
 
-def resolve_references(extractions: DataFrame, resolved_imports: DataFrame) -> DataFrame:
-    """Every reference with target, confidence and outcome (extracted, inferred, ambiguous, dropped or unresolved)."""
+def resolve_references(extractions: DataFrame, resolved_imports: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Every reference with target, confidence and outcome (extracted, inferred, ambiguous, dropped or unresolved); `found` are the repositories' symbols, if there are others than in `extractions`."""
     refs = reference_rows(extractions)
-    found = symbols(extractions)
+    found = symbols(extractions) if found is None else found
     imports = import_rows(extractions)
     key = ["repo", "path", "at"]
     # Members of the own class.
@@ -79,9 +79,9 @@ def resolve_references(extractions: DataFrame, resolved_imports: DataFrame) -> D
     return out.select("repo", "path", "language", "at", "name", "ref_kind", "start", "end", "scope", "receiver", F.col("found.target").alias("target"), F.col("found.outcome").alias("outcome"))
 
 
-def reference_edges(resolved: DataFrame, extractions: DataFrame) -> DataFrame:
+def reference_edges(resolved: DataFrame, extractions: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Edges of resolved references, from the symbol whose scope they stand in or else from the file; names outside are kept for calls only."""
-    scopes = symbols(extractions).groupBy("repo", "path", F.col("qualified").alias("scope")).agg(F.max_by("id", "seq").alias("holder"))
+    scopes = (symbols(extractions) if found is None else found).groupBy("repo", "path", F.col("qualified").alias("scope")).agg(F.max_by("id", "seq").alias("holder"))
     kept = resolved.where(F.col("target").isNotNull() & ((F.col("ref_kind") == "call") | ~F.col("target").startswith("ext:")))
     relation = F.element_at(F.create_map(*[F.lit(x) for pair in RELATION.items() for x in pair]), F.col("ref_kind"))
     return kept.join(scopes, ["repo", "path", "scope"], "left").select(

@@ -1,36 +1,119 @@
-"""Traversals: frontiers joined with edges hop by hop, each hop written out, never a path enumeration."""
+"""Traversals: frontiers meet edges hop by hop, never a path enumeration.
+
+A graph that is walked more than once is stored as `Stored`: every edge twice, in folders by each of its ends. A walk
+over it reads the folders of its frontier alone. Frontiers of up to HELD ids are lists on the driver, which go into the
+filters of the next read; larger ones are tables in the shared folder, joined with the folders that they touch. The
+functions below take a stored graph or a frame of edges; of the latter, they write what a walk may take and join that.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..schema import IMPACT_RELATIONS
-from ..storage import cut
+from ..storage import Buckets, cut, small
 
+#: Ids of a frontier that the driver holds; a larger one is a table.
+HELD = 5_000
 
-def adjacency(edges: DataFrame, direction: str = "both", relations=None, confidences=None) -> DataFrame:
-    """(at, to) of the edges that a walk may take, as often as they are there."""
-    own = edges
+
+def allowed(edges: DataFrame, relations=None, confidences=None) -> DataFrame:
+    """The edges that a walk may take; names in any case, none means all."""
     if relations:
-        own = own.where(F.lower("relation").isin(*[r.lower() for r in relations]))
+        edges = edges.where(F.lower("relation").isin(*[r.lower() for r in relations]))
     if confidences:
-        own = own.where(F.upper("confidence").isin(*[c.upper() for c in confidences]))
+        edges = edges.where(F.upper("confidence").isin(*[c.upper() for c in confidences]))
+    return edges.where("src != dst")
+
+
+@dataclass(frozen=True)
+class Stored:
+    """The edges of one graph, in folders by source and by target."""
+
+    out: Buckets
+    into: Buckets
+
+    @classmethod
+    def write(cls, edges: DataFrame, n: int = 32) -> Stored:
+        out = Buckets.write(edges, "src", "edges-out", n)
+        return cls(out, Buckets.write(out.rows, "dst", "edges-in", n))
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.out.rows
+
+    def steps(self, frontier: list[str] | DataFrame, direction: str = "both", relations=None, confidences=None) -> DataFrame:
+        """(at, to) of the edges that lead away from a frontier."""
+        parts = []
+        for side, own, other in (("out", "src", "dst"), ("in", "dst", "src")):
+            if direction in (side, "both"):
+                table = self.out if side == "out" else self.into
+                rows = table.of(frontier) if isinstance(frontier, list) else table.matching(frontier)
+                parts.append(allowed(rows, relations, confidences).select(F.col(own).alias("at"), F.col(other).alias("to")))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def touching(self, node: str) -> tuple[DataFrame, DataFrame]:
+        """The edges into and out of one node."""
+        return self.into.of([node]), self.out.of([node])
+
+    def drop(self) -> None:
+        self.out.drop()
+        self.into.drop()
+
+
+def walked(stored: Stored, start: list[str], depth: int, direction: str, relations, confidences) -> DataFrame:
+    """id and hop of everything within `depth` hops. The last hop is not run but returned as a plan; those before run one job each."""
+    spark = stored.out.spark
+    hops: dict[str, int] = dict.fromkeys(start, 0)
+    frontier: list[str] | DataFrame = start
+    seen: DataFrame | None = None  # once a frontier is too large to be held
+    held = lambda: small(spark, list(hops.items()), "id string, hop int")
+    for hop in range(1, depth + 1):
+        reached = stored.steps(frontier, direction, relations, confidences).select(F.col("to").alias("id")).distinct()
+        before = held() if seen is None else seen
+        new = reached.join(before.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        if hop == depth:
+            return before.unionByName(new)
+        if seen is None:
+            some = [r["id"] for r in new.limit(HELD + 1).collect()]
+            if len(some) <= HELD:
+                hops |= dict.fromkeys(some, hop)
+                frontier = some
+            else:
+                frontier = cut(new, "frontier")
+                seen = before.unionByName(frontier)
+        else:
+            frontier = cut(new, "frontier")
+            seen = seen.unionByName(frontier)
+        if not frontier if isinstance(frontier, list) else frontier.isEmpty():
+            break
+    return held() if seen is None else seen
+
+
+def adjacency(edges: DataFrame, direction: str = "both", relations=None, confidences=None) -> DataFrame:
+    """(at, to) of the edges that a walk may take, as often as they are there."""
+    own = allowed(edges, relations, confidences)
     out, back = own.select(F.col("src").alias("at"), F.col("dst").alias("to")), own.select(F.col("dst").alias("at"), F.col("src").alias("to"))
-    both = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    return both.where("at != to")
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def bfs(edges: DataFrame, start: list[str], depth: int, direction: str = "both", relations=None, limit: int | None = None, confidences=None) -> DataFrame:
+def bfs(edges: DataFrame | Stored, start: list[str], depth: int, direction: str = "both", relations=None, limit: int | None = None, confidences=None) -> DataFrame:
     """id and hop of everything within `depth` hops; with `limit`, the first so many in (hop, id) order.
 
-    The first hop is a filter by the given ids, which reaches the scan. Only what a frontier reaches is made distinct,
-    never all edges; a walk of several hops writes the ends of the edges that it may take once.
+    Only what a frontier reaches is made distinct, never all edges. Over a frame of edges, a walk of several hops writes
+    the ends of the edges that it may take once.
     """
-    spark = edges.sparkSession
-    steps = adjacency(edges, direction, relations, confidences)
+    spark = edges.out.spark if isinstance(edges, Stored) else edges.sparkSession
     seen = spark.createDataFrame([(s, 0) for s in start], "id string, hop int")
     if depth < 1 or not start:
         return seen.orderBy("hop", "id").limit(limit) if limit else seen
+    if isinstance(edges, Stored):
+        seen = walked(edges, list(dict.fromkeys(start)), depth, direction, relations, confidences)
+        return seen.orderBy("hop", "id").limit(limit) if limit else seen
+    steps = adjacency(edges, direction, relations, confidences)
     steps = cut(steps, "steps") if depth > 1 else steps
     frontier = None
     for hop in range(1, depth + 1):
@@ -50,29 +133,31 @@ def with_nodes(hops: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(hops, "id")
 
 
-def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
+def induced(edges: DataFrame | Stored, ids: DataFrame) -> DataFrame:
     """Edges with both ends among `ids` (id)."""
+    if isinstance(edges, Stored):
+        return edges.out.matching(ids.select("id")).join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(*edges.out.schema.names)
     own = ids.select("id")
     return edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, node: str, depth: int = 2, direction: str = "both", relations=None, limit: int = 400) -> DataFrame:
+def neighbors(nodes: DataFrame, edges: DataFrame | Stored, node: str, depth: int = 2, direction: str = "both", relations=None, limit: int = 400) -> DataFrame:
     return with_nodes(bfs(edges, [node], depth, direction, relations, limit), nodes)
 
 
-def callers(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+def callers(nodes: DataFrame, edges: DataFrame | Stored, node: str) -> DataFrame:
     return neighbors(nodes, edges, node, 1, "in", ("calls",))
 
 
-def callees(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+def callees(nodes: DataFrame, edges: DataFrame | Stored, node: str) -> DataFrame:
     return neighbors(nodes, edges, node, 1, "out", ("calls",))
 
 
-def module_dependencies(nodes: DataFrame, edges: DataFrame, file: str) -> DataFrame:
+def module_dependencies(nodes: DataFrame, edges: DataFrame | Stored, file: str) -> DataFrame:
     return neighbors(nodes, edges, f"file:{file}", 1, "both", ("imports",), 200)
 
 
-def impact(edges: DataFrame, node: str, depth: int = 3, limit: int = 3000, relations=IMPACT_RELATIONS) -> DataFrame:
+def impact(edges: DataFrame | Stored, node: str, depth: int = 3, limit: int = 3000, relations=IMPACT_RELATIONS) -> DataFrame:
     """What a change of `node` reaches: everything that comes to it within `depth` hops."""
     return bfs(edges, [node], depth, "in", relations, limit)
 
@@ -83,17 +168,67 @@ def impact_files(hops: DataFrame, nodes: DataFrame, root: str, limit: int = 200)
     return own.groupBy("file").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "file").limit(limit)
 
 
-def focus_graph(nodes: DataFrame, edges: DataFrame, focus: str, depth: int = 2, limit: int = 1500, kinds=None, relations=None) -> tuple[DataFrame, DataFrame]:
+def focus_graph(nodes: DataFrame, edges: DataFrame | Stored, focus: str, depth: int = 2, limit: int = 1500, kinds=None, relations=None) -> tuple[DataFrame, DataFrame]:
     """The nodes around a focus and the edges among them; the focus stays whatever the kinds."""
     own = neighbors(nodes, edges, focus, depth, "both", relations, max(limit, 200))
     if kinds:
         own = own.where(F.col("kind").isin(*kinds) | (F.col("id") == focus))
-    shown = edges.where(F.col("relation").isin(*relations)) if relations else edges
-    return own, induced(shown, own)
+    among = induced(edges, own)
+    return own, among.where(F.col("relation").isin(*relations)) if relations else among
+
+
+class Side:
+    """One end of a search from both: its levels, and of each id which ids of the next level follow."""
+
+    def __init__(self, root: str):
+        self.levels: list[set[str]] = [{root}]
+        self.seen = {root}
+        self.after: dict[str, set[str]] = defaultdict(set)
+
+    def grow(self, stored: Stored, relations) -> bool:
+        """Finds the next level; False if that is more than the driver holds."""
+        pairs = stored.steps(sorted(self.levels[-1]), "both", relations).distinct().limit(4 * HELD + 1).collect()
+        if len(pairs) > 4 * HELD:
+            return False
+        self.levels.append({r["to"] for r in pairs} - self.seen)
+        self.seen |= self.levels[-1]
+        for r in pairs:
+            if r["to"] in self.levels[-1]:
+                self.after[r["at"]].add(r["to"])
+        return True
+
+
+def met_path(stored: Stored, start: str, goal: str, most: int, relations) -> list[str] | None:
+    """A shortest path by two searches, of which the smaller grows; they meet on the level where the path's length is known. [] if there is none, None if a level is too large to be held."""
+    near, far = Side(start), Side(goal)
+    while not (meet := near.levels[-1] & far.levels[-1]):
+        if len(near.levels) + len(far.levels) - 2 == most or not near.levels[-1] or not far.levels[-1]:
+            return []
+        if not min((near, far), key=lambda s: len(s.levels[-1])).grow(stored, relations):
+            return None
+    # Of the far levels, what lies on a shortest path; from the goal, always the smallest id of the next level.
+    on_path = [meet]
+    for level in reversed(far.levels[:-1]):
+        on_path.append({x for x in level if far.after[x] & on_path[-1]})
+    path = [goal]
+    for level in reversed(on_path[:-1]):
+        path.append(min(far.after[path[-1]] & level))
+    for level in reversed(near.levels[:-1]):
+        path.append(min(x for x in level if path[-1] in near.after[x]))
+    return path[::-1]
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 6, relations=None) -> DataFrame:
-    """hop and id along a shortest undirected path; of several, the one whose steps back from the goal have smallest ids. Empty if there is none."""
+def shortest_path(edges: DataFrame | Stored, start: str, goal: str, most: int = 6, relations=None) -> DataFrame:
+    """hop and id along a shortest undirected path; of several, the one whose steps back from the goal have smallest ids. Empty if there is none.
+
+    Over a stored graph the search goes from both ends, and reads what their frontiers touch; where these outgrow the
+    driver, and over a frame of edges, it goes forward by tables.
+    """
+    if isinstance(edges, Stored):
+        path = met_path(edges, start, goal, most, relations)
+        if path is not None:
+            return edges.out.spark.createDataFrame(list(enumerate(path)), "hop int, id string")
+        edges = edges.edges
     spark = edges.sparkSession
     steps = cut(adjacency(edges, "both", relations), "steps")
     levels = [spark.createDataFrame([(start, None)], "id string, via string")]

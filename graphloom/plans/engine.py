@@ -1,27 +1,61 @@
-"""The whole run over a source tree: scan, extract, resolve, build, analyze; incremental where a cache is given."""
+"""The whole run over a source tree: scan, extract, resolve, build, analyze; and the update of an earlier run."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..extract import extract_files
 from ..operators import analyze, build, imports, resolve
+from ..operators.traverse import Stored
 from ..sources.tree import Limits, Scan, scan_table, scan_tree
-from ..storage import cut
+from ..storage import Buckets, Layer, cut, drop, replaced, small
 from . import incremental
 
+#: What a file's parse says beside its symbols.
+PARSED = ("parse_ok", "error", "node_count", "error_count", "missing_count")
+#: Files that an update may touch; beyond, all is resolved anew (unchanged files are still not parsed).
+MOST_TOUCHED = 5_000
+#: Updates that stand on one another before tables are written anew.
+MOST_LAYERS = 8
+MOST_EXTERNAL = 400
+
+
+@dataclass(frozen=True)
+class Kept:
+    """What an update asks of an earlier run, beside its results.
+
+    `targets` are the resolved imports. `symbols` and `referring` (resolved references) lie in folders by name, where an
+    update finds whom a changed name reaches. `outside` are the edges of all imports that name no file, `top` the names
+    (repo, dst) of those that show.
+    """
+
+    targets: DataFrame
+    symbols: Buckets | Layer
+    referring: Buckets | Layer
+    outside: DataFrame
+    top: DataFrame
+
 
 class Index:
-    """Everything that a run makes, as tables; communities are found when first asked for."""
+    """Everything that a run makes, as tables; communities, walks and call statistics are made when first asked for."""
 
-    def __init__(self, repo: str, files: DataFrame, skipped: DataFrame, extractions: DataFrame, references: DataFrame, nodes: DataFrame, edges: DataFrame, stats: DataFrame, parsed: int, members: DataFrame | None = None):
-        self.repo, self.files, self.skipped, self.extractions, self.references, self.nodes, self.edges, self.stats, self.parsed = repo, files, skipped, extractions, references, nodes, edges, stats, parsed
-        self._members = members
+    def __init__(self, repo: str, files: DataFrame, skipped: DataFrame, extractions: DataFrame, references: DataFrame, nodes: DataFrame, edges: DataFrame, parsed: int = 0, touched: int = 0, kept: Kept | None = None, layers: int = 0, members: DataFrame | None = None, stats: DataFrame | None = None):
+        self.repo, self.files, self.skipped, self.extractions, self.references, self.nodes, self.edges = repo, files, skipped, extractions, references, nodes, edges
+        self.parsed, self.touched, self.kept, self.layers, self._members = parsed, touched, kept, layers, members
+        if stats is not None:
+            self.stats = stats
 
     def of(self, repo: str) -> Index:
-        """The part of one repository, where a table held several; a community never spans two."""
+        """The part of one repository, where a table held several; a community never spans two. It can be read, not updated."""
         own = lambda df: df.where(F.col("repo") == repo) if "repo" in df.columns else df
-        return Index(repo, own(self.files), own(self.skipped), own(self.extractions), own(self.references), own(self.nodes), own(self.edges), resolve.call_stats(own(self.references)), self.parsed)
+        return Index(repo, own(self.files), own(self.skipped), own(self.extractions), own(self.references), own(self.nodes), own(self.edges), self.parsed, self.touched)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return resolve.call_stats(self.references)
 
     @property
     def members(self) -> DataFrame:
@@ -33,9 +67,19 @@ class Index:
     def degrees(self) -> DataFrame:
         return build.degrees(self.nodes, self.edges)
 
+    @cached_property
+    def walks(self) -> Stored:
+        """The edges stored for traversals."""
+        return Stored.write(self.edges)
+
+    def compact(self) -> Index:
+        """The same tables without layers."""
+        kept = Kept(cut(self.kept.targets, "imports"), Buckets.write(self.kept.symbols.rows, "name", "symbols"), Buckets.write(self.kept.referring.rows, "name", "references"), cut(self.kept.outside, "outside"), cut(self.kept.top, "top"))
+        return Index(self.repo, cut(self.files, "files"), self.skipped, cut(self.extractions, "extractions"), kept.referring.rows, cut(self.nodes, "nodes"), cut(self.edges, "edges"), self.parsed, self.touched, kept)
+
 
 class Engine:
-    """`Engine(spark).index(path)` for a tree, `.index_table(df)` for a table of files."""
+    """`Engine(spark).index(path)` for a tree, `.index_table(df)` for a table of files; `.update(index, path)` and `.update_table` for an index that is to follow them."""
 
     def __init__(self, spark: SparkSession, limits: Limits = Limits()):  # noqa: B008
         self.spark, self.limits = spark, limits
@@ -46,21 +90,114 @@ class Engine:
     def index_table(self, contents: DataFrame, repo: str = "repo", cached: DataFrame | None = None) -> Index:
         return self.build(scan_table(contents, self.limits), repo, cached)
 
+    def update(self, index: Index, root: str) -> Index:
+        return self.follow(index, scan_tree(self.spark, root, self.limits))
+
+    def update_table(self, index: Index, contents: DataFrame) -> Index:
+        return self.follow(index, scan_table(contents, self.limits))
+
     def build(self, scan: Scan, repo: str, cached: DataFrame | None = None) -> Index:
         """Files with a column `repo` are of so many repositories, which are indexed together and never mixed; ids are unique in each. `cached` is the `extractions` of an earlier run: files of the same content are not parsed again."""
-        scanned = cut(scan.files if "repo" in scan.files.columns else scan.files.withColumn("repo", F.lit(repo)), "scan")
+        scanned = cut(_with_repo(scan.files, repo), "scan")
         fresh = incremental.changed(scanned, cached) if cached is not None else scanned
-        extracted = cut(extract_files(fresh).join(fresh.select("repo", "path", "sha256"), ["repo", "path"]), "extracted")
+        extracted = cut(_extracted(fresh), "extracted")
         parsed = extracted.count()
         found = cut(incremental.refreshed(scanned, cached, extracted), "extractions") if cached is not None else extracted
-        files = scanned.drop("content").join(found.select("repo", "path", "parse_ok", "error", "node_count", "error_count", "missing_count"), ["repo", "path"], "left")
+        return self._resolved(repo, scanned, scan.skipped, found, parsed)
+
+    def _resolved(self, repo: str, scanned: DataFrame, skipped: DataFrame, found: DataFrame, parsed: int) -> Index:
+        files = _files(scanned, found)
         targets = cut(imports.resolve_imports(found), "imports")
-        references = cut(resolve.resolve_references(found, targets), "references")
+        symbols = Buckets.write(build.symbols(found), "name", "symbols")
+        referring = Buckets.write(resolve.resolve_references(found, targets, symbols.rows), "name", "references")
         tree_nodes, tree_edges = build.structure(files)
-        symbol_nodes, symbol_edges = build.symbol_graph(build.symbols(found))
-        imported, referred = imports.import_edges(imports.import_rows(found), targets), resolve.reference_edges(references, found)
-        tests = build.test_edges(imported.unionByName(referred), files)
-        edges = build.staged(tree_edges, symbol_edges, imported, referred, tests)
+        symbol_nodes, symbol_edges = build.symbol_graph(symbols.rows)
+        rows = imports.import_rows(found)
+        outside = cut(imports.outside_edges(rows, targets), "outside")
+        top = cut(imports.top_externals(outside, MOST_EXTERNAL), "top")
+        imported = imports.inside_edges(rows, targets).unionByName(outside.join(top, ["repo", "dst"], "left_semi"))
+        referred = resolve.reference_edges(referring.rows, found, symbols.rows)
+        edges = build.staged(tree_edges, symbol_edges, imported, referred, build.test_edges(referred, files))
         edges = cut(build.dedup_edges(build.sequenced(edges), "seq"), "edges")
         nodes = tree_nodes.unionByName(symbol_nodes).unionByName(build.external_nodes(edges.select("repo", F.col("dst").alias("id"))))
-        return Index(repo, cut(files, "files"), scan.skipped, found, references, cut(nodes, "nodes"), edges, resolve.call_stats(references), parsed)
+        return Index(repo, cut(files, "files"), skipped, found, referring.rows, cut(nodes, "nodes"), edges, parsed, parsed, Kept(targets, symbols, referring, outside, top))
+
+    def follow(self, index: Index, scan: Scan) -> Index:
+        """The index of what was scanned now, made of an earlier one: the same tables as a whole run gives, but for `seq`, which goes on behind the edges that stand.
+
+        Only files of other content are parsed, and only files that a change reaches are resolved (`incremental`). What
+        they had is replaced by layers, and all else stands as it is.
+        """
+        if index.kept is None:
+            raise ValueError("only what a run of this engine gave can be updated, whole")
+        key, spark = ["repo", "path"], self.spark
+        scanned = cut(_with_repo(scan.files, index.repo), "scan")
+        changed = scanned.join(index.files.select(*key, "sha256"), [*key, "sha256"], "left_anti")
+        gone = index.files.join(scanned.select(*key), key, "left_anti").select(*key, F.lit(1).alias("moves"))
+        known = changed.join(index.files.select(*key, F.lit(True).alias("known")), key, "left")
+        dirty = [tuple(r) for r in known.select(*key, F.when(F.col("known"), 0).otherwise(1).alias("moves")).unionByName(gone).limit(MOST_TOUCHED + 1).collect()]
+        if not dirty:
+            drop(scanned)
+            return index
+        if len(dirty) > MOST_TOUCHED:
+            return self.build(scan, index.repo, index.extractions)
+        own, moves = small(spark, [d[:2] for d in dirty], "repo string, path string"), any(d[2] for d in dirty)
+        changed = cut(scanned.join(own, key, "left_semi"), "changed")
+        drop(scanned)
+        before, after = cut(index.extractions.join(own, key, "left_semi"), "before"), cut(_extracted(changed), "after")
+        names = cut(incremental.changed_names(before, after), "names")
+        paths = incremental.moved(before, after)
+        reached = incremental.reached(names, index.kept.referring, paths, imports.import_rows(index.extractions) if not paths.isEmpty() else None)
+        touched = sorted({d[:2] for d in dirty} | {tuple(r) for r in reached.limit(MOST_TOUCHED + 1).collect()})
+        if len(touched) > MOST_TOUCHED:
+            return self.build(scan, index.repo, index.extractions)
+        return self._patched(index, scan.skipped, changed, own, moves, touched, after)
+
+    def _patched(self, index: Index, skipped: DataFrame, changed: DataFrame, dirty: DataFrame, moves: bool, places: list[tuple], after: DataFrame) -> Index:
+        """`dirty` files are read anew, `places` resolved anew; `moves` says whether files came or went, so that the tree is built anew."""
+        key, kept = ["repo", "path"], index.kept
+        touched = small(self.spark, places, "repo string, path string")
+        found = replaced(index.extractions, dirty, after)
+        part = cut(found.join(touched, key, "left_semi"), "touched")
+        own = cut(build.symbols(part), "symbols")
+        symbols = Layer(kept.symbols, dirty, own.join(dirty, key, "left_semi"))
+        targets = cut(imports.resolve_imports(part, paths=found.select(*key)), "imports")
+        known = symbols.matching(resolve.reference_rows(part).select("name"))
+        references = cut(resolve.resolve_references(part, targets, cut(known, "known")), "references")
+        rows = imports.import_rows(part)
+        fresh_outside = cut(imports.outside_edges(rows, targets), "outside")
+        outside = replaced(kept.outside, touched, fresh_outside, "file")
+        top = cut(imports.top_externals(outside, MOST_EXTERNAL), "top")
+        # Of modules outside, some may show now that did not, and the other way round.
+        risen, sunk = (a.join(b, ["repo", "dst"], "left_anti").select("repo", "dst") for a, b in ((top, kept.top), (kept.top, top)))
+        shown = fresh_outside.join(top, ["repo", "dst"], "left_semi").unionByName(outside.join(touched.select("repo", F.col("path").alias("file")), ["repo", "file"], "left_anti").join(risen, ["repo", "dst"], "left_semi").select(*outside.columns))
+        files = replaced(index.files, dirty, _files(changed, after))
+        tree_nodes, tree_edges = build.structure(files if moves else files.join(touched, key, "left_semi"))
+        if not moves:
+            tree_nodes, tree_edges = tree_nodes.where("kind = 'file'"), tree_edges.limit(0)
+        symbol_nodes, symbol_edges = build.symbol_graph(own)
+        referred = resolve.reference_edges(references, part, own)
+        fresh = build.staged(tree_edges, symbol_edges, imports.inside_edges(rows, targets).unionByName(shown.select(*fresh_outside.columns)), referred, build.test_edges(referred, files))
+        last = index.edges.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+        fresh = cut(build.dedup_edges(build.sequenced(fresh), "seq").withColumn("seq", F.col("seq") + F.lit(last + 1)), "edges")
+        stand = index.edges.where(F.col("file").isNotNull()) if moves else index.edges
+        import_edges = stand.where("relation = 'imports'").join(sunk, ["repo", "dst"], "left_anti").select(*stand.columns)
+        edges = replaced(stand.where("relation != 'imports'").unionByName(import_edges), touched, fresh, "file")
+        gone = ("external", "repo", "dir", "file") if moves else ("external",)
+        nodes = replaced(index.nodes.where(~F.col("kind").isin(*gone)), touched, tree_nodes.unionByName(symbol_nodes), "file")
+        nodes = nodes.unionByName(build.external_nodes(edges.select("repo", F.col("dst").alias("id"))))
+        referring = Layer(kept.referring, touched, references)
+        out = Index(index.repo, files, skipped, found, referring.rows, nodes, edges, after.count(), len(places), Kept(replaced(kept.targets, touched, targets), symbols, referring, outside, top), index.layers + 1)
+        return out.compact() if out.layers > MOST_LAYERS else out
+
+
+def _with_repo(files: DataFrame, repo: str) -> DataFrame:
+    return files if "repo" in files.columns else files.withColumn("repo", F.lit(repo))
+
+
+def _extracted(files: DataFrame) -> DataFrame:
+    return extract_files(files).join(files.select("repo", "path", "sha256"), ["repo", "path"])
+
+
+def _files(scanned: DataFrame, found: DataFrame) -> DataFrame:
+    return scanned.drop("content").join(found.select("repo", "path", *PARSED), ["repo", "path"], "left")

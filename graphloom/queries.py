@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import storage
 from .functions import language as lang, text as tx
 from .operators import analyze, build, query, traverse
 from .plans import incremental, jobs
 from .registry import ORACLES, QUERIES, registered
-from .sources.tables import Graph, table_graph
+from .sources.tables import Graph, StoredGraph, stored_graph
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _degrees(g: Graph) -> DataFrame:
-    return build.degrees(g.nodes, g.edges)
+def _degrees(g: StoredGraph) -> DataFrame:
+    return g.degrees
 
 
 DEGREE_SQL = """, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges),
@@ -35,69 +36,69 @@ def _members(g: Graph) -> DataFrame:
 
 @registered("SELECT kind AS value, count(*) AS n FROM nodes GROUP BY 1")
 def counts_by_kind(spark, sf_dir):
-    return build.group_counts(table_graph(spark, sf_dir).nodes, "kind")
+    return build.group_counts(stored_graph(spark, sf_dir).nodes, "kind")
 
 
 @registered("SELECT relation AS value, count(*) AS n FROM edges GROUP BY 1")
 def counts_by_relation(spark, sf_dir):
-    return build.group_counts(table_graph(spark, sf_dir).edges, "relation")
+    return build.group_counts(stored_graph(spark, sf_dir).edges, "relation")
 
 
 @registered("SELECT confidence AS value, count(*) AS n FROM edges GROUP BY 1")
 def counts_by_confidence(spark, sf_dir):
-    return build.group_counts(table_graph(spark, sf_dir).edges, "confidence")
+    return build.group_counts(stored_graph(spark, sf_dir).edges, "confidence")
 
 
 @registered("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM nodes WHERE kind = 'file') AS files, (SELECT count(*) FROM edges) AS edges")
 def graph_counts(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return query.counts(g.nodes, g.edges)
 
 
 @registered("""SELECT 'kind' AS what, kind AS value, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY 2
 UNION ALL SELECT 'confidence', confidence, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'directories', NULL, count(*) FROM region UNION ALL SELECT 'top_directories', NULL, count(*) FROM region""")
 def build_stats(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return build.build_stats(g.nodes, g.edges)
 
 
 @registered(DEGREE_SQL + "SELECT * FROM degree")
 def degree_all(spark, sf_dir):
-    return _degrees(table_graph(spark, sf_dir))
+    return _degrees(stored_graph(spark, sf_dir))
 
 
 @registered(DEGREE_SQL + "SELECT id, kind, name, file, in_degree, out_degree, degree FROM degree JOIN nodes USING (id) WHERE kind NOT IN ('repo', 'dir', 'file', 'external', 'community') AND degree > 0 ORDER BY degree DESC, id LIMIT 20")
 def god_nodes(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.god_nodes(g.nodes, _degrees(g))
 
 
 @registered("SELECT src, dst, relation, sl, sc, arg_min(seq, (seq, confidence)) AS seq, arg_min(confidence, (seq, confidence)) AS confidence FROM edges GROUP BY 1, 2, 3, 4, 5")
 def edge_dedup_first(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return build.dedup_edges(g.edges, "seq", "confidence").select("src", "dst", "relation", "sl", "sc", "seq", "confidence")
 
 
 @registered("SELECT DISTINCT r_name AS dir FROM region")
 def directories(spark, sf_dir):
-    return build.directories(table_graph(spark, sf_dir).nodes.where("kind = 'file'").select(F.col("qualified").alias("path")))
+    return build.directories(stored_graph(spark, sf_dir).nodes.where("kind = 'file'").select(F.col("qualified").alias("path")))
 
 
 @registered(DEGREE_SQL + "SELECT id, name, degree FROM nodes JOIN degree USING (id) WHERE kind IN ('class', 'function') ORDER BY degree DESC, id LIMIT 100 OFFSET 50")
 def nodes_filtered_page(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return query.iter_nodes(g.nodes, _degrees(g), ("class", "function"), True, 100, 50).select("id", "name", "degree")
 
 
 @registered("SELECT src, dst, seq, sl, sc FROM edges WHERE relation = 'calls' AND confidence = 'AMBIGUOUS'")
 def edges_filtered(spark, sf_dir):
-    return query.iter_edges(table_graph(spark, sf_dir).edges, ("CALLS",), ("ambiguous",)).select("src", "dst", "seq", "sl", "sc")
+    return query.iter_edges(stored_graph(spark, sf_dir).edges, ("CALLS",), ("ambiguous",)).select("src", "dst", "seq", "sl", "sc")
 
 
 @registered(DEGREE_SQL + """, top AS (SELECT id FROM nodes JOIN degree USING (id) ORDER BY degree DESC, id LIMIT 150)
 SELECT src, dst, relation, count(*) AS n FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) GROUP BY 1, 2, 3""")
 def full_graph_topk(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return query.full_graph(g.nodes, g.edges, _degrees(g), limit=150)[1].groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
 
 
@@ -113,70 +114,87 @@ def _bfs_sql(start: str, depth: int, where: str, direction: str = "out") -> str:
     return sql.format(start=start, depth=depth, where=where, both=both)
 
 
-@registered(_bfs_sql("repo:tpch", 3, "relation IN ('contains', 'defines')") + "SELECT * FROM hops")
+@registered(_bfs_sql("customer:1", 3, "true") + "SELECT * FROM hops")
 def bfs_out_d3(spark, sf_dir):
-    return traverse.bfs(table_graph(spark, sf_dir).edges, ["repo:tpch"], 3, "out", ("contains", "defines"))
+    return traverse.bfs(stored_graph(spark, sf_dir).walks, ["customer:1"], 3, "out")
 
 
-@registered(_bfs_sql("supplier:1", 2, "confidence = 'INFERRED'", "both") + "SELECT * FROM hops")
+@registered(_bfs_sql("supplier:1", 2, "true", "both") + "SELECT * FROM hops")
 def bfs_both_d2(spark, sf_dir):
-    return traverse.bfs(table_graph(spark, sf_dir).edges, ["supplier:1"], 2, "both", None, None, ("inferred",))
+    return traverse.bfs(stored_graph(spark, sf_dir).walks, ["supplier:1"], 2)
+
+
+@registered(_bfs_sql("repo:tpch", 4, "relation IN ('contains', 'defines', 'calls') AND confidence <> 'AMBIGUOUS'") + "SELECT * FROM hops")
+def bfs_filtered(spark, sf_dir):
+    return traverse.bfs(stored_graph(spark, sf_dir).walks, ["repo:tpch"], 4, "out", ("CONTAINS", "defines", "calls"), None, ("extracted", "inferred"))
 
 
 @registered(_bfs_sql("supplier:1", 2, "relation IN ('calls', 'defines', 'contains')", "in") + "SELECT id, kind, name, hop FROM hops JOIN nodes USING (id)")
 def neighbors_in(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return traverse.neighbors(g.nodes, g.edges, "supplier:1", 2, "in", ("calls", "defines", "contains"), None).select("id", "kind", "name", "hop")
+    g = stored_graph(spark, sf_dir)
+    return traverse.neighbors(g.nodes, g.walks, "supplier:1", 2, "in", ("calls", "defines", "contains"), None).select("id", "kind", "name", "hop")
 
 
 @registered(_bfs_sql("part:7", 3, "relation IN ('calls', 'instantiates', 'extends', 'implements', 'imports', 'type_uses')", "in") + "SELECT * FROM hops")
 def impact_d3(spark, sf_dir):
-    return traverse.impact(table_graph(spark, sf_dir).edges, "part:7", 3, None)
+    return traverse.impact(stored_graph(spark, sf_dir).walks, "part:7", 3, None)
 
 
 @registered(_bfs_sql("part:7", 2, "relation IN ('calls', 'instantiates', 'extends', 'implements', 'imports', 'type_uses')", "in") + "SELECT file, count(*) AS n FROM hops JOIN nodes USING (id) WHERE file IS NOT NULL AND id <> 'part:7' GROUP BY file ORDER BY n DESC, file LIMIT 200")
 def impact_files(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return traverse.impact_files(traverse.impact(g.edges, "part:7", 2, None), g.nodes, "part:7")
+    g = stored_graph(spark, sf_dir)
+    return traverse.impact_files(traverse.impact(g.walks, "part:7", 2, None), g.nodes, "part:7")
 
 
 @registered(_bfs_sql("supplier:1", 1, "relation = 'calls'", "in") + "SELECT id, name, hop FROM hops JOIN nodes USING (id)")
 def callers(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return traverse.neighbors(g.nodes, g.edges, "supplier:1", 1, "in", ("calls",), None).select("id", "name", "hop")
+    g = stored_graph(spark, sf_dir)
+    return traverse.neighbors(g.nodes, g.walks, "supplier:1", 1, "in", ("calls",), None).select("id", "name", "hop")
 
 
 @registered(_bfs_sql("customer:1", 1, "relation = 'calls'") + "SELECT id, name, hop FROM hops JOIN nodes USING (id) ORDER BY hop, id LIMIT 400")
 def callees(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return traverse.callees(g.nodes, g.edges, "customer:1").select("id", "name", "hop")
+    g = stored_graph(spark, sf_dir)
+    return traverse.callees(g.nodes, g.walks, "customer:1").select("id", "name", "hop")
 
 
 @registered("""SELECT id, name, CASE WHEN id = f THEN 0 ELSE 1 END AS hop FROM (SELECT 'file:' || path AS f FROM nat WHERE n_nationkey = 3), nodes
 WHERE id = f OR id IN (SELECT src FROM edges WHERE relation = 'imports' AND dst = f) OR id IN (SELECT dst FROM edges WHERE relation = 'imports' AND src = f)""")
 def module_deps(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     nation = _read(spark, sf_dir, "nation").join(_read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     path = nation.where("n_nationkey = 3").select(F.concat_ws("/", "r_name", "n_name")).first()[0]
-    return traverse.module_dependencies(g.nodes, g.edges, path).select("id", "name", "hop")
+    return traverse.module_dependencies(g.nodes, g.walks, path).select("id", "name", "hop")
 
 
 @registered(_bfs_sql("customer:2", 1, "relation = 'calls'") + "SELECT relation, count(*) AS n FROM edges WHERE src IN (SELECT id FROM hops) AND dst IN (SELECT id FROM hops) GROUP BY 1")
 def induced_subgraph(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return traverse.induced(g.edges, traverse.bfs(g.edges, ["customer:2"], 1, "out", ("calls",))).groupBy("relation").agg(F.count("*").alias("n"))
+    g = stored_graph(spark, sf_dir)
+    return traverse.induced(g.walks, traverse.bfs(g.walks, ["customer:2"], 1, "out", ("calls",))).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@registered(_bfs_sql("customer:1", 6, "relation IN ('defines', 'contains')", "both") + "SELECT hop AS length FROM hops WHERE id = 'supplier:1'")
+#: All undirected walks from one node, hop by hop; and back from the goal, of the nodes one hop nearer always the one of smallest id.
+PATH_SQL = """, step AS (SELECT src AS frm, dst AS dest FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+walk AS (SELECT '{start}' AS id, 0 AS hop UNION SELECT dest, hop + 1 FROM walk JOIN step ON id = frm WHERE hop < {most}),
+hops AS (SELECT id, min(hop)::INT AS hop FROM walk GROUP BY id),
+back AS (SELECT hop, id FROM hops WHERE id = '{goal}' UNION ALL SELECT hop, id FROM (SELECT hops.hop, hops.id, row_number() OVER (ORDER BY hops.id) AS r FROM back JOIN step ON back.id = frm JOIN hops ON hops.id = dest AND hops.hop = back.hop - 1) WHERE r = 1)
+"""
+
+
+@registered(PATH_SQL.format(start="customer:1", goal="supplier:1", most=6) + "SELECT max(hop) AS length FROM back HAVING count(*) > 0")
 def shortest_path_length(spark, sf_dir):
-    path = traverse.shortest_path(table_graph(spark, sf_dir).edges, "customer:1", "supplier:1", 6, ("defines", "contains"))
+    path = traverse.shortest_path(stored_graph(spark, sf_dir).walks, "customer:1", "supplier:1")
     return path.agg(F.max("hop").alias("length")).where("length is not null")
 
 
-@registered(_bfs_sql("dir:x", 1, "false") + """, f AS (SELECT 'file:' || path AS f, 'dir:' || r_name AS d FROM nat JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = 1)
-SELECT 0 AS hop, 'customer:1' AS id UNION ALL SELECT 1, f FROM f UNION ALL SELECT 2, d FROM f UNION ALL SELECT 3, 'repo:tpch' FROM f""")
+@registered(PATH_SQL.format(start="part:7", goal="dir:ASIA", most=6) + "SELECT hop, id FROM back")
 def shortest_path_nodes(spark, sf_dir):
-    return traverse.shortest_path(table_graph(spark, sf_dir).edges, "customer:1", "repo:tpch", 6, ("defines", "contains"))
+    return traverse.shortest_path(stored_graph(spark, sf_dir).walks, "part:7", "dir:ASIA")
+
+
+@registered(PATH_SQL.format(start="customer:2", goal="part:11", most=6) + "SELECT hop, id FROM back")
+def shortest_path_of_calls(spark, sf_dir):
+    return traverse.shortest_path(stored_graph(spark, sf_dir).walks, "customer:2", "part:11")
 
 
 @registered(""", fin AS (SELECT DISTINCT replace(src, 'file:', '') AS src, replace(dst, 'file:', '') AS dst FROM edges WHERE relation = 'imports' AND src <> dst),
@@ -184,31 +202,31 @@ reach AS (SELECT src, dst FROM fin UNION SELECT r.src, f.dst FROM reach r JOIN f
 comp AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
 SELECT node, component FROM comp WHERE component IN (SELECT component FROM comp GROUP BY 1 HAVING count(*) > 1)""")
 def import_cycles_scc(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.strongly_connected(analyze.import_graph(g.nodes, g.edges))
 
 
 @registered("SELECT DISTINCT replace(src, 'file:', '') AS src, replace(dst, 'file:', '') AS dst FROM edges WHERE relation = 'imports' AND src <> dst")
 def import_graph(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.import_graph(g.nodes, g.edges)
 
 
 @registered("SELECT path FROM nat WHERE 'file:' || path NOT IN (SELECT src FROM edges WHERE relation = 'imports') AND 'file:' || path NOT IN (SELECT dst FROM edges WHERE relation = 'imports')")
 def orphan_files(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.orphan_files(g.nodes, g.edges)
 
 
 @registered(MEMBERS_SQL + "SELECT a.community AS src_community, b.community AS dst_community, count(*) AS n FROM edges JOIN members a ON src = a.id JOIN members b ON dst = b.id WHERE relation NOT IN ('contains', 'defines') AND a.community <> b.community GROUP BY 1, 2")
 def cross_community(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.cross_community(g.edges, _members(g)).groupBy("src_community", "dst_community").agg(F.count("*").alias("n"))
 
 
 @registered(TIES_SQL + "SELECT a, b, w::DOUBLE AS w FROM ties")
 def symbol_subgraph(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.symbol_subgraph(g.nodes, g.edges)
 
 
@@ -216,71 +234,139 @@ def symbol_subgraph(spark, sf_dir):
 sizes AS (SELECT community, count(*) AS size FROM members GROUP BY 1)
 SELECT community, size, CASE WHEN size < 2 THEN 0.0 ELSE round(coalesce(t, 0) / (size * (size - 1) / 2), 4) END::DOUBLE AS cohesion FROM sizes LEFT JOIN inside USING (community)""")
 def community_cohesion(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.cohesion(_members(g), analyze.symbol_subgraph(g.nodes, g.edges))
 
 
 @registered(DEGREE_SQL + MEMBERS_SQL + """SELECT community, place::INT AS place, id, degree FROM (SELECT community, id, degree, row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) AS place FROM members JOIN degree USING (id)) WHERE place <= 5""")
 def community_top5(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.top_symbols(_members(g), _degrees(g))
 
 
 @registered(MEMBERS_SQL + "SELECT community, left(sha1(string_agg(id, '|' ORDER BY id)), 16) AS content_hash FROM members GROUP BY 1")
 def community_content_hash(spark, sf_dir):
-    return analyze.content_hash(_members(table_graph(spark, sf_dir)))
+    return analyze.content_hash(_members(stored_graph(spark, sf_dir)))
 
 
 @registered(MEMBERS_SQL + "SELECT community, file, count(*) AS n FROM members JOIN nodes USING (id) GROUP BY 1, 2")
 def community_files(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.community_files(_members(g), g.nodes)
 
 
 @registered(DEGREE_SQL + MEMBERS_SQL + "SELECT community, community || ' · ' || arg_min(name, (-degree, id)) AS name FROM members JOIN nodes USING (id) JOIN degree USING (id) GROUP BY 1")
 def community_names(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.heuristic_names(_members(g), g.nodes, _degrees(g))
 
 
 @registered()
 def communities(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.communities(g.nodes, g.edges)
 
 
+def _planted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Customers of a nation as symbols, each tied to those 1, 2, 4, ... places further round its nation; the first of each nation to that of the next nation."""
+    own = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("k")) - 1).withColumn("size", F.count("*").over(Window.partitionBy("n")))
+    name = lambda k: F.concat(F.lit("c:"), F.col(k).cast("string"))
+    step = own.withColumn("step", F.explode(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.pow(F.lit(2), i).cast("int")))).where("step < size")
+    round_ = step.select(name("k").alias("src"), "n", ((F.col("place") + F.col("step")) % F.col("size")).alias("to"))
+    inside = round_.join(own.select("n", F.col("place").alias("to"), name("k").alias("dst")), ["n", "to"]).select("src", "dst")
+    first = own.where("place = 0").select("n", name("k").alias("src"))
+    between = first.join(first.select((F.col("n") - 1).alias("n"), F.col("src").alias("dst")), "n").select("src", "dst")
+    edges = inside.unionByName(between).select(F.monotonically_increasing_id().alias("seq"), "src", "dst", F.lit("calls").alias("relation"))
+    return own.select(name("k").alias("id"), F.lit("function").alias("kind"), F.col("n").alias("nation")), edges
+
+
+@registered("SELECT 'c:' || c_custkey AS id, (dense_rank() OVER (ORDER BY size DESC, first) - 1)::INT AS community FROM customer JOIN (SELECT c_nationkey, count(*) AS size, min('c:' || c_custkey) AS first FROM customer GROUP BY 1 HAVING count(*) > 4) USING (c_nationkey)", graph=False)
+def communities_planted(spark, sf_dir):
+    nodes, edges = _planted(spark, sf_dir)
+    large = nodes.groupBy("nation").agg(F.count("*").alias("n")).where("n > 4")
+    found = analyze.communities(nodes.join(large, "nation", "left_semi"), edges)
+    return found.select("id", F.col("community").cast("int").alias("community"))
+
+
+@registered("SELECT 0::BIGINT AS parts_too_many", graph=False)
+def communities_connected(spark, sf_dir):
+    g = stored_graph(spark, sf_dir)
+    ties = analyze.symbol_subgraph(g.nodes, g.edges)
+    labels = storage.cut(analyze.communities(g.nodes, g.edges).select("id", F.col("community").alias("label")), "members")
+    parts = analyze.connected_parts(labels, ties).select("label").distinct()
+    return parts.agg(F.count("*").alias("n")).crossJoin(labels.agg(F.count_distinct("label").alias("m"))).select((F.col("n") - F.col("m")).alias("parts_too_many"))  # one row each
+
+
+#: Parts imported by their halves and thirds, some of them by their doubles too, which closes cycles.
+LAYER_SQL = """WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part), e AS (SELECT k AS s, k // 2 AS d FROM p WHERE k > 1 UNION SELECT k, k // 3 FROM p WHERE k > 2 UNION SELECT a.k, b.k FROM p a JOIN p b ON b.k = 2 * a.k WHERE a.k % 50 = 0),
+reach AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM reach r JOIN e ON r.d = e.s),
+comp AS (SELECT k AS node, coalesce(min(lpad(b.d::VARCHAR, 9, '0')), lpad(k::VARCHAR, 9, '0')) AS component FROM p LEFT JOIN (SELECT a.s, a.d FROM reach a JOIN reach b ON a.s = b.d AND a.d = b.s) b ON b.s = k GROUP BY k),
+ce AS (SELECT DISTINCT x.component AS s, y.component AS d FROM e JOIN comp x ON e.s = x.node JOIN comp y ON e.d = y.node WHERE x.component <> y.component),
+walk AS (SELECT DISTINCT component AS c, 0 AS layer FROM comp UNION SELECT d, layer + 1 FROM walk JOIN ce ON c = s)
+SELECT lpad(node::VARCHAR, 9, '0') AS node, component, max(layer)::INT AS layer FROM comp JOIN walk ON c = component GROUP BY ALL"""
+
+
+@registered(LAYER_SQL, graph=False)
+def graph_layers(spark, sf_dir):
+    k, key = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), lambda c: F.lpad(c.cast("bigint").cast("string"), 9, "0")
+    doubles = k.where("k % 50 = 0").join(k.select((F.col("k") / 2).alias("half")), F.col("half") == F.col("k"))
+    pairs = k.where("k > 1").select(key(F.col("k")).alias("src"), key(F.floor(F.col("k") / 2)).alias("dst"))
+    pairs = pairs.union(k.where("k > 2").select(key(F.col("k")), key(F.floor(F.col("k") / 3)))).union(doubles.select(key(F.col("k")), key(2 * F.col("k"))))
+    return analyze.layers(pairs)
+
+
 @registered("SELECT '' AS dir, count(*) AS files, sum(size)::BIGINT AS size, 0 AS depth FROM (SELECT path, count(*) AS size FROM nat JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) UNION ALL SELECT split_part(path, '/', 1), count(*), sum(size)::BIGINT, 1 FROM (SELECT path, count(*) AS size FROM nat JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) GROUP BY 1")
 def tree_rollup(spark, sf_dir):
-    sizes = table_graph(spark, sf_dir).nodes.where("kind = 'class'").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("size"))
+    sizes = stored_graph(spark, sf_dir).nodes.where("kind = 'class'").groupBy(F.col("file").alias("path")).agg(F.count("*").alias("size"))
     return query.tree_rollup(sizes, ["size"]).select("dir", "files", "size", "depth")
 
 
 @registered("SELECT 'incoming' AS side, src AS other, coalesce(name, src) AS other_name, relation, confidence FROM (SELECT * FROM edges WHERE dst = 'supplier:3' ORDER BY src, relation, seq, confidence LIMIT 500) LEFT JOIN nodes ON src = id UNION ALL SELECT 'outgoing', dst, coalesce(name, dst), relation, confidence FROM (SELECT * FROM edges WHERE src = 'supplier:3' ORDER BY dst, relation, seq, confidence LIMIT 500) LEFT JOIN nodes ON dst = id")
 def symbol_card(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return query.symbol_card(g.nodes, g.edges, "supplier:3")
+    g = stored_graph(spark, sf_dir)
+    return query.symbol_card(g.nodes, g.walks, "supplier:3")
+
+
+def _search_sql(needle: str, limit: int = 50) -> str:
+    hit = " OR ".join(f"{c} ILIKE '%{needle}%'" for c in ("name", "qualified", "file"))
+    return DEGREE_SQL + f"SELECT id, name, degree FROM nodes JOIN degree USING (id) WHERE kind NOT IN ('repo', 'dir', 'community') AND ({hit}) ORDER BY degree DESC, qualified, id LIMIT {limit}"
 
 
-@registered(DEGREE_SQL + "SELECT id, name, degree FROM nodes JOIN degree USING (id) WHERE kind NOT IN ('repo', 'dir', 'community') AND (name ILIKE '%er#0000_1%' OR qualified ILIKE '%er#0000_1%' OR file ILIKE '%er#0000_1%') ORDER BY degree DESC, qualified, id LIMIT 50")
+@registered(_search_sql("er#0000_1"))
 def search_nodes(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return query.search(g.nodes, _degrees(g), "er#0000_1").select("id", "name", "degree")
+    return stored_graph(spark, sf_dir).grams.search("er#0000_1").select("id", "name", "degree")
+
+
+@registered(_search_sql("c%st_mer#%77", 100_000))
+def search_wildcards(spark, sf_dir):
+    return stored_graph(spark, sf_dir).grams.search(" C%sT_mer#%77 ", limit=100_000).select("id", "name", "degree")
+
+
+@registered(_search_sql("ia", 100_000))
+def search_short(spark, sf_dir):
+    return stored_graph(spark, sf_dir).grams.search("IA", limit=100_000).select("id", "name", "degree")
+
+
+@registered("""SELECT gram, count(*) AS n FROM (SELECT DISTINCT id, substr(t, i, k) AS gram FROM (SELECT id, t, k, unnest(range(1, len(t) - k + 2)) AS i FROM (SELECT id, unnest([lower(name), lower(qualified), lower(file)]) AS t FROM nodes WHERE kind NOT IN ('repo', 'dir', 'community')), (VALUES (1), (2), (3)) s(k) WHERE t IS NOT NULL)) GROUP BY 1""")
+def gram_postings(spark, sf_dir):
+    return stored_graph(spark, sf_dir).grams.counts.rows
 
 
 @registered("SELECT id, name FROM nodes WHERE kind IN ('function', 'method') AND file IS NOT NULL AND id NOT IN (SELECT dst FROM edges WHERE relation IN ('calls', 'instantiates'))")
 def dead_code(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return query.dead_code(g.nodes, g.edges).select("id", "name")
 
 
 @registered("SELECT file, count(*) AS symbols FROM nodes WHERE kind NOT IN ('repo', 'dir', 'file', 'external', 'community') AND file IS NOT NULL GROUP BY 1")
 def symbols_per_file(spark, sf_dir):
-    return query.symbols_per_file(table_graph(spark, sf_dir).nodes)
+    return query.symbols_per_file(stored_graph(spark, sf_dir).nodes)
 
 
 @registered("SELECT src, dst, relation FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)")
 def dangling_edges(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return build.dangling(g.nodes, g.edges).select("src", "dst", "relation")
 
 
@@ -289,7 +375,7 @@ def resolution_rate(spark, sf_dir):
     from .operators.resolve import call_stats
 
     outcome = F.when(F.col("confidence") == "EXTRACTED", "extracted").when(F.col("confidence") == "INFERRED", "inferred").otherwise("ambiguous")
-    refs = table_graph(spark, sf_dir).edges.where("relation = 'calls'").select(F.lit("call").alias("ref_kind"), outcome.alias("outcome"))
+    refs = stored_graph(spark, sf_dir).edges.where("relation = 'calls'").select(F.lit("call").alias("ref_kind"), outcome.alias("outcome"))
     return call_stats(refs).select("extracted", "inferred", "ambiguous", "rate")
 
 
@@ -453,7 +539,7 @@ def incremental_stale(spark, sf_dir):
 def naming_cache_restore(spark, sf_dir):
     from .plans.naming import restore_names
 
-    hashes = analyze.content_hash(_members(table_graph(spark, sf_dir)))
+    hashes = analyze.content_hash(_members(stored_graph(spark, sf_dir)))
     cache = hashes.where("community < 'B'").select("content_hash", F.lit("kept name").alias("name"), F.lit("llm").alias("named_by"))
     return restore_names(hashes.withColumn("name", F.col("community")), cache).select("community", "content_hash", "name", "named_by")
 

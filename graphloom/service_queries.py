@@ -10,7 +10,7 @@ from .operators import analyze, build, imports, query, traverse
 from .plans import catalog, jobs, tools
 from .queries import DEGREE_SQL, JOBS_SQL, MEMBERS_SQL, TIES_SQL, _bfs_sql, _degrees, _jobs, _members, _read
 from .registry import registered
-from .sources.tables import table_graph
+from .sources.tables import stored_graph
 
 # Views of the graph.
 
@@ -21,8 +21,8 @@ hops AS (SELECT id, min(hop) AS hop FROM (SELECT 'customer:7' AS id, 0 AS hop UN
 
 
 def _focus(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
-    return traverse.focus_graph(g.nodes, g.edges, "customer:7", 2, 300, kinds=("function", "class"))
+    g = stored_graph(spark, sf_dir)
+    return traverse.focus_graph(g.nodes, g.walks, "customer:7", 2, 300, kinds=("function", "class"))
 
 
 @registered(BOTH_SQL + "SELECT id, kind, hop FROM hops JOIN nodes USING (id) WHERE kind IN ('function', 'class') OR id = 'customer:7'")
@@ -37,47 +37,47 @@ def focus_edges(spark, sf_dir):
 
 @registered(DEGREE_SQL + ", top AS (SELECT id FROM degree ORDER BY degree DESC, id LIMIT 800) SELECT src, dst, relation FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY src, dst, relation, seq LIMIT 3000")
 def html_trim_edges(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return query.full_graph(g.nodes, g.edges, _degrees(g), limit=800, most_edges=3000)[1].select("src", "dst", "relation")
 
 
 @registered("SELECT id, kind, name, qualified, file, language FROM nodes WHERE id IN ('customer:1', 'supplier:2', 'part:3', 'nowhere:4')")
 def nodes_by_ids(spark, sf_dir):
-    return query.nodes_by_ids(table_graph(spark, sf_dir).nodes, ["customer:1", "supplier:2", "part:3", "nowhere:4"])
+    return query.nodes_by_ids(stored_graph(spark, sf_dir).nodes, ["customer:1", "supplier:2", "part:3", "nowhere:4"])
 
 
 @registered("SELECT id, kind, name, qualified, file, language FROM nodes WHERE kind = 'file' AND qualified = (SELECT min(path) FROM nat)")
 def file_by_path(spark, sf_dir):
-    nodes = table_graph(spark, sf_dir).nodes
+    nodes = stored_graph(spark, sf_dir).nodes
     return query.get_file(nodes, nodes.where("kind = 'file'").agg(F.min("qualified")).first()[0])
 
 
 @registered("SELECT src, dst, relation, confidence, sl FROM edges WHERE relation = 'imports'")
 def edge_briefs(spark, sf_dir):
-    return query.edge_briefs(table_graph(spark, sf_dir).edges.where("relation = 'imports'"))
+    return query.edge_briefs(stored_graph(spark, sf_dir).edges.where("relation = 'imports'"))
 
 
 @registered(DEGREE_SQL + "SELECT id, kind, name, qualified, file, language, degree FROM nodes JOIN degree USING (id) WHERE kind = 'function'")
 def node_briefs(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return query.node_briefs(g.nodes.where("kind = 'function'"), _degrees(g))
 
 
 @registered(MEMBERS_SQL + "SELECT community, count(*) AS size FROM members GROUP BY 1")
 def community_list(spark, sf_dir):
-    return query.community_list(_members(table_graph(spark, sf_dir)))
+    return query.community_list(_members(stored_graph(spark, sf_dir)))
 
 
 @registered("""SELECT 'kind' AS what, kind AS value, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'confidence', confidence, count(*) FROM edges GROUP BY 2
 UNION ALL SELECT 'nodes', NULL, count(*) FROM nodes UNION ALL SELECT 'edges', NULL, count(*) FROM edges UNION ALL SELECT 'files', NULL, count(*) FROM nodes WHERE kind = 'file'""")
 def overview(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return query.overview(g.nodes, g.edges)
 
 
 @registered(MEMBERS_SQL + "SELECT id, (dense_rank() OVER (ORDER BY size DESC, first) - 1)::INT AS community FROM members JOIN (SELECT community, count(*) AS size, min(id) AS first FROM members GROUP BY 1) USING (community)")
 def community_numbers(spark, sf_dir):
-    return analyze.number_communities(_members(table_graph(spark, sf_dir)).withColumnRenamed("community", "label")).withColumn("community", F.col("community").cast("int"))
+    return analyze.number_communities(_members(stored_graph(spark, sf_dir)).withColumnRenamed("community", "label")).withColumn("community", F.col("community").cast("int"))
 
 
 @registered(DEGREE_SQL + MEMBERS_SQL + """SELECT (SELECT count(DISTINCT community) FROM members) AS communities, (SELECT max(n) FROM (SELECT count(*) AS n FROM members GROUP BY community)) AS largest, (SELECT count(*) FROM nodes) AS nodes,
@@ -85,7 +85,7 @@ def community_numbers(spark, sf_dir):
 (SELECT count(*) FROM edges JOIN members a ON src = a.id JOIN members b ON dst = b.id WHERE relation NOT IN ('contains', 'defines') AND a.community <> b.community) AS cross,
 (SELECT least(count(*), 20) FROM nodes JOIN degree USING (id) WHERE kind NOT IN ('repo', 'dir', 'file', 'external', 'community') AND degree > 0) AS gods""")
 def analysis_stats(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return analyze.analysis_stats(g.nodes, g.edges, _members(g), _degrees(g))
 
 
@@ -93,24 +93,24 @@ def analysis_stats(spark, sf_dir):
 tops AS (SELECT community, string_agg(id, ',' ORDER BY place) AS top FROM (SELECT community, id, row_number() OVER (PARTITION BY community ORDER BY degree DESC, id) AS place FROM members JOIN degree USING (id)) WHERE place <= 5 GROUP BY 1)
 SELECT community, count(*) AS size, round(coalesce(max(t), 0) / (count(*) * (count(*) - 1) / 2), 4)::DOUBLE AS cohesion, left(sha1(string_agg(id, '|' ORDER BY id)), 16) AS content_hash, max(top) AS top FROM members LEFT JOIN inside USING (community) JOIN tops USING (community) GROUP BY 1 HAVING count(*) > 1""")
 def analysis_payload(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     own = catalog.community_payload(g.nodes, g.edges, _members(g), _degrees(g)).where("size > 1")
     return own.select("community", "size", "cohesion", "content_hash", F.array_join(F.transform("top_symbols", lambda s: s["id"]), ",").alias("top"))
 
 
 @registered("SELECT word, id FROM (SELECT DISTINCT id, unnest(string_split_regex(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS word FROM nodes WHERE kind IN ('class', 'function', 'method')) WHERE word <> ''")
 def name_words(spark, sf_dir):
-    return query.name_index(table_graph(spark, sf_dir).nodes)
+    return query.name_index(stored_graph(spark, sf_dir).nodes)
 
 
 @registered(", words AS (SELECT DISTINCT id, unnest(string_split_regex(lower(name), '[^a-z0-9]+')) AS word FROM nodes WHERE kind IN ('class', 'function', 'method')) SELECT id FROM words WHERE word IN ('supplier', '000000003') GROUP BY id HAVING count(*) = 2")
 def word_search(spark, sf_dir):
-    return query.word_search(query.name_index(table_graph(spark, sf_dir).nodes), "Supplier 000000003")
+    return query.word_search(query.name_index(stored_graph(spark, sf_dir).nodes), "Supplier 000000003")
 
 
 @registered("SELECT 'r' AS repo, dst, count(*) AS n FROM edges WHERE relation = 'instantiates' GROUP BY 2 ORDER BY n DESC, dst LIMIT 400")
 def externals_top400(spark, sf_dir):
-    return imports.top_externals(table_graph(spark, sf_dir).edges.where("relation = 'instantiates'").withColumn("repo", F.lit("r")))
+    return imports.top_externals(stored_graph(spark, sf_dir).edges.where("relation = 'instantiates'").withColumn("repo", F.lit("r")))
 
 
 @registered("SELECT p_brand AS layer, p_size AS item, count(*) AS weight, dense_rank() OVER (PARTITION BY p_brand ORDER BY count(*) DESC) AS place FROM part GROUP BY 1, 2", graph=False)
@@ -127,19 +127,19 @@ def treemap_weights(spark, sf_dir):
 
 @registered("SELECT id, name, source FROM (SELECT id, name, source, row_number() OVER (PARTITION BY id ORDER BY rank, place) AS r FROM (SELECT id, name, 'hub' AS source, 0 AS rank, row_number() OVER (ORDER BY id) AS place FROM nodes WHERE id LIKE 'supplier:1%' UNION ALL SELECT id, name, 'found', 1, row_number() OVER (ORDER BY id) FROM nodes WHERE id LIKE 'supplier:%')) WHERE r = 1")
 def focus_options(spark, sf_dir):
-    nodes = table_graph(spark, sf_dir).nodes.where("kind = 'function'").select("id", "name")
+    nodes = stored_graph(spark, sf_dir).nodes.where("kind = 'function'").select("id", "name")
     return query.focus_options([("hub", nodes.where("id like 'supplier:1%'")), ("found", nodes)])
 
 
 @registered("SELECT * FROM (VALUES ('repo_overview'), ('search_symbols'), ('get_symbol'), ('neighbors'), ('callers'), ('callees'), ('impact'), ('path_between'), ('list_communities'), ('read_file'), ('file_tree'), ('module_dependencies'), ('cycles'), ('god_nodes')) t(name)", graph=False)
 def tool_specs(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return spark.createDataFrame([(s["name"],) for s in tools.Tools(g.nodes, g.edges).specs()], "name string")
 
 
 @registered("SELECT id, kind, name FROM nodes JOIN (SELECT src AS id FROM edges WHERE dst = 'supplier:3' AND relation = 'calls' UNION SELECT 'supplier:3') USING (id) ORDER BY id = 'supplier:3' DESC, id LIMIT 20")
 def tool_citations(spark, sf_dir):
-    g = table_graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     cited = tools.citations(tools.Tools(g.nodes, g.edges).run("callers", node="supplier:3"))
     return spark.createDataFrame([(c["id"], c["kind"], c["name"]) for c in cited], "id string, kind string, name string")
 

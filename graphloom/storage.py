@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The shuffle files of a plan that runs once are not needed after it.
@@ -60,6 +63,19 @@ def _at(spark: SparkSession, path: str, do: Callable) -> None:
     do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
 
 
+def changed_at(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds."""
+    out: list[int] = []
+    _at(spark, path, lambda fs, at: out.append(fs.getFileStatus(at).getModificationTime()))
+    return out[0]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    out: list[bool] = []
+    _at(spark, path, lambda fs, at: out.append(fs.exists(at)))
+    return out[0]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     _at(spark, path, lambda fs, at: fs.delete(at, True))
 
@@ -70,6 +86,102 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+@dataclass(frozen=True)
+class Buckets:
+    """A table in `n` folders by a hash of its key (a string), sorted by it: rows of some keys are read from the folders of those keys alone.
+
+    A folder has as many files as its rows need, so a key of many rows is written by several tasks. `n` is for the
+    writer to choose: about one folder for each 64 MB.
+    """
+
+    spark: SparkSession
+    path: str
+    schema: object
+    key: str
+    n: int
+    #: Folders that have rows.
+    held: frozenset[int]
+
+    @classmethod
+    def write(cls, df: DataFrame, key: str, name: str, n: int = 32, then: tuple[str, ...] = ()) -> Buckets:
+        """Writes `df`, sorted by `key` and `then` in each file."""
+        spark = df.sparkSession
+        path = fresh_path(spark, name)
+        own = df.withColumn("_bucket", cls.bucket(F.col(key), n)).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", key, *then)
+        own.write.partitionBy("_bucket").parquet(path)
+        held: list[int] = []
+        _at(spark, path, lambda fs, at: held.extend(int(f.getPath().getName()[8:]) for f in fs.listStatus(at) if f.getPath().getName().startswith("_bucket=") and f.getPath().getName()[8:].isdigit()))
+        return cls(spark, path, df.schema, key, n, frozenset(held))
+
+    @staticmethod
+    def bucket(key: Column, n: int) -> Column:
+        return F.pmod(F.crc32(F.coalesce(key, F.lit("")).cast("binary")), F.lit(n)).cast("int")
+
+    def folders(self, buckets: set[int]) -> DataFrame:
+        """The rows of some folders; no other is listed or opened."""
+        own = sorted(buckets & self.held)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/_bucket={b}" for b in own]) if own else self.spark.createDataFrame([], self.schema)
+
+    @property
+    def rows(self) -> DataFrame:
+        """The whole table."""
+        return self.folders(set(self.held))
+
+    def of(self, keys: list[str]) -> DataFrame:
+        """The rows of a few keys: folders are chosen here, and the keys are pushed down to the files' statistics."""
+        return self.folders({zlib.crc32(k.encode()) % self.n for k in keys}).where(F.col(self.key).isin(*keys))
+
+    def matching(self, keys: DataFrame) -> DataFrame:
+        """The rows whose key is among `keys` (one column), of any number; the driver sees bucket numbers only, at most `n`."""
+        own = keys.select(F.col(keys.columns[0]).alias(self.key)).distinct()
+        found = {r[0] for r in own.select(self.bucket(F.col(self.key), self.n)).distinct().collect()}
+        return self.folders(found).join(own, self.key, "left_semi").select(*self.schema.names)
+
+    def drop(self) -> None:
+        remove(self.spark, self.path)
+
+
+@dataclass(frozen=True)
+class Layer:
+    """A table over buckets or another layer: the rows of some files replaced. Reads merge; nothing is rewritten."""
+
+    below: Buckets | Layer
+    files: DataFrame
+    fresh: DataFrame
+
+    def _over(self, rows: DataFrame, fresh: DataFrame) -> DataFrame:
+        return replaced(rows, self.files, fresh)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._over(self.below.rows, self.fresh)
+
+    def matching(self, keys: DataFrame) -> DataFrame:
+        own = keys.select(F.col(keys.columns[0]).alias(self.key)).distinct()
+        return self._over(self.below.matching(keys), self.fresh.join(own, self.key, "left_semi"))
+
+    def of(self, keys: list[str]) -> DataFrame:
+        return self._over(self.below.of(keys), self.fresh.where(F.col(self.key).isin(*keys)))
+
+    @property
+    def key(self) -> str:
+        return self.below.key
+
+
+def replaced(rows: DataFrame, files: DataFrame, fresh: DataFrame, path: str = "path") -> DataFrame:
+    """`rows` without those of `files` (repo, path), and with the fresh ones."""
+    gone = files.select("repo", F.col("path").alias(path))
+    return rows.join(gone, ["repo", path], "left_anti").select(*rows.columns).unionByName(fresh.select(*rows.columns))
+
+
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a frame whose size Spark knows."""
+    fields = [part.split() for part in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)}))
+
+
 def dealt(*key: str) -> Column:
     """A join key that is dealt out anew although one side is already summed by `key`.
 
