@@ -126,7 +126,8 @@ def refined(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         e = (s + value[None, :] * r) / apart
     small = (np.abs(apart) > near) & (np.abs(e) < 1e-9)
-    e = np.where(small & small.T, e, r / 2)
+    # Turned by the antisymmetric part, made orthogonal by the symmetric one.
+    e = np.where(small & small.T, (e - e.T) / 2, 0) + r / 2
     return value, x + x @ e
 
 
@@ -137,7 +138,7 @@ def eigenpairs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0), np.zeros((0, 0))
     scale = float(np.abs(a).max()) or 1.0
     d, e, q = tridiagonal((a / scale).astype(np.float64))
-    e[np.abs(e) <= EPS * (np.abs(d[:-1]) + np.abs(d[1:])) / 8] = 0
+    e[np.abs(e) <= EPS / 16 * max(np.abs(d).max(), np.abs(e).max(initial=0.0))] = 0  # below the rounding of the whole matrix
     _, v = divided(d, e)
     values, vectors = refined(a / scale, q @ v)
     vectors = vectors / np.sqrt(np.sum(vectors * vectors, axis=0))
