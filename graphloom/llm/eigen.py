@@ -10,11 +10,14 @@ EPS = np.finfo(np.float64).eps
 def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Diagonal, off-diagonal and Q of a = Q T Q'."""
     a, n = np.array(a, np.float64), len(a)
-    q = np.eye(n)
+    q, least = np.eye(n), EPS * EPS * np.abs(a).max(initial=0.0)
     for k in range(n - 2):
         x = a[k + 1 :, k].copy()
         norm = np.linalg.norm(x)
-        if norm == 0 or norm == abs(x[0]):
+        if norm <= least:  # squares of such numbers are no longer exact to double precision
+            a[k + 1 :, k] = a[k, k + 1 :] = 0
+            continue
+        if norm == abs(x[0]):
             continue
         x[0] += np.copysign(norm, x[0])
         x /= np.linalg.norm(x)
@@ -124,7 +127,7 @@ def refined(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near = 2 * (size(s - np.diag(value)) + size(a) * size(r))
     apart = value[None, :] - value[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        e = (s + value[None, :] * r) / apart
+        e = np.where(np.abs(apart) > near, (s + value[None, :] * r) / apart, 0)
     small = (np.abs(apart) > near) & (np.abs(e) < 1e-9)
     # Turned by the antisymmetric part, made orthogonal by the symmetric one.
     e = np.where(small & small.T, (e - e.T) / 2, 0) + r / 2
