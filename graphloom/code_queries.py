@@ -316,9 +316,9 @@ def reindex_edges(spark, sf_dir):
     return updated(spark, sf_dir).edges.where(~F.col("relation").isin("contains", "defines", "imports")).select("repo", "src", "dst", "relation", "confidence")
 
 
-@registered(SUP + """q AS (SELECT 1), named AS (SELECT repo, pre || qualified || '.' || kind || ord AS id, kind, qualified, file FROM symbols)
+@registered(SUP + """q AS (SELECT 1), own AS (SELECT repo, pre || qualified || '.' || kind || ord AS id, kind, qualified, file FROM symbols)
 SELECT n.repo, CASE WHEN job THEN replace(id, '#work_', '#job_') ELSE id END AS id, kind, CASE WHEN job THEN replace(qualified, 'work_', 'job_') ELSE qualified END AS qualified
-FROM (SELECT n.*, sup.r = 1 AND sup.k % 5 = 1 AND n.qualified LIKE 'work%' AS job FROM named n LEFT JOIN sup ON n.repo = sup.repo AND n.file = sup.d || sup.f || sup.k || sup.e) n
+FROM (SELECT n.*, sup.r = 1 AND sup.k % 5 = 1 AND n.qualified LIKE 'work%' AS job FROM own n LEFT JOIN sup ON n.repo = sup.repo AND n.file = sup.d || sup.f || sup.k || sup.e) n
 UNION ALL SELECT repo, s || f || k || e || '#fresh_' || k || '.function', 'function', 'fresh_' || k FROM sup WHERE r = 0 AND k % 7 = 3""", graph=False)
 def reindex_symbols(spark, sf_dir):
     return updated(spark, sf_dir).nodes.where(~F.col("kind").isin("repo", "dir", "file", "external")).select("repo", "id", "kind", "qualified")

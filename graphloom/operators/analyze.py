@@ -259,7 +259,7 @@ def layers(pairs: DataFrame) -> DataFrame:
         done = free if done is None else done.unionByName(free)
         if left.isEmpty():
             return own.join(done, "component").select("node", "component", "layer")
-        open_ = held
+        open_ = cut(held, "open")
         rest = cut(left.join(free.select(F.col("component").alias("src")), "src", "left_anti").select("src", "dst"), "condensed")
         drop(left)
         left, layer = rest, layer + 1

@@ -28,9 +28,12 @@ HIDDEN = ("repo", "dir", "community")
 def grams(text):
     """The distinct grams of a text in lower case."""
     low = F.lower(text)
-    pieces = [F.transform(F.sequence(F.lit(1), F.char_length(low) - (k - 1)), lambda i, k=k: F.substring(low, i, k)) for k in SIZES]
-    held = [F.when(F.char_length(low) >= k, p) for k, p in zip(SIZES, pieces, strict=True)]
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*held))))
+
+    def pieces(size: int):
+        at = F.sequence(F.lit(1), F.char_length(low) - (size - 1))
+        return F.when(F.char_length(low) >= size, F.transform(at, lambda i: F.substring(low, i, size)))
+
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*map(pieces, SIZES)))))
 
 
 def asked(needle: str) -> list[str]:

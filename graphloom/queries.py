@@ -268,25 +268,22 @@ def communities(spark, sf_dir):
 
 
 def _planted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Customers of a nation as symbols, each tied to those 1, 2, 4, ... places further round its nation; the first of each nation to that of the next nation."""
-    own = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("k")) - 1).withColumn("size", F.count("*").over(Window.partitionBy("n")))
+    """Customers of a market segment as symbols, each tied to those 1, 2, 4, ... places further round its segment; the first of each segment to that of the next."""
+    own = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("g"))
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).withColumn("size", F.count("*").over(Window.partitionBy("g")))
     name = lambda k: F.concat(F.lit("c:"), F.col(k).cast("string"))
     step = own.withColumn("step", F.explode(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.pow(F.lit(2), i).cast("int")))).where("step < size")
-    round_ = step.select(name("k").alias("src"), "n", ((F.col("place") + F.col("step")) % F.col("size")).alias("to"))
-    inside = round_.join(own.select("n", F.col("place").alias("to"), name("k").alias("dst")), ["n", "to"]).select("src", "dst")
-    first = own.where("place = 0").select("n", name("k").alias("src"))
-    between = first.join(first.select((F.col("n") - 1).alias("n"), F.col("src").alias("dst")), "n").select("src", "dst")
+    round_ = step.select(name("k").alias("src"), "g", ((F.col("place") + F.col("step")) % F.col("size")).alias("to"))
+    inside = round_.join(own.select("g", F.col("place").alias("to"), name("k").alias("dst")), ["g", "to"]).select("src", "dst")
+    first = own.where("place = 0").select("g", name("k").alias("src"))
+    between = first.withColumn("dst", F.lead("src").over(Window.orderBy("g"))).where("dst is not null").select("src", "dst")  # one row a segment
     edges = inside.unionByName(between).select(F.monotonically_increasing_id().alias("seq"), "src", "dst", F.lit("calls").alias("relation"))
-    return own.select(name("k").alias("id"), F.lit("function").alias("kind"), F.col("n").alias("nation")), edges
+    return own.select(name("k").alias("id"), F.lit("function").alias("kind")), edges
 
 
-@registered("SELECT 'c:' || c_custkey AS id, (dense_rank() OVER (ORDER BY size DESC, first) - 1)::INT AS community FROM customer JOIN (SELECT c_nationkey, count(*) AS size, min('c:' || c_custkey) AS first FROM customer GROUP BY 1 HAVING count(*) > 4) USING (c_nationkey)", graph=False)
+@registered("SELECT 'c:' || c_custkey AS id, (dense_rank() OVER (ORDER BY size DESC, first) - 1)::INT AS community FROM customer JOIN (SELECT c_mktsegment, count(*) AS size, min('c:' || c_custkey) AS first FROM customer GROUP BY 1) USING (c_mktsegment)", graph=False)
 def communities_planted(spark, sf_dir):
-    nodes, edges = _planted(spark, sf_dir)
-    large = nodes.groupBy("nation").agg(F.count("*").alias("n")).where("n > 4")
-    found = analyze.communities(nodes.join(large, "nation", "left_semi"), edges)
-    return found.select("id", F.col("community").cast("int").alias("community"))
+    return analyze.communities(*_planted(spark, sf_dir)).select("id", F.col("community").cast("int").alias("community"))
 
 
 @registered("SELECT 0::BIGINT AS parts_too_many", graph=False)
