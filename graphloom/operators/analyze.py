@@ -48,11 +48,13 @@ def local_moves(ties: DataFrame, resolution: float, gain: float = 1e-6) -> DataF
     while True:
         mine = F.pmod(F.xxhash64("u", F.lit(turn // 2)), F.lit(2)) == turn % 2
         weighed = labels.join(strength, F.col("id") == F.col("u")).select("id", "label", "k")
-        mass = weighed.groupBy("label").agg(F.sum("k").alias("mass"))
+        mass = weighed.groupBy("label").agg(F.sum("k").alias("mass"), F.count("*").alias("held"))
         near = links.where(mine & (F.col("u") != F.col("v"))).join(labels.select(F.col("id").alias("v"), F.col("label").alias("to")), "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
         own = weighed.select(F.col("id").alias("u"), "label", "k").where(mine)
         # The largest community is near to many; its sum is one row, with a shuffle of its own.
         gains = near.join(own, "u").join(mass.withColumnRenamed("label", "of"), dealt("to") == dealt("of"))
+        # Two that are alone would change places for ever; only the one of larger label goes.
+        gains = gains.where((F.col("to") <= F.col("label")) | (F.col("held") > 1))
         rest = F.col("mass") - F.when(F.col("to") == F.col("label"), F.col("k")).otherwise(0)
         gains = gains.withColumn("gain", F.round(F.col("w") - resolution * F.col("k") * rest / total, 9))
         top = gains.groupBy("u").agg(F.max(F.struct("gain", (F.col("to") == F.col("label")).alias("stay"), "to")).alias("best"), F.max(F.when(F.col("to") == F.col("label"), F.col("gain"))).alias("here"))
