@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..extract import extract_files
 from ..operators import analyze, build, imports, resolve
 from ..operators.traverse import Stored
-from ..sources.tree import Limits, Scan, scan_table, scan_tree
+from ..sources.tree import TABLE, Limits, Scan, scan_table, scan_tree
 from ..storage import Buckets, Layer, cut, drop, replaced, small
 from . import incremental
 
@@ -79,22 +79,25 @@ class Index:
 
 
 class Engine:
-    """`Engine(spark).index(path)` for a tree, `.index_table(df)` for a table of files; `.update(index, path)` and `.update_table` for an index that is to follow them."""
+    """`Engine(spark).index(path)` for a tree, `.index_table(df)` for a table of files; `.update(index, path)` and `.update_table` for an index that is to follow them.
 
-    def __init__(self, spark: SparkSession, limits: Limits = Limits()):  # noqa: B008
-        self.spark, self.limits = spark, limits
+    Where no limits are given, a tree has those of `Limits`, and a table is read whole.
+    """
+
+    def __init__(self, spark: SparkSession, limits: Limits | None = None):
+        self.spark, self.limits, self.table_limits = spark, limits or Limits(), limits or TABLE
 
     def index(self, root: str, repo: str = "repo", cached: DataFrame | None = None) -> Index:
         return self.build(scan_tree(self.spark, root, self.limits), repo, cached)
 
     def index_table(self, contents: DataFrame, repo: str = "repo", cached: DataFrame | None = None) -> Index:
-        return self.build(scan_table(contents, self.limits), repo, cached)
+        return self.build(scan_table(contents, self.table_limits), repo, cached)
 
     def update(self, index: Index, root: str) -> Index:
         return self.follow(index, scan_tree(self.spark, root, self.limits))
 
     def update_table(self, index: Index, contents: DataFrame) -> Index:
-        return self.follow(index, scan_table(contents, self.limits))
+        return self.follow(index, scan_table(contents, self.table_limits))
 
     def build(self, scan: Scan, repo: str, cached: DataFrame | None = None) -> Index:
         """Files with a column `repo` are of so many repositories, which are indexed together and never mixed; ids are unique in each. `cached` is the `extractions` of an earlier run: files of the same content are not parsed again."""

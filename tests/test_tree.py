@@ -32,6 +32,16 @@ def test_limits_keep_the_file_that_passes(spark):
     assert limited(df, Limits(total_bytes=25)).count() == 3
 
 
+def test_tables_are_read_whole(spark):
+    """More files than a tree may have, with and without repositories."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_011).select(F.format_string("f%06d.txt", "id").alias("path"), F.encode(F.lit("x"), "UTF-8").alias("content"), F.lit(None).cast("timestamp").alias("mtime"))
+    assert scan_table(df).files.count() == scan_table(df.withColumn("repo", F.lit("r"))).files.count() == 20_011
+    sized = df.select("path", F.lit(10).alias("size"))
+    assert limited(sized, Limits(files=None, total_bytes=25)).count() == 3 and limited(sized, Limits(files=7, total_bytes=None)).count() == 8
+
+
 def test_scan_of_a_table(spark):
     df = spark.createDataFrame([("a.py", bytearray(b"x = 1\n"), None), ("b.bin", bytearray(b"\0"), None), ("dist/c.js", bytearray(b""), None), ("d.min.js", bytearray(b"1"), None)], "path string, content binary, mtime timestamp")
     scan = scan_table(df)
