@@ -33,6 +33,8 @@ def register(language: str, extractor) -> None:
 
 #: Seconds that one file may take, and bytes that it may have.
 MOST_SECONDS, MOST_BYTES = 10.0, 1 << 20
+#: Files whose extractions a worker holds before it hands them on.
+FILES_AT_ONCE = 64
 
 
 @contextlib.contextmanager
@@ -80,7 +82,7 @@ def extract_files(files: DataFrame) -> DataFrame:
     flat = "repo string, path string, language string, symbols string, references string, imports string, errors array<string>, parse_ok boolean, error string, node_count bigint, error_count bigint, missing_count bigint"
 
     def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[i : i + FILES_AT_ONCE] for whole in batches for i in range(0, len(whole), FILES_AT_ONCE)):
             rows = [extract_source(p, x, bytes(c or b"")) for p, x, c in zip(pdf["path"], pdf["language"], pdf["content"], strict=True)]
             yield pd.DataFrame([(repo, r.path, r.language, json.dumps(r.symbols), json.dumps(r.references), json.dumps(r.imports), r.errors, r.parse_ok, r.error, r.node_count, r.error_count, r.missing_count) for repo, r in zip(pdf["repo"], rows, strict=True)], columns=[c.split()[0] for c in flat.split(", ")])
 
