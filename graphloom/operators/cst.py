@@ -49,6 +49,8 @@ def subtree(trees: DataFrame, path: str, node_path: str = "", depth: int = 4, mo
     return own.select("node_path", "parent_path", "ord", "type", "start", "stop", "children", clean.alias("text"), ((F.col("level") == depth) & (F.col("children") > 0)).alias("truncated"), (F.col("children") > most_children).alias("children_capped"))
 
 
+#: Rows of trees that a worker gathers, of many small files, before it hands them on.
+ROWS_AT_ONCE = 4096
 TREES = f"repo string, {CST}, pre int, last int, depth int, sha256 string"
 
 
@@ -70,9 +72,15 @@ def interval_trees(files: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in TREES.split(", ")]
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for pdf in batches:
             for repo, path, content, sha in zip(pdf["repo"], pdf["path"], pdf["content"], pdf["sha256"], strict=True):
-                yield pd.DataFrame([(repo, path, *row, sha) for row in numbered(cst_rows(bytes(content or b"")))], columns=names)
+                rows += [(repo, path, *row, sha) for row in numbered(cst_rows(bytes(content or b"")))]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("repo", "path", "content", "sha256").mapInPandas(built, TREES)
 
