@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import RELATION_WEIGHTS, structural
-from ..storage import cut, dealt, drop, numbered, small
+from ..storage import cut, dealt, drop, numbered, placed
 
 
 def symbol_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,26 +120,13 @@ def agglomerated(ties: DataFrame, resolution: float) -> DataFrame:
             drop(used)
 
 
-def placed(ids: DataFrame) -> DataFrame:
-    """id and n: ids numbered from 0 in their order; the sort is by ranges, and the driver sees one count for each of them."""
-    spark, at = ids.sparkSession, 33
-    own = cut(ids.select("id").orderBy("id").withColumn("m", F.monotonically_increasing_id()), "placed")
-    counts = sorted(tuple(r) for r in own.groupBy(F.shiftright("m", at).cast("bigint").alias("p")).agg(F.count("*").alias("n")).collect())
-    before, rows = 0, []
-    for p, n in counts:
-        rows.append((p, before))
-        before += n
-    offsets = small(spark, rows, "p bigint, before bigint")
-    return own.join(offsets, F.shiftright("m", at).cast("bigint") == F.col("p")).select("id", (F.col("before") + F.col("m").bitwiseAND(F.lit((1 << at) - 1))).alias("n"))
-
-
 def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 0.8, least: int = 5) -> DataFrame:
     """id and community of every symbol that has a tie: groups joined while that raises the modularity, then moves of single symbols, then groups joined again; small ones merged, and numbered by size.
 
     A group grows along ties, so it is connected; where symbols left one, it is cut into its parts.
     """
     named = cut(symbol_subgraph(nodes, edges), "ties")
-    numbers = cut(placed(named.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "numbers")
+    numbers = cut(placed(named.select(F.explode(F.array("a", "b")).alias("id")).distinct(), ["id"], "n"), "numbers")
     at = lambda end: numbers.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
     ties = cut(named.join(at("a"), "a").join(at("b"), "b").select(F.col("a_n").alias("a"), F.col("b_n").alias("b"), "w"), "ties")
     grown = agglomerated(ties, resolution)

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import file_of_node, is_test_path, node_id, symbol_id
 from ..schema import EDGES
 
+EDGE_COLUMNS = tuple(c.split()[0] for c in EDGES.split(", "))
+#: A stage's edges have their `seq` below this power of two.
+STAGE_BITS = 59
 NODE_COLUMNS = ("repo", "id", "kind", "name", "qualified", "file", "sl", "sc", "el", "ec", "language", "doc")
 
 
@@ -123,7 +126,12 @@ def sequenced(edges: DataFrame) -> DataFrame:
     Ids grow with the sort order but have gaps; the sort is by ranges, so no task sees all edges.
     """
     order = ["repo", "stage", F.coalesce("file", F.lit("")), F.coalesce("sl", F.lit(-1)), F.coalesce("sc", F.lit(-1)), F.coalesce("at", F.lit(-1)), "relation", "src", "dst"]
-    return edges.orderBy(*order).withColumn("seq", F.monotonically_increasing_id()).select(*[c.split()[0] for c in EDGES.split(", ")])
+    return edges.orderBy(*order).withColumn("seq", F.monotonically_increasing_id()).select(*EDGE_COLUMNS)
+
+
+def in_stage(edges: DataFrame, stage: int) -> DataFrame:
+    """Edges of one stage of a run (with `seq`, their order in it) in EDGES form; `seq` is moved behind the stages before."""
+    return edges.withColumn("seq", F.col("seq") + F.lit(stage << STAGE_BITS)).select(*EDGE_COLUMNS)
 
 
 def staged(*parts: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..extract.builtins import builtin_table
 from ..storage import dealt
 from .build import symbols
-from .imports import alias_targets, dir_name, external_aliases, import_rows
+from .imports import Resolved, alias_targets, dir_name, external_aliases, import_rows
 
 RELATION = {"call": "calls", "extends": "extends", "implements": "implements", "instantiates": "instantiates", "type_uses": "type_uses"}
 
@@ -22,7 +22,7 @@ def reference_rows(extractions: DataFrame) -> DataFrame:
     return extractions.select("repo", "path", "language", F.posexplode("references").alias("at", "r")).select("repo", "path", "language", "at", "r.*").withColumnRenamed("kind", "ref_kind")
 
 
-def resolve_references(extractions: DataFrame, resolved_imports: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def resolve_references(extractions: DataFrame, resolved_imports: Resolved, found: DataFrame | None = None) -> DataFrame:
     """Every reference with target, confidence and outcome (extracted, inferred, ambiguous, dropped or unresolved); `found` are the repositories' symbols, if there are others than in `extractions`."""
     refs = reference_rows(extractions)
     found = symbols(extractions) if found is None else found
@@ -36,13 +36,18 @@ def resolve_references(extractions: DataFrame, resolved_imports: DataFrame, foun
     # Names of the same file.
     by_name = found.groupBy("repo", "path", "name").agg(F.count("*").alias("n2"), F.min_by("id", "seq").alias("t2"))
     # Names of imported files: by the receiver, else by its head, else by all imports. One row for each (file, receiver, name).
-    targets = alias_targets(imports, resolved_imports)
+    targets, packages = alias_targets(imports, resolved_imports)
     asked = refs.select("repo", "path", "name", F.coalesce("receiver", F.lit("")).alias("told")).distinct()
     head = F.substring_index("told", ".", 1)
     tries = asked.select("repo", "path", "name", "told", F.posexplode(F.array(F.when(F.col("told") != "", F.col("told")), F.when(F.col("told").contains("."), head), F.lit(""))).alias("turn", "alias")).where("alias is not null")
-    known = tries.join(targets.select("repo", "path", "alias").distinct(), ["repo", "path", "alias"], "left_semi")
+    meant = targets.select("repo", "path", "alias").unionByName(packages.select("repo", "path", "alias")).distinct()
+    known = tries.join(meant, ["repo", "path", "alias"], "left_semi")
     chosen = known.groupBy("repo", "path", "name", "told").agg(F.min_by("alias", "turn").alias("alias"))
     imported = chosen.join(targets, ["repo", "path", "alias"]).join(found.select("repo", F.col("path").alias("target"), "name", "id"), ["repo", "target", "name"])
+    # A package is met by its directory and the name, never file by file.
+    held = found.select("repo", dir_name(F.col("path")).alias("dir"), F.col("path").alias("target"), "name", "id")
+    by_package = chosen.join(packages, ["repo", "path", "alias"]).join(held, ["repo", "dir", "name"]).where("own or path != target")
+    imported = imported.select("repo", "path", "name", "told", "id").unionByName(by_package.select("repo", "path", "name", "told", "id")).distinct()
     imported = imported.groupBy("repo", "path", "name", "told").agg(F.count("*").alias("n3"), F.min("id").alias("t3"))
     # Names that one sibling alone defines, once.
     lone = found.groupBy("repo", "name").agg(F.count_distinct("path").alias("files"), F.count("*").alias("times"), F.min("path").alias("target"), F.min("id").alias("t8")).where("files = 1 and times = 1")

@@ -27,7 +27,7 @@ MOST_EXTERNAL = 400
 class Kept:
     """What an update asks of an earlier run, beside its results.
 
-    `targets` are the resolved imports. `symbols` and `referring` (resolved references) lie in folders by name, where an
+    `targets` are the resolved imports, whose packages are listed when they are read. `symbols` and `referring` (resolved references) lie in folders by name, where an
     update finds whom a changed name reaches. `outside` are the edges of all imports that name no file, `top` the names
     (repo, dst) of those that show.
     """
@@ -42,9 +42,11 @@ class Kept:
 class Index:
     """Everything that a run makes, as tables; communities, walks and call statistics are made when first asked for."""
 
-    def __init__(self, repo: str, files: DataFrame, skipped: DataFrame, extractions: DataFrame, references: DataFrame, nodes: DataFrame, edges: DataFrame, parsed: int = 0, touched: int = 0, kept: Kept | None = None, layers: int = 0, members: DataFrame | None = None, stats: DataFrame | None = None):
+    def __init__(self, repo: str, files: DataFrame, skipped: DataFrame, extractions: DataFrame, references: DataFrame, nodes: DataFrame, edges: DataFrame, parsed: int = 0, touched: int = 0, kept: Kept | None = None, layers: int = 0, members: DataFrame | None = None, stats: DataFrame | None = None, last: int = -1):
         self.repo, self.files, self.skipped, self.extractions, self.references, self.nodes, self.edges = repo, files, skipped, extractions, references, nodes, edges
         self.parsed, self.touched, self.kept, self.layers, self._members = parsed, touched, kept, layers, members
+        #: No edge has a larger `seq`.
+        self.last = last
         if stats is not None:
             self.stats = stats
 
@@ -74,8 +76,8 @@ class Index:
 
     def compact(self) -> Index:
         """The same tables without layers."""
-        kept = Kept(cut(self.kept.targets, "imports"), Buckets.write(self.kept.symbols.rows, "name", "symbols"), Buckets.write(self.kept.referring.rows, "name", "references"), cut(self.kept.outside, "outside"), cut(self.kept.top, "top"))
-        return Index(self.repo, cut(self.files, "files"), self.skipped, cut(self.extractions, "extractions"), kept.referring.rows, cut(self.nodes, "nodes"), cut(self.edges, "edges"), self.parsed, self.touched, kept)
+        kept = Kept(self.kept.targets, Buckets.write(self.kept.symbols.rows, "name", "symbols"), Buckets.write(self.kept.referring.rows, "name", "references"), cut(self.kept.outside, "outside"), cut(self.kept.top, "top"))
+        return Index(self.repo, cut(self.files, "files"), self.skipped, cut(self.extractions, "extractions"), kept.referring.rows, cut(self.nodes, "nodes"), cut(self.edges, "edges"), self.parsed, self.touched, kept, last=self.last)
 
 
 class Engine:
@@ -109,8 +111,8 @@ class Engine:
         return self._resolved(repo, scanned, scan.skipped, found, parsed)
 
     def _resolved(self, repo: str, scanned: DataFrame, skipped: DataFrame, found: DataFrame, parsed: int) -> Index:
-        files = _files(scanned, found)
-        targets = cut(imports.resolve_imports(found), "imports")
+        files = cut(_files(scanned, found), "files")
+        targets = imports.resolved_imports(found).cut()
         symbols = Buckets.write(build.symbols(found), "name", "symbols")
         referring = Buckets.write(resolve.resolve_references(found, targets, symbols.rows), "name", "references")
         tree_nodes, tree_edges = build.structure(files)
@@ -118,12 +120,13 @@ class Engine:
         rows = imports.import_rows(found)
         outside = cut(imports.outside_edges(rows, targets), "outside")
         top = cut(imports.top_externals(outside, MOST_EXTERNAL), "top")
-        imported = imports.inside_edges(rows, targets).unionByName(outside.join(top, ["repo", "dst"], "left_semi"))
+        shown = outside.join(top, ["repo", "dst"], "left_semi").select(*outside.columns)
         referred = resolve.reference_edges(referring.rows, found, symbols.rows)
-        edges = build.staged(tree_edges, symbol_edges, imported, referred, build.test_edges(referred, files))
-        edges = cut(build.dedup_edges(build.sequenced(edges), "seq"), "edges")
-        nodes = tree_nodes.unionByName(symbol_nodes).unionByName(build.external_nodes(edges.select("repo", F.col("dst").alias("id"))))
-        return Index(repo, cut(files, "files"), skipped, found, referring.rows, cut(nodes, "nodes"), edges, parsed, parsed, Kept(targets, symbols, referring, outside, top))
+        # Imports of whole packages are as many edges as pairs of files; they are listed when edges of imports are read, and stand between the others.
+        before, after = (cut(build.dedup_edges(build.sequenced(build.staged(*parts)), "seq"), "edges") for parts in ((tree_edges, symbol_edges), (shown, referred, build.test_edges(referred, files))))
+        edges = build.in_stage(before, 0).unionByName(build.in_stage(imports.ordered_inside_edges(rows, targets), 1)).unionByName(build.in_stage(after, 2))
+        nodes = tree_nodes.unionByName(symbol_nodes).unionByName(build.external_nodes(after.select("repo", F.col("dst").alias("id"))))
+        return Index(repo, files, skipped, found, referring.rows, cut(nodes, "nodes"), edges, parsed, parsed, Kept(targets.rows, symbols, referring, outside, top), last=(3 << build.STAGE_BITS) - 1)
 
     def follow(self, index: Index, scan: Scan) -> Index:
         """The index of what was scanned now, made of an earlier one: the same tables as a whole run gives, but for `seq`, which goes on behind the edges that stand.
@@ -164,7 +167,7 @@ class Engine:
         part = cut(found.join(touched, key, "left_semi"), "touched")
         own = cut(build.symbols(part), "symbols")
         symbols = Layer(kept.symbols, dirty, own.join(dirty, key, "left_semi"))
-        targets = cut(imports.resolve_imports(part, paths=found.select(*key)), "imports")
+        targets = imports.resolved_imports(part, paths=found.select(*key)).cut()
         known = symbols.matching(resolve.reference_rows(part).select("name"))
         references = cut(resolve.resolve_references(part, targets, cut(known, "known")), "references")
         rows = imports.import_rows(part)
@@ -181,16 +184,17 @@ class Engine:
         symbol_nodes, symbol_edges = build.symbol_graph(own)
         referred = resolve.reference_edges(references, part, own)
         fresh = build.staged(tree_edges, symbol_edges, imports.inside_edges(rows, targets).unionByName(shown.select(*fresh_outside.columns)), referred, build.test_edges(referred, files))
-        last = index.edges.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        fresh = cut(build.dedup_edges(build.sequenced(fresh), "seq").withColumn("seq", F.col("seq") + F.lit(last + 1)), "edges")
+        fresh = cut(build.dedup_edges(build.sequenced(fresh), "seq").withColumn("seq", F.col("seq") + F.lit(index.last + 1)), "edges")
+        last = fresh.agg(F.coalesce(F.max("seq"), F.lit(index.last))).first()[0]
         stand = index.edges.where(F.col("file").isNotNull()) if moves else index.edges
         import_edges = stand.where("relation = 'imports'").join(sunk, ["repo", "dst"], "left_anti").select(*stand.columns)
         edges = replaced(stand.where("relation != 'imports'").unionByName(import_edges), touched, fresh, "file")
         gone = ("external", "repo", "dir", "file") if moves else ("external",)
         nodes = replaced(index.nodes.where(~F.col("kind").isin(*gone)), touched, tree_nodes.unionByName(symbol_nodes), "file")
-        nodes = nodes.unionByName(build.external_nodes(edges.select("repo", F.col("dst").alias("id"))))
+        told = edges.where("relation != 'imports'").select("repo", "dst").unionByName(outside.join(top, ["repo", "dst"], "left_semi").select("repo", "dst"))
+        nodes = nodes.unionByName(build.external_nodes(told.withColumnRenamed("dst", "id")))
         referring = Layer(kept.referring, touched, references)
-        out = Index(index.repo, files, skipped, found, referring.rows, nodes, edges, after.count(), len(places), Kept(replaced(kept.targets, touched, targets), symbols, referring, outside, top), index.layers + 1)
+        out = Index(index.repo, files, skipped, found, referring.rows, nodes, edges, after.count(), len(places), Kept(replaced(kept.targets, touched, targets.rows), symbols, referring, outside, top), index.layers + 1, last=last)
         return out.compact() if out.layers > MOST_LAYERS else out
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from graphloom.operators import analyze
+from graphloom.storage import placed
 
 
 def test_groups_grow_while_joining_gains(spark):
@@ -27,4 +28,4 @@ def test_hubs_take_their_leaves_in_one_round(spark, monkeypatch):
 
 def test_numbers_follow_the_order_of_ids(spark):
     ids = spark.range(5000).select(F.format_string("x%05d", "id").alias("id")).repartition(7)
-    assert analyze.placed(ids).where(F.col("n") != F.substring("id", 2, 5).cast("bigint")).isEmpty()
+    assert placed(ids, ["id"], "n").where(F.col("n") != F.substring("id", 2, 5).cast("bigint")).isEmpty()
