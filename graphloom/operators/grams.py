@@ -62,6 +62,10 @@ class Grams:
         counts = Buckets.write(postings.rows.groupBy("gram").agg(F.count("*").alias("n")), "gram", "gram-counts", n)
         return cls(postings, counts, Buckets.write(shown.join(degree.select("id", "degree"), "id"), "id", "searched", n))
 
+    @property
+    def parts(self) -> list[Buckets]:
+        return [self.postings, self.counts, self.nodes]
+
     def candidates(self, needle: str) -> DataFrame | None:
         """Ids on the shortest posting lists of the needle's grams; None where it has none."""
         own = asked(needle)

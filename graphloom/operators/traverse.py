@@ -9,7 +9,7 @@ functions below take a stored graph or a frame of edges; of the latter, they wri
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,21 +29,36 @@ def allowed(edges: DataFrame, relations=None, confidences=None) -> DataFrame:
     return edges.where("src != dst")
 
 
-@dataclass(frozen=True)
 class Stored:
-    """The edges of one graph, in folders by source and by target."""
+    """The edges of one graph, in folders by source and by target; either side is written when a walk first needs it."""
 
-    out: Buckets
-    into: Buckets
+    def __init__(self, edges: DataFrame, n: int = 32):
+        self.given, self.n = edges, n
 
     @classmethod
     def write(cls, edges: DataFrame, n: int = 32) -> Stored:
-        out = Buckets.write(edges, "src", "edges-out", n)
-        return cls(out, Buckets.write(out.rows, "dst", "edges-in", n))
+        """Both sides, at once."""
+        own = cls(edges, n)
+        own.out, own.into  # noqa: B018
+        return own
+
+    @cached_property
+    def out(self) -> Buckets:
+        return Buckets.write(self.given, "src", "edges-out", self.n)
+
+    @cached_property
+    def into(self) -> Buckets:
+        return Buckets.write(self.edges, "dst", "edges-in", self.n)
+
+    @property
+    def written(self) -> list[Buckets]:
+        """The sides that stand."""
+        return [vars(self)[side] for side in ("out", "into") if side in vars(self)]
 
     @property
     def edges(self) -> DataFrame:
-        return self.out.rows
+        """All edges: from the folders where they stand, otherwise as they were given."""
+        return self.written[0].rows if self.written else self.given
 
     def steps(self, frontier: list[str] | DataFrame, direction: str = "both", relations=None, confidences=None) -> DataFrame:
         """(at, to) of the edges that lead away from a frontier."""
@@ -60,13 +75,13 @@ class Stored:
         return self.into.of([node]), self.out.of([node])
 
     def drop(self) -> None:
-        self.out.drop()
-        self.into.drop()
+        for side in self.written:
+            side.drop()
 
 
 def walked(stored: Stored, start: list[str], depth: int, direction: str, relations, confidences) -> DataFrame:
     """id and hop of everything within `depth` hops. The last hop is not run but returned as a plan; those before run one job each."""
-    spark = stored.out.spark
+    spark = stored.given.sparkSession
     hops: dict[str, int] = dict.fromkeys(start, 0)
     frontier: list[str] | DataFrame = start
     seen: DataFrame | None = None  # once a frontier is too large to be held
@@ -106,7 +121,7 @@ def bfs(edges: DataFrame | Stored, start: list[str], depth: int, direction: str
     Only what a frontier reaches is made distinct, never all edges. Over a frame of edges, a walk of several hops writes
     the ends of the edges that it may take once.
     """
-    spark = edges.out.spark if isinstance(edges, Stored) else edges.sparkSession
+    spark = edges.given.sparkSession if isinstance(edges, Stored) else edges.sparkSession
     seen = spark.createDataFrame([(s, 0) for s in start], "id string, hop int")
     if depth < 1 or not start:
         return seen.orderBy("hop", "id").limit(limit) if limit else seen
@@ -136,6 +151,9 @@ def with_nodes(hops: DataFrame, nodes: DataFrame) -> DataFrame:
 def induced(edges: DataFrame | Stored, ids: DataFrame) -> DataFrame:
     """Edges with both ends among `ids` (id)."""
     if isinstance(edges, Stored):
+        some = [r["id"] for r in ids.select("id").where("id is not null").distinct().limit(HELD + 1).collect()]
+        if len(some) <= HELD:
+            return edges.out.of(some).where(F.col("dst").isin(*some))
         return edges.out.matching(ids.select("id")).join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").select(*edges.out.schema.names)
     own = ids.select("id")
     return edges.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
@@ -227,7 +245,7 @@ def shortest_path(edges: DataFrame | Stored, start: str, goal: str, most: int =
     if isinstance(edges, Stored):
         path = met_path(edges, start, goal, most, relations)
         if path is not None:
-            return edges.out.spark.createDataFrame(list(enumerate(path)), "hop int, id string")
+            return edges.given.sparkSession.createDataFrame(list(enumerate(path)), "hop int, id string")
         edges = edges.edges
     spark = edges.sparkSession
     steps = cut(adjacency(edges, "both", relations), "steps")

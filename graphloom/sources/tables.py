@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..operators.build import degrees
 from ..operators.grams import Grams
 from ..operators.traverse import Stored
-from ..storage import Buckets, changed_at, cut, exists
+from ..storage import changed_at, cut, exists
 
 
 @dataclass
@@ -22,12 +22,28 @@ class Graph:
 
 
 class StoredGraph(Graph):
-    """A graph written once, and what is asked of it again and again: each part is made when it is first needed."""
+    """A graph and what is asked of it again and again: each part is written once, when it is first needed.
+
+    A query that scans nodes or edges reads the tables, of which Spark leaves out what it does not ask for; only walks
+    need the edges in folders, and then those of their direction.
+    """
 
     def __init__(self, graph: Graph, n: int = 32):
-        self.by_id = Buckets.write(graph.nodes, "id", "nodes", n)
-        self.walks = Stored.write(graph.edges, n)
-        super().__init__(self.by_id.rows, self.walks.edges)
+        self.nodes, self.walks = graph.nodes, Stored(graph.edges, n)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.walks.edges
+
+    @property
+    def stands(self) -> bool:
+        """Whether all that was written is still there."""
+        paths = [side.path for side in self.walks.written]
+        if (degrees := vars(self).get("degrees")) is not None:
+            paths.append(degrees._graphloom_path)
+        if (grams := vars(self).get("grams")) is not None:
+            paths += [part.path for part in grams.parts]
+        return all(exists(self.nodes.sparkSession, path) for path in paths)
 
     @cached_property
     def degrees(self) -> DataFrame:
@@ -44,9 +60,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> StoredGraph:
-    """`table_graph` in the shared folder, written once an application as long as the tables do not change."""
+    """`table_graph`, whose parts are written to the shared folder once an application as long as the tables do not change."""
     key = (spark.sparkContext.applicationId, sf_dir, *(changed_at(spark, f"{sf_dir}/{t}.parquet") for t in TABLES))
-    if key not in _STORED or not exists(spark, _STORED[key].by_id.path):
+    if key not in _STORED or not _STORED[key].stands:
         _STORED[key] = StoredGraph(table_graph(spark, sf_dir))
     return _STORED[key]
 
@@ -89,10 +105,10 @@ def table_graph(spark: SparkSession, sf_dir: str, top_imports: int = 2) -> Graph
     sold = lines.join(read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     flag = F.when(F.col("l_returnflag") == "R", "EXTRACTED").when(F.col("l_returnflag") == "N", "INFERRED").otherwise("AMBIGUOUS")
     line_cid, line_sid, line_pid = (F.concat(F.lit(f"{k}:"), F.col(c).cast("string")) for k, c in (("customer", "o_custkey"), ("supplier", "l_suppkey"), ("part", "l_partkey")))
-    # Lines are summed by customer and supplier before nations are looked up, so the joins see one row a pair.
-    pairs = sold.groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
-    by_nation = pairs.join(read("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    by_nation = by_nation.where("s_nationkey != c_nationkey").groupBy("s_nationkey", "c_nationkey").agg(F.sum("n").alias("n"))
+    # Nations are looked up before lines are summed: there are few pairs of them, while nearly every line has a customer and supplier of its own.
+    buyers = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    sellers = lines.join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
+    by_nation = sellers.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).where("s_nationkey != c_nationkey").groupBy("s_nationkey", "c_nationkey").agg(F.count("*").alias("n"))
     ranked = by_nation.withColumn("place", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("n"), "c_nationkey"))).where(F.col("place") <= top_imports)
     names = nation.select(F.col("n_nationkey"), file_.alias("file_id"))
     imports = ranked.join(names.withColumnsRenamed({"n_nationkey": "a", "file_id": "src"}), F.col("s_nationkey") == F.col("a")).join(names.withColumnsRenamed({"n_nationkey": "b", "file_id": "dst"}), F.col("c_nationkey") == F.col("b"))
