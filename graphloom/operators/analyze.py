@@ -14,7 +14,10 @@ def symbol_subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in RELATION_WEIGHTS.items() for x in pair]), F.col("relation"))
     ties = edges.where(F.col("relation").isin(*RELATION_WEIGHTS) & (F.col("src") != F.col("dst"))).withColumn("w", weight)
     ties = ties.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return ties.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max_by("w", F.struct("seq", "w")).alias("w"))
+    ties = ties.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "w", "seq")
+    # Nearly every tie is a pair of its own, so summing what a file's block has holds all of it in a task. Ties are dealt
+    # out by pair first, in lots of Spark's size; by a struct, so that a pair of very many ties may be split and is summed twice.
+    return ties.withColumn("pair", dealt("a", "b")).hint("rebalance", "pair").groupBy("a", "b").agg(F.max_by("w", F.struct("seq", "w")).alias("w"))
 
 
 def both_ways(ties: DataFrame) -> DataFrame:

@@ -55,3 +55,14 @@ def test_induced_by_more_ids_than_are_held(spark, monkeypatch):
     monkeypatch.setattr(traverse, "HELD", 1)
     assert few and sorted(map(tuple, traverse.induced(g.walks, ids).select(*g.walks.out.schema.names).collect())) == few
     assert traverse.induced(g.walks, ids.where("id is null")).isEmpty()
+
+
+def test_ties_are_dealt_out_before_they_are_summed(spark):
+    """What is summed before a shuffle is held by the task that reads a file's block, however much that is."""
+    nodes = spark.createDataFrame([(x, "function") for x in "abc"] + [("f", "file")], "id string, kind string")
+    edges = [(k, "a", "b", "calls" if k % 2 else "instantiates") for k in range(1000)] + [(1, "b", "a", "calls"), (5, "c", "b", "type_uses"), (6, "c", "f", "calls"), (7, "c", "c", "calls")]
+    found = analyze.symbol_subgraph(nodes, spark.createDataFrame(edges, "seq bigint, src string, dst string, relation string"))
+    assert sorted(map(tuple, found.collect())) == [("a", "b", 2.0), ("b", "c", 1.0)]
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    last = max(i for i, line in enumerate(lines) if "Aggregate" in line)
+    assert any("REBALANCE" in line for line in lines[last:])
