@@ -65,6 +65,13 @@ def test_gram_search_is_search(spark):
     assert "gram" in plan
 
 
+def test_nodes_of_equal_texts_are_listed_once(spark):
+    nodes = spark.createDataFrame([(f"n{i:03}", "method", "hot bolt", "hot bolt", None if i % 2 else "a/b") for i in range(400)] + [("x", "method", "bolt", "bolt", None)], "id string, kind string, name string, qualified string, file string")
+    grams = Grams.write(nodes, nodes.select("id", F.lit(1).alias("degree")), 4)
+    assert grams.postings.rows.where("gram = 'bol'").count() == 3 and grams.counts.of(["bol"]).first()["n"] == 401
+    assert grams.search("OT B", limit=1000).count() == 400 and [r.id for r in grams.search("/", limit=2).collect()] == ["n000", "n002"]
+
+
 def test_communities_are_cut_where_nothing_ties_them(spark):
     ties = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("c", "d"), ("f", "g")], "a string, b string")
     labels = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "1"), ("e", "1"), ("f", "3"), ("g", "3"), ("h", "3")], "id string, label string")
